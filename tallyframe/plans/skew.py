@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 64
@@ -49,31 +49,25 @@ def salted_join(
     same rows to the same partitions.
     """
     on = list(on)
-    hot = hot_keys(left.select(*on), on, share, min_rows).withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)
-    marked = left.join(hot, _null_safe(left, hot, on), "left").select(
-        *[left[c] for c in left.columns],
-        F.when(hot["_hot"], F.pmod(F.xxhash64(*[left[c] for c in spread_by]), F.lit(salts)))
-        .otherwise(F.lit(0))
-        .cast("int")
-        .alias("_salt"),
+    hot = hot_keys(left.select(*on), on, share, min_rows).select(
+        *[F.col(c).alias(f"_h_{c}") for c in on], F.lit(True).alias("_hot")
     )
-    spread = right.join(hot, _null_safe(right, hot, on), "left").select(
-        *[right[c] for c in right.columns],
-        F.explode(
-            F.when(hot["_hot"], F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("_salt"),
+    hot = F.broadcast(hot)  # at most `share` rows
+    is_hot = F.lit(True)
+    for c in on:
+        is_hot = is_hot & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    marked = left.join(hot, is_hot, "left").select(
+        *left.columns, F.when(F.col("_hot"), salt).otherwise(F.lit(0)).alias("_salt")
+    )
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    spread = right.join(hot, is_hot, "left").select(
+        *right.columns,
+        F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))).alias("_salt"),
     )
     return marked.join(spread, on + ["_salt"], how).drop("_salt")
 
 
-def _null_safe(a: DataFrame, b: DataFrame, on: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for c in on:
-        condition = condition & a[c].eqNullSafe(b[c])
-    return condition
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only after counting; beyond the bound the frame is left as it is."""
     if df.limit(max_rows + 1).count() <= max_rows:
