@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tallyframe.functions.names import norm_stem
@@ -65,7 +66,7 @@ def _pixels(data: bytes, height: int, width: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, -1)
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def rgb_bytes(channels: pd.Series, data: pd.Series) -> pd.Series:
     """RGB bytes of decoded images that hold gray, BGR or BGRA bytes."""
     out = []
@@ -76,7 +77,7 @@ def rgb_bytes(channels: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def to_gray(data: pd.Series) -> pd.Series:
     """Luma bytes of RGB bytes (weights 299, 587, 114 per mille)."""
     weights = np.array([19595, 38470, 7471], dtype=np.int64)
@@ -87,7 +88,7 @@ def to_gray(data: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def resize_nearest(
     data: pd.Series, height: pd.Series, width: pd.Series, to_height: pd.Series, to_width: pd.Series
 ) -> pd.Series:
@@ -100,7 +101,7 @@ def resize_nearest(
     )
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def binarize_mask(data: pd.Series) -> pd.Series:
     """Mask bytes as 0 and 1."""
     return data.map(lambda d: (np.frombuffer(d, dtype=np.uint8) > 0).astype(np.uint8).tobytes())
@@ -114,7 +115,7 @@ def image_features(
     ``size`` None keeps each image's own size.
     """
 
-    @pandas_udf("array<float>")
+    @pandas_udf(T.ArrayType(T.FloatType()))
     def features(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
         rows = []
         for d, h, w in zip(data, height, width, strict=True):
@@ -134,7 +135,7 @@ def image_features(
 def flatten_images(images: DataFrame, size: int, out: str = "features") -> DataFrame:
     """All pixels at ``size`` x ``size``, scaled to [0, 1]."""
 
-    @pandas_udf("array<float>")
+    @pandas_udf(T.ArrayType(T.FloatType()))
     def flat(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
         return pd.Series(
             [
@@ -157,7 +158,7 @@ def image_tensor(
     mean_a = np.array(mean, dtype=np.float32)
     std_a = np.array(std, dtype=np.float32)
 
-    @pandas_udf("array<float>")
+    @pandas_udf(T.ArrayType(T.FloatType()))
     def tensor(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
         rows = []
         for d, h, w in zip(data, height, width, strict=True):

@@ -189,7 +189,7 @@ def audit(
         ["row_idx"],
     )
     rules = [
-        (F.trim("csv_image_value") == "", "CSV_IMAGE_VALUE_EMPTY"),
+        (F.col("csv_image_value") == "", "CSV_IMAGE_VALUE_EMPTY"),
         (F.col("_image").isNull(), "IMAGE_NOT_FOUND_ON_DISK"),
     ]
     if masks is not None:
