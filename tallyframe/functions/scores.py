@@ -29,7 +29,7 @@ def log_softmax(logits: str | Column) -> Column:
 
 
 def softmax(logits: str | Column) -> Column:
-    return F.transform(log_softmax(logits), F.exp)
+    return F.transform(log_softmax(logits), lambda v: F.exp(v))
 
 
 def _weights(w: Sequence[float]) -> Column:

@@ -97,12 +97,14 @@ def assert_between(df: DataFrame, col: str, low: int, high: int) -> DataFrame:
     return df
 
 
-def label_dim(document: DataFrame, label_cols: Sequence[str], col: str = "document") -> DataFrame:
-    """``(idx, label, rule)`` from a label map of any known shape.
+def label_dim(
+    documents: DataFrame, label_cols: Sequence[str], col: str = "document", keys: Sequence[str] = ()
+) -> DataFrame:
+    """``(*keys, idx, label, rule)`` from label maps of any known shape.
 
     In order: a wrapped list, a wrapped label-to-index map, index keys,
     label-to-index, a bare list, column-to-label (letter case ignored if need
-    be), else the label columns themselves. ``document`` is one row.
+    be), else the label columns themselves.
     """
     doc = F.col(col)
     as_list, as_map = "array<string>", "map<string,string>"
@@ -142,7 +144,8 @@ def label_dim(document: DataFrame, label_cols: Sequence[str], col: str = "docume
         values = F.array(*[F.try_element_at(entries, F.lit(name(c))) for c in label_cols])
         from_list(F.when(F.forall(values, lambda v: v.isNotNull()), values), rule)
     from_list(F.array(*[F.lit(c) for c in label_cols]), "fallback_use_label_cols")
-    return document.select(F.coalesce(*options).alias("o")).select(F.inline("o.pairs"), F.col("o.rule").alias("rule"))
+    chosen = documents.select(*keys, F.coalesce(*options).alias("o"))
+    return chosen.select(*keys, F.inline("o.pairs"), F.col("o.rule").alias("rule"))
 
 
 def label_names(df: DataFrame, dim: DataFrame, n_classes: int, target: str = "target_index") -> DataFrame:
@@ -215,11 +218,13 @@ def effective_contract(
     atol: float = 1e-3,
     sample_n: int = RECOVERY_SAMPLE,
     seed: int = 42,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Contract rows with the column that is really used and the gates that apply."""
     fields = contract_fields()
     effective = image_col if isinstance(image_col, Column) else F.lit(image_col)
     return contracts.select(
+        *keys,
         F.lit(source).alias("source"),
         fields["image_col"].alias("image_col_from_config"),
         F.coalesce(effective, fields["image_col"]).alias("image_col_effective"),

@@ -6,11 +6,12 @@ arrays is a column expression and needs no shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,9 @@ from pyspark.sql.functions import pandas_udf
 from tallyframe.functions.names import norm_stem
 from tallyframe.functions.values import normalize_channels
 
+# Executors get the pixel functions with the plan, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Feature image side, histogram bins, channel mean and std of the evaluation transform.
 FEATURE_SIZE = 128
 HIST_BINS = 16
@@ -28,7 +32,6 @@ CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
 
 
-@lru_cache(maxsize=256)
 def _weights(src: int, dst: int, kind: str) -> np.ndarray:
     """Row-normalised filter weights ``dst x src``; the filter widens when shrinking."""
     scale = src / dst
@@ -219,10 +222,13 @@ def feature_stats(df: DataFrame, col: str) -> DataFrame:
 
 def apply_stats(df: DataFrame, stats: DataFrame, col: str, out: str) -> DataFrame:
     """Standardised arrays; a constant place keeps a divisor of 1. ``stats`` is one row."""
-    mean, std = stats.select("mean").scalar(), stats.select("std").scalar()
-    centred = F.zip_with(F.col(col), mean, lambda v, m: v - m)
-    return df.withColumn(
-        out, F.zip_with(centred, std, lambda v, s: v / F.when(s == 0, F.lit(1.0)).otherwise(s))
+    centred = F.zip_with(F.col(col), F.col("_mean"), lambda v, m: v - m)
+    scaled = F.zip_with(centred, F.col("_std"), lambda v, s: v / F.when(s == 0, F.lit(1.0)).otherwise(s))
+    return (
+        df.withColumn("_mean", stats.select("mean").scalar())
+        .withColumn("_std", stats.select("std").scalar())
+        .withColumn(out, scaled)
+        .drop("_mean", "_std")
     )
 
 

@@ -207,6 +207,10 @@ def mask_coverage(audited: DataFrame) -> DataFrame:
     return audited.where("image_exists").agg(F.avg(F.col("mask_exists").cast("double")).alias("mask_coverage"))
 
 
+def scaled(logits: str, temperature: float) -> Column:
+    return F.transform(F.col(logits), lambda v: v / F.lit(float(temperature)))
+
+
 def fit_temperature(
     df: DataFrame, n_classes: int, temperatures: list[float], logits: str = "logits", y: str = "target_index"
 ) -> DataFrame:
@@ -216,8 +220,7 @@ def fit_temperature(
     """
     losses = [
         F.struct(
-            F.lit(float(t)).alias("temperature"),
-            cross_entropy(F.transform(F.col(logits), lambda v, t=t: v / F.lit(float(t))), y, n_classes).alias("loss"),
+            F.lit(float(t)).alias("temperature"), cross_entropy(scaled(logits, t), y, n_classes).alias("loss")
         ).alias(f"t{i}")
         for i, t in enumerate(temperatures)
     ]
@@ -226,5 +229,4 @@ def fit_temperature(
 
 
 def with_probabilities(df: DataFrame, logits: str = "logits", temperature: float = 1.0, out: str = "probability") -> DataFrame:
-    scaled = F.transform(F.col(logits), lambda v: v / F.lit(float(temperature)))
-    return df.withColumn(out, softmax(scaled))
+    return df.withColumn(out, softmax(scaled(logits, temperature)))

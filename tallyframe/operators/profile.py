@@ -83,6 +83,12 @@ def numeric_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def meta_columns(df: DataFrame, label_cols: Sequence[str], file_cols: Sequence[str]) -> DataFrame:
+    """The columns that are neither labels nor file names."""
+    taken = {*label_cols, *file_cols}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in taken])
+
+
 def infer_key_column(
     df: DataFrame,
     files: DataFrame,

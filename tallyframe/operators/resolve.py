@@ -21,10 +21,7 @@ from tallyframe.functions.names import (
     strip_quotes,
 )
 from tallyframe.functions.values import issue_codes, safe_str
-from tallyframe.plans.skew import key_counts, salted_join
-
-ITEM_KEYS = ("path", "stem", "prefix")
-
+from tallyframe.plans.skew import HOT_MIN_ROWS, key_counts, salted_join
 
 def file_keys(files: DataFrame, kinds: Iterable[str] = ("path", "stem")) -> DataFrame:
     """``(key, path)``: the smallest path under each lookup key.
@@ -58,6 +55,7 @@ def attach_best(
     keys: DataFrame,
     out: str,
     spread_by: Sequence[str],
+    rows: int | None = None,
 ) -> DataFrame:
     """Adds the path of the first candidate that exists.
 
@@ -65,11 +63,13 @@ def attach_best(
     join; the result, one row per value, goes back to the rows by a join that
     spreads hot values.
     """
+    rows = df.count() if rows is None else rows
     options = df.select(*by).distinct().select(*by, F.inline(candidates))
-    found = salted_join(options, keys, ["key"], "inner", spread_by=by)
+    # distinct values are no more than the rows, so few rows mean no hot key here either
+    found = salted_join(options, keys, ["key"], "inner", by, rows=None if rows >= HOT_MIN_ROWS else rows)
     best = found.groupBy(*by).agg(F.min(F.struct("prio", "path")).alias("_best"))
     best = best.select(*by, F.col("_best.path").alias(out))
-    return salted_join(df, best, by, "left", spread_by)
+    return salted_join(df, best, by, "left", spread_by, rows=rows)
 
 
 def _option(prio: int, key: Column) -> Column:
@@ -81,7 +81,8 @@ def _known(options: Sequence[Column]) -> Column:
 
 
 def _joined(folder: str, name: Column) -> Column:
-    return F.concat(F.lit("path:" + folder.rstrip("/") + "/"), name)
+    prefix = folder.rstrip("/") + "/" if folder else ""
+    return F.concat(F.lit("path:" + prefix), name)
 
 
 def image_candidates(
@@ -117,16 +118,24 @@ def image_candidates(
         )
     in_root = F.when(~absolute, _joined(root, filled))
     in_folder = F.when(has_name, _joined(images_dir, name))
+    tries = [F.when(absolute, whole), in_root, in_folder]
     if strategy == "project":
-        tries = [F.when(absolute, whole), in_root, in_folder]
-        tries += [F.when(has_name, _joined(images_dir, F.concat(stem, F.lit("." + e)))) for e in exts or PROJECT_IMAGE_EXTS]
+        by_ext, last = exts or PROJECT_IMAGE_EXTS, []
     elif strategy == "glob":
-        tries = [F.when(absolute, whole), in_root, in_folder, F.when(~absolute, _joined(images_dir, filled))]
-        tries += [F.when(has_name, _joined(images_dir, F.concat(stem, F.lit("." + e)))) for e in exts or ALL_IMAGE_EXTS]
-        tries.append(F.when(has_name, F.concat(F.lit("prefix:" + images_dir.rstrip("/") + "/"), stem)))
+        tries.append(F.when(~absolute, _joined(images_dir, filled)))
+        by_ext = exts or ALL_IMAGE_EXTS
+        last = [_option(100, F.when(has_name, F.concat(F.lit("prefix:" + images_dir.rstrip("/") + "/"), stem)))]
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return _known([_option(i, t) for i, t in enumerate(tries)])
+    with_ext = F.transform(
+        F.array(*[F.lit("." + e) for e in by_ext]),
+        lambda e, i: F.struct(
+            (i + len(tries)).alias("prio"), F.when(has_name, _joined(images_dir, F.concat(stem, e))).alias("key")
+        ),
+    )
+    first = F.array(*[_option(i, t) for i, t in enumerate(tries)])
+    parts = [first, with_ext] + ([F.array(*last)] if last else [])
+    return F.filter(F.concat(*parts), lambda o: o["key"].isNotNull())
 
 
 def resolve_images(
@@ -172,6 +181,7 @@ def audit(
 ) -> DataFrame:
     """One row per manifest row: what it names, what was found, what is wrong."""
     exts = tuple(exts or ALL_IMAGE_EXTS)
+    n_rows = manifest.count()
     rows = manifest.select(
         F.col(row_idx).alias("row_idx"),
         F.lit(image_col).alias("image_col_used"),
@@ -187,6 +197,7 @@ def audit(
         file_keys(images),
         "_image",
         ["row_idx"],
+        n_rows,
     )
     rules = [
         (F.col("csv_image_value") == "", "CSV_IMAGE_VALUE_EMPTY"),
@@ -208,6 +219,7 @@ def audit(
             file_keys(masks),
             "_mask",
             ["row_idx"],
+            n_rows,
         )
         rules.append((F.col("_mask").isNull(), "MASK_NOT_FOUND_ON_DISK"))
     else:
@@ -294,13 +306,13 @@ def diff_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
-def stem_index(files: DataFrame, spread_by: Sequence[str] = ("path",)) -> DataFrame:
+def stem_index(files: DataFrame, exts: Sequence[str] = ALL_IMAGE_EXTS, spread_by: Sequence[str] = ("path",)) -> DataFrame:
     """The stem index, one row per file: group size and the path lookups pick.
 
     Paths of a stem stay rows; gathering them in one value would put a stem
     that names much of the data into one task.
     """
-    stemmed = files.withColumn("stem", norm_stem("path"))
+    stemmed = files.withColumn("stem", norm_stem("path", exts))
     facts = stemmed.groupBy("stem").agg(F.count(F.lit(1)).alias("n_paths"), F.min("path").alias("first_path"))
     return salted_join(stemmed.select("stem", "path"), facts, ["stem"], "left", spread_by)
 

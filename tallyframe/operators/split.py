@@ -64,10 +64,15 @@ def stratified_split(
 
 
 def _class_cuts(strata: DataFrame, ratios: tuple[int, int, int]) -> DataFrame:
-    def upto(percent: int) -> Column:
-        return F.floor(F.col("_size") * percent / 100 + F.lit(1e-9)).cast("bigint")
+    size = F.col("_size")
+    return strata.select(
+        "_s", _share(size, ratios[0]).alias("_train"), _share(size, ratios[0] + ratios[1]).alias("_val")
+    )
+
 
-    return strata.select("_s", upto(ratios[0]).alias("_train"), upto(ratios[0] + ratios[1]).alias("_val"))
+def _share(n: Column, percent: int) -> Column:
+    """Whole percent of a count, rounded down in whole numbers."""
+    return ((n * percent - (n * percent) % 100) / 100).cast("bigint")
 
 
 def _remainder_cuts(strata: DataFrame, ratios: tuple[int, int, int]) -> DataFrame:
@@ -75,17 +80,14 @@ def _remainder_cuts(strata: DataFrame, ratios: tuple[int, int, int]) -> DataFram
     everything = Window.partitionBy()
     size, total = F.col("_size"), F.sum("_size").over(everything)
 
-    def share(n: Column, percent: int) -> Column:
-        return ((n * percent - (n * percent) % 100) / 100).cast("bigint")
-
     def allotted(base: str, percent: int, room: Column) -> Column:
-        missing = share(total, percent) - F.sum(base).over(everything)
+        missing = _share(total, percent) - F.sum(base).over(everything)
         by_remainder = Window.partitionBy().orderBy(room.desc(), ((size * percent) % 100).desc(), "_s")
         return F.col(base) + (F.row_number().over(by_remainder) <= missing).cast("bigint")
 
     return (
-        strata.withColumn("_v0", share(size, ratios[1]))
-        .withColumn("_t0", share(size, ratios[2]))
+        strata.withColumn("_v0", _share(size, ratios[1]))
+        .withColumn("_t0", _share(size, ratios[2]))
         .withColumn("_v", allotted("_v0", ratios[1], F.col("_size") > F.col("_v0") + F.col("_t0")))
         .withColumn("_t", allotted("_t0", ratios[2], F.col("_size") > F.col("_v") + F.col("_t0")))
         .select("_s", (size - F.col("_v") - F.col("_t")).alias("_train"), (size - F.col("_t")).alias("_val"))

@@ -1,8 +1,8 @@
-"""Joins and flags that stay balanced when one key holds much of the data.
+"""Joins that stay balanced when one key holds much of the data.
 
-A key is *hot* when it holds at least ``1/share`` of the rows. At most
-``share`` keys can, so the hot-key table has a size bound that does not depend
-on the data and may be broadcast.
+A key is *hot* when it holds at least ``1/share`` of the rows and at least
+``min_rows`` of them. At most ``share`` keys can be hot, so the list of hot
+keys has a size bound that does not depend on the data.
 """
 
 from __future__ import annotations
@@ -23,12 +23,11 @@ def key_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
+    df: DataFrame, keys: Sequence[str], rows: int, share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
 ) -> DataFrame:
-    """Keys with at least ``1/share`` of the rows and at least ``min_rows`` of them."""
-    counts = key_counts(df, keys, "_n")
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where((F.col("_n") >= min_rows) & (F.col("_n") * share >= total)).select(*keys)
+    """Keys of a frame of ``rows`` rows that are hot: at most ``share`` of them."""
+    bound = max(min_rows, -(-rows // share), 1)
+    return key_counts(df.select(*keys), keys, "_n").where(F.col("_n") >= bound).select(*keys)
 
 
 def salted_join(
@@ -37,6 +36,7 @@ def salted_join(
     on: Sequence[str],
     how: str,
     spread_by: Sequence[str],
+    rows: int | None = None,
     share: int = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
     salts: int = SALTS,
@@ -47,29 +47,25 @@ def salted_join(
     salt for hot keys only. ``spread_by`` names left columns that tell the rows
     of one key apart; the salt is a hash of them, so a re-run task gives the
     same rows to the same partitions.
+
+    A left side of fewer than ``min_rows`` rows has no hot key and joins as it
+    is; ``rows`` saves counting it when the caller knows its size.
     """
     on = list(on)
-    hot = hot_keys(left.select(*on), on, share, min_rows).select(
-        *[F.col(c).alias(f"_h_{c}") for c in on], F.lit(True).alias("_hot")
-    )
-    hot = F.broadcast(hot)  # at most `share` rows
-    is_hot = F.lit(True)
-    for c in on:
-        is_hot = is_hot & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    rows = left.count() if rows is None else rows
+    if rows < min_rows:
+        return left.join(right, on, how)
+    found = hot_keys(left, on, rows, share, min_rows).collect()  # at most `share` rows
+    if not found:
+        return left.join(right, on, how)
+    is_hot = F.lit(False)
+    for row in found:
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.lit(row[c]))
+        is_hot = is_hot | same
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    marked = left.join(hot, is_hot, "left").select(
-        *left.columns, F.when(F.col("_hot"), salt).otherwise(F.lit(0)).alias("_salt")
-    )
+    marked = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread = right.join(hot, is_hot, "left").select(
-        *right.columns,
-        F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))).alias("_salt"),
-    )
-    return marked.join(spread, on + ["_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after counting; beyond the bound the frame is left as it is."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    spread = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return marked.join(spread, [*on, "_salt"], how).drop("_salt")
