@@ -369,7 +369,7 @@ GRID = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
         t AS (SELECT unnest({GRID}) AS temperature),
         n AS (SELECT temperature, id, ln(sum(exp(v / temperature))) - max(CASE WHEN c = target_index THEN v / temperature END) AS nll
               FROM l, t GROUP BY 1, 2)
-        SELECT temperature, round(avg(nll), 6) AS loss FROM n GROUP BY 1""",
+        SELECT temperature::DOUBLE AS temperature, round(avg(nll), 6) AS loss FROM n GROUP BY 1""",
 )
 def q15(spark, folder):
     fitted = metrics.fit_temperature(v.logits(spark, folder), v.N_CLASSES, GRID)

@@ -209,7 +209,7 @@ def vector_features(
 
 
 def feature_stats(df: DataFrame, col: str) -> DataFrame:
-    """One row: mean and population std per place of an array column."""
+    """One row: mean and population std per place of an array column, and the number of rows."""
     stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(col)))
     n = F.col("s.count")
     return df.agg(stats.alias("s")).select(
@@ -217,6 +217,7 @@ def feature_stats(df: DataFrame, col: str) -> DataFrame:
         F.transform(
             vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / F.greatest(n, F.lit(1)))
         ).alias("std"),
+        n.alias("rows"),
     )
 
 

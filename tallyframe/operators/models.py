@@ -20,6 +20,8 @@ from tallyframe.operators.weights import attach_weights, balanced_weights
 CONSTANT_LABEL = "suspeita"
 CONSTANT_SCORE = 0.71
 
+PARTITION_BYTES = 32 << 20
+
 RUN_SCHEMA = T.StructType(
     [
         T.StructField("experiment_id", T.StringType()),
@@ -51,6 +53,7 @@ class Fitted:
 def _training_rows(df: DataFrame, features: str, target: str, n_classes: int, balanced: bool):
     # one row of statistics, kept on the driver so that each solver pass does not compute it again
     row = feature_stats(df, features).first()
+    n_bytes = row["rows"] * len(row["mean"]) * 8
     stats = df.sparkSession.createDataFrame([(row["mean"], row["std"])], "mean array<double>, std array<double>")
     scaled = apply_stats(df, stats, features, "_z").select(
         array_to_vector("_z").alias("features_vec"), F.col(target).cast("int").alias(target)
@@ -59,7 +62,8 @@ def _training_rows(df: DataFrame, features: str, target: str, n_classes: int, ba
         weighted = attach_weights(scaled, balanced_weights(scaled, target), n_classes, target)
     else:
         weighted = scaled.withColumn("weight", F.lit(1.0))
-    return stats, weighted
+    # each solver step is one short job: small data in many partitions is all task overhead
+    return stats, weighted.coalesce(max(1, -(-n_bytes // PARTITION_BYTES)))
 
 
 def fit_logreg(

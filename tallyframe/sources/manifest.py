@@ -57,7 +57,7 @@ def scan_text(spark: SparkSession, path: str) -> dict | None:
     return (
         lines.agg(
             F.count(F.lit(1)).alias("lines"),
-            F.count_if(F.col("value").contains("�")).alias("undecodable"),
+            F.count_if(~F.is_valid_utf8("value")).alias("undecodable"),
             F.count_if(quotes % 2 == 1).alias("open_quotes"),
             F.count_if(F.trim("value") == "").alias("blank"),
         )
@@ -142,18 +142,16 @@ def manifest_index(manifest: DataFrame, id_col: str | None = None) -> DataFrame:
 def read_splits(spark: SparkSession, folder: str, names: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """The split tables as one frame with a ``split`` column.
 
-    Reads ``folder/split=<name>/`` Parquet when present, else ``<name>.csv`` files.
+    Reads ``<name>.csv`` files where they exist, else Parquet partitioned by split.
     """
     try:
-        stored = spark.read.parquet(folder)
-        if "split" in stored.columns:
-            return stored
-    except AnalysisException:
-        pass
-    frames = [
-        spark.read.option("header", True).csv(f"{folder}/{n}.csv").withColumn("split", F.lit(n))
-        for n in names
-    ]
+        frames = [
+            spark.read.option("header", True).csv(f"{folder}/{n}.csv").withColumn("split", F.lit(n)) for n in names
+        ]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.read.parquet(folder)
+        raise
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
