@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.values import is_close, issue_codes, pick_path
-from tallyframe.operators.resolve import attach_best, file_keys, image_candidates
+from tallyframe.operators.resolve import attach_best, file_keys, image_options
 from tallyframe.plans.order import hash_order, slice_ordered
 
 # Allowed questionnaire answers and limits, sample size and gate of key recovery.
@@ -172,8 +172,14 @@ def recover_key_column(
     sample = slice_ordered(df, [hash_order(seed, key), F.col(key)], 0, sample_n)
     long = sample.select(F.col(key).alias("_row"), *text).unpivot(["_row"], text, "column", "value")
     asked = long.where(F.col("value").isNotNull())
-    options = image_candidates("value", "project", images_dir, root, exts)
-    found = attach_best(asked, ["value"], options, file_keys(files, ("path",)), "_path", ["_row", "column"])
+    found = attach_best(
+        asked,
+        ["value"],
+        lambda d: image_options(d, "value", "project", images_dir, root, exts),
+        file_keys(files, ("path",)),
+        "_path",
+        ["_row", "column"],
+    )
     return (
         found.groupBy("column")
         .agg(F.avg(F.col("_path").isNotNull().cast("double")).alias("ratio_resolved"))

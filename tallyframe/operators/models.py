@@ -102,7 +102,7 @@ def fit_linear_svm(
     C: float = 1.0,
     max_iter: int = 50,
     balanced: bool = True,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> Fitted:
     """One linear SVM per class against the rest."""
     stats, rows = _training_rows(df, features, target, n_classes, balanced)

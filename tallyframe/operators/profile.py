@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.names import ALL_IMAGE_EXTS, looks_like_filename, norm_stem
 from tallyframe.functions.values import as_double, coerce_int0
 from tallyframe.plans.order import exact_quantiles, hash_order, slice_ordered
-from tallyframe.plans.skew import salted_join
+from tallyframe.plans.skew import key_counts, salted_join
 
 # Thresholds of the inference rules and report lengths.
 ONE_HOT_SHARE = 0.90
@@ -245,21 +245,34 @@ def audit_summary(
     audited: DataFrame, images: DataFrame, masks: DataFrame, facts: dict[str, str | int | None] | None = None
 ) -> DataFrame:
     """The audit's key/value summary; ``facts`` adds values known before the run."""
-    image_stems, mask_stems = norm_stem("path"), norm_stem("path")
-    on_disk = images.select(image_stems.alias("image_stem")).distinct()
-    in_rows = audited.select("image_stem").where(F.col("image_stem") != "").distinct()
-    count = F.count(F.lit(1))
-    totals = audit_totals(audited).select(
-        F.col("rows").alias("audit_total_rows"),
-        F.col("images_missing").alias("audit_images_missing"),
-        F.col("masks_missing").alias("audit_masks_missing"),
-        images.agg(count).scalar().alias("image_files_on_disk"),
-        masks.agg(count).scalar().alias("mask_files_on_disk"),
-        on_disk.join(in_rows, "image_stem", "left_anti").agg(count).scalar().alias("disk_only_image_stems"),
-        in_rows.join(on_disk, "image_stem", "left_anti").agg(count).scalar().alias("csv_only_image_stems"),
-        duplicates(audited, "image_stem").select("groups").scalar().alias("csv_duplicate_stems"),
-        duplicates(images, image_stems).select("groups").scalar().alias("disk_duplicate_image_stems"),
-        duplicates(masks, mask_stems).select("groups").scalar().alias("disk_duplicate_mask_stems"),
-        *[F.lit(v).cast("string").alias(k) for k, v in (facts or {}).items()],
+    rows = audited.groupBy("image_stem").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(~F.col("image_exists")).alias("_no_image"),
+        F.count_if(~F.col("mask_exists")).alias("_no_mask"),
+    )
+    on_disk = key_counts(images.select(norm_stem("path").alias("image_stem")), ["image_stem"], "_files")
+    masks_on_disk = key_counts(masks.select(norm_stem("path").alias("stem")), ["stem"], "_files").agg(
+        F.struct(F.coalesce(F.sum("_files"), F.lit(0)).alias("files"), F.count_if(F.col("_files") > 1).alias("repeated")).alias("m")
+    )
+    named = F.col("image_stem") != ""
+    zero = F.lit(0)
+    # audited rows and files meet once, counted per stem
+    totals = (
+        rows.join(on_disk, "image_stem", "full_outer")
+        .agg(
+            F.coalesce(F.sum("_rows"), zero).alias("audit_total_rows"),
+            F.coalesce(F.sum("_no_image"), zero).alias("audit_images_missing"),
+            F.coalesce(F.sum("_no_mask"), zero).alias("audit_masks_missing"),
+            F.coalesce(F.sum("_files"), zero).alias("image_files_on_disk"),
+            F.count_if(F.col("_rows").isNull() & named).alias("disk_only_image_stems"),
+            F.count_if(F.col("_files").isNull() & named).alias("csv_only_image_stems"),
+            F.count_if(F.col("_rows") > 1).alias("csv_duplicate_stems"),
+            F.count_if(F.col("_files") > 1).alias("disk_duplicate_image_stems"),
+        )
+        .withColumn("_masks", masks_on_disk.scalar())
+        .withColumn("mask_files_on_disk", F.col("_masks.files"))
+        .withColumn("disk_duplicate_mask_stems", F.col("_masks.repeated"))
+        .drop("_masks")
+        .withColumns({k: F.lit(v).cast("string") for k, v in (facts or {}).items()})
     )
     return key_value(totals)

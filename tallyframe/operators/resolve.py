@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ def _dot_prefixes() -> Column:
 def attach_best(
     df: DataFrame,
     by: Sequence[str],
-    candidates: Column,
+    with_options: Callable[[DataFrame], DataFrame],
     keys: DataFrame,
     out: str,
     spread_by: Sequence[str],
@@ -59,12 +59,13 @@ def attach_best(
 ) -> DataFrame:
     """Adds the path of the first candidate that exists.
 
-    Candidates are made once per distinct value and meet the files in one
-    join; the result, one row per value, goes back to the rows by a join that
-    spreads hot values.
+    ``with_options`` adds candidates (``options``: priority and key) to the
+    distinct values. They meet the files in one join; the result, one row per
+    value, goes back to the rows by a join that spreads hot values.
     """
     rows = df.count() if rows is None else rows
-    options = df.select(*by).distinct().select(*by, F.inline(candidates))
+    asked = with_options(df.select(*by).distinct())
+    options = asked.select(*by, F.inline("options")).where(F.col("key").isNotNull())
     # distinct values are no more than the rows, so few rows mean no hot key here either
     found = salted_join(options, keys, ["key"], "inner", by, rows=None if rows >= HOT_MIN_ROWS else rows)
     best = found.groupBy(*by).agg(F.min(F.struct("prio", "path")).alias("_best"))
@@ -72,12 +73,9 @@ def attach_best(
     return salted_join(df, best, by, "left", spread_by, rows=rows)
 
 
-def _option(prio: int, key: Column) -> Column:
-    return F.struct(F.lit(prio).alias("prio"), key.alias("key"))
-
-
-def _known(options: Sequence[Column]) -> Column:
-    return F.filter(F.array(*options), lambda o: o["key"].isNotNull())
+def _option(prio: int | Column, key: Column) -> Column:
+    prio = prio if isinstance(prio, Column) else F.lit(prio)
+    return F.struct(prio.alias("prio"), key.alias("key"))
 
 
 def _joined(folder: str, name: Column) -> Column:
@@ -85,57 +83,63 @@ def _joined(folder: str, name: Column) -> Column:
     return F.concat(F.lit("path:" + prefix), name)
 
 
-def image_candidates(
+def image_options(
+    asked: DataFrame,
     value: str,
     strategy: str,
     images_dir: str,
     root: str,
     exts: Sequence[str] | None = None,
-) -> Column:
-    """Lookup keys of an image value in order of preference.
+    out: str = "options",
+) -> DataFrame:
+    """Adds the lookup keys of an image value in order of preference; unfit ones are null.
 
     ``stem``: whole path, file name in the folder, then lower-case stem.
     ``project``: whole path, below the root, file name, stem with each extension.
     ``glob``: whole path or below the root, file name, below the folder, stem
     with each extension, any file that starts with the stem and a dot.
     """
+    # path, name and stem are made once per value and then only concatenated
     clean = strip_quotes(value) if strategy == "project" else F.trim(F.col(value))
-    path = slashes(clean)
-    name = base_name(path)
-    stem = drop_suffix(name)
-    filled = F.nullif(path, F.lit(""))
-    has_name = F.nullif(name, F.lit("")).isNotNull()
-    absolute = filled.startswith("/") | filled.rlike("^[A-Za-z]:/|^[a-z0-9]+:/")
-    whole = F.concat(F.lit("path:"), filled)
+    parts = asked.withColumn("_path", slashes(clean)).withColumn("_name", F.substring_index("_path", "/", -1))
+    path, name = F.nullif(F.col("_path"), F.lit("")), F.nullif(F.col("_name"), F.lit(""))
+    absolute = path.rlike("^(/|[A-Za-z]:/|[a-z0-9]+:/)")
+    whole = F.concat(F.lit("path:"), path)
     if strategy == "stem":
-        known = file_suffix(name).isin(*(exts or ALL_IMAGE_EXTS))
-        return _known(
-            [
-                _option(0, F.when(absolute & known, whole)),
-                _option(1, F.when(known, _joined(images_dir, name))),
-                _option(2, F.when(norm_stem(path) != "", F.concat(F.lit("stem:"), norm_stem(path)))),
-            ]
-        )
-    in_root = F.when(~absolute, _joined(root, filled))
-    in_folder = F.when(has_name, _joined(images_dir, name))
-    tries = [F.when(absolute, whole), in_root, in_folder]
-    if strategy == "project":
-        by_ext, last = exts or PROJECT_IMAGE_EXTS, []
-    elif strategy == "glob":
-        tries.append(F.when(~absolute, _joined(images_dir, filled)))
-        by_ext = exts or ALL_IMAGE_EXTS
-        last = [_option(100, F.when(has_name, F.concat(F.lit("prefix:" + images_dir.rstrip("/") + "/"), stem)))]
+        known = file_suffix("_name").isin(*(exts or ALL_IMAGE_EXTS))
+        parts = parts.withColumn("_stem", F.nullif(norm_stem("_path", exts or ALL_IMAGE_EXTS), F.lit("")))
+        parts = parts.withColumn("_known", known)
+        tries = [
+            F.when(absolute & F.col("_known"), whole),
+            F.when(F.col("_known"), _joined(images_dir, name)),
+            F.concat(F.lit("stem:"), "_stem"),
+        ]
+        options = F.array(*[_option(i, t) for i, t in enumerate(tries)])
+    elif strategy in ("project", "glob"):
+        parts = parts.withColumn("_stem", drop_suffix(name)).withColumn("_absolute", absolute)
+        tries = [
+            F.when(F.col("_absolute"), whole),
+            F.when(~F.col("_absolute"), _joined(root, path)),
+            _joined(images_dir, name),
+        ]
+        last = []
+        if strategy == "glob":
+            tries.append(F.when(~F.col("_absolute"), _joined(images_dir, path)))
+            last = [_option(100, F.concat(F.lit("prefix:" + images_dir.rstrip("/") + "/"), "_stem"))]
+        by_ext = exts or (PROJECT_IMAGE_EXTS if strategy == "project" else ALL_IMAGE_EXTS)
+        tries += [_joined(images_dir, F.concat("_stem", F.lit("." + e))) for e in by_ext]
+        options = F.array(*[_option(i, t) for i, t in enumerate(tries)], *last)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    with_ext = F.transform(
-        F.array(*[F.lit("." + e) for e in by_ext]),
-        lambda e, i: F.struct(
-            (i + len(tries)).alias("prio"), F.when(has_name, _joined(images_dir, F.concat(stem, e))).alias("key")
-        ),
+    return parts.withColumn(out, options).drop("_path", "_name", "_stem", "_known", "_absolute")
+
+
+def mask_options(asked: DataFrame, stem: str, start: int = 0, out: str = "options") -> DataFrame:
+    """Adds the lookup keys of a mask for an image stem."""
+    found = F.transform(
+        mask_candidates(stem), lambda o: _option(o["prio"] + start, F.concat(F.lit("stem:"), o["key"]))
     )
-    first = F.array(*[_option(i, t) for i, t in enumerate(tries)])
-    parts = [first, with_ext] + ([F.array(*last)] if last else [])
-    return F.filter(F.concat(*parts), lambda o: o["key"].isNotNull())
+    return asked.withColumn(out, found)
 
 
 def resolve_images(
@@ -151,7 +155,10 @@ def resolve_images(
 ) -> DataFrame:
     kinds = {"stem": ("path", "stem"), "project": ("path",), "glob": ("path", "prefix")}[strategy]
     asked = manifest.withColumn(value, safe_str(value))
-    options = image_candidates(value, strategy, images_dir, root, exts)
+
+    def options(values: DataFrame) -> DataFrame:
+        return image_options(values, value, strategy, images_dir, root, exts)
+
     return attach_best(asked, [value], options, file_keys(files, kinds), out, spread_by)
 
 
@@ -159,12 +166,8 @@ def resolve_masks(
     stems: DataFrame, masks: DataFrame, stem: str, spread_by: Sequence[str], out: str = "mask_path"
 ) -> DataFrame:
     """Mask per stem: the stem itself, with a suffix added, with one removed."""
-    options = F.transform(
-        mask_candidates(stem),
-        lambda o: F.struct(o["prio"].alias("prio"), F.concat(F.lit("stem:"), o["key"]).alias("key")),
-    )
     asked = stems.withColumn(stem, safe_str(stem))
-    return attach_best(asked, [stem], options, file_keys(masks, ("stem",)), out, spread_by)
+    return attach_best(asked, [stem], lambda d: mask_options(d, stem), file_keys(masks, ("stem",)), out, spread_by)
 
 
 def audit(
@@ -193,7 +196,7 @@ def audit(
     rows = attach_best(
         rows,
         ["csv_image_value"],
-        image_candidates("csv_image_value", "stem", images_dir, root, exts),
+        lambda d: image_options(d, "csv_image_value", "stem", images_dir, root, exts),
         file_keys(images),
         "_image",
         ["row_idx"],
@@ -204,18 +207,20 @@ def audit(
         (F.col("_image").isNull(), "IMAGE_NOT_FOUND_ON_DISK"),
     ]
     if masks is not None:
-        from_value = F.filter(
-            image_candidates("csv_mask_value", "stem", masks_dir, root, exts),
-            lambda _: file_suffix("csv_mask_value").isin(*exts),
-        )
-        from_stem = F.transform(
-            mask_candidates("image_stem"),
-            lambda o: F.struct((o["prio"] + 10).alias("prio"), F.concat(F.lit("stem:"), o["key"]).alias("key")),
-        )
+        named = file_suffix("csv_mask_value").isin(*exts)
+
+        def options(values: DataFrame) -> DataFrame:
+            both = mask_options(values, "image_stem", start=10, out="_by_stem")
+            if mask_col is None:
+                return both.withColumnRenamed("_by_stem", "options")
+            both = image_options(both, "csv_mask_value", "stem", masks_dir, root, exts, out="_named")
+            chosen = F.when(named, F.concat("_named", "_by_stem")).otherwise(F.col("_by_stem"))
+            return both.withColumn("options", chosen)
+
         rows = attach_best(
             rows,
             ["csv_mask_value", "image_stem"],
-            F.concat(from_value, from_stem),
+            options,
             file_keys(masks),
             "_mask",
             ["row_idx"],

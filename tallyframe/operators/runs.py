@@ -40,10 +40,10 @@ def rank_runs(runs: DataFrame, metric: str = "val_f1_macro", key: str = "experim
     Equal values share a rank, so ranks belong to the distinct values: they
     are counted, added up in descending order, and joined back.
     """
-    counts = runs.where(F.col(metric).isNotNull()).groupBy(metric).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_total(counts, [F.col(metric).desc()], "_n", "_upto")
-    ranks = placed.select(metric, (F.col("_upto") - F.col("_n") + 1).alias(out))
-    return salted_join(runs, ranks, [metric], "left", [key])
+    counts = runs.groupBy(metric).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(counts, [F.col(metric).desc_nulls_last()], "n", "_upto")
+    ranks = placed.where(F.col(metric).isNotNull()).select(metric, (F.col("_upto") - F.col("n") + 1).alias(out))
+    return salted_join(runs, ranks, [metric], "left", [key], counts=placed.select(metric, "n"))
 
 
 def select_best(runs: DataFrame, key: str = "experiment_id") -> DataFrame:

@@ -90,46 +90,59 @@ def slice_ordered(
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: dict[str, tuple[int, int]]
+    df: DataFrame, cols: Sequence[str], probs: dict[str, tuple[int, int]], error: float = 1e-3
 ) -> DataFrame:
     """Linearly interpolated quantiles per column; ``probs`` maps name -> (numerator, denominator).
 
-    Values are counted first (map-side combined), so repeated values travel
-    once; positions are found in the range-partitioned counts.
+    A sketch gives a narrow bracket around each quantile, one pass counts the
+    rows below and inside it, and only the rows inside are put in order. A
+    bracket that misses its rank is opened to the whole column, so the result
+    is exact whatever the sketch says.
     """
-    long = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        .unpivot([], list(cols), "column", "value")
-        .where(F.col("value").isNotNull())
-    )
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_total(counts, [F.col("column"), F.col("value")], "n", "_end")
-    # at most one row per requested column
-    spans = placed.groupBy("column").agg(
-        F.min(F.col("_end") - F.col("n")).alias("_first"), F.sum("n").alias("_rows")
-    )
-    located = placed.join(F.broadcast(spans), "column").select(
-        "column",
-        "value",
-        "_rows",
-        (F.col("_end") - F.col("_first")).alias("_upto"),
-        (F.col("_end") - F.col("_first") - F.col("n")).alias("_from"),
-    )
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= position) & (position < F.col("_upto")), F.col("value")))
-
-    picks, outs = [], [F.col("column")]
-    for name, (num, den) in probs.items():
-        scaled = (F.col("_rows") - 1) * num
-        low = F.floor(scaled / den)
-        high = F.ceil(scaled / den)
-        picks += [
-            at(low).alias(f"_{name}_lo"),
-            at(high).alias(f"_{name}_hi"),
-            F.first((scaled % den) / den).alias(f"_{name}_f"),
-        ]
-        outs.append(
-            (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")).alias(name)
-        )
-    return located.groupBy("column").agg(*picks).select(*outs)
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
+    asked = [(c, name) for c in cols for name in probs]
+    edges = sorted({e for n, d in probs.values() for e in (max(n / d - 2 * error, 0.0), min(n / d + 2 * error, 1.0))})
+    sketched = dict(zip(cols, numbers.approxQuantile(list(cols), edges, error), strict=True))
+    brackets = {}
+    for c, name in asked:
+        n, d = probs[name]
+        found = dict(zip(edges, sketched[c], strict=False))
+        if found:
+            brackets[c, name] = (found[max(n / d - 2 * error, 0.0)], found[min(n / d + 2 * error, 1.0)])
+    tallies = [F.count(F.col(c)).alias(f"n_{c}") for c in cols]
+    for (c, name), (low, high) in brackets.items():
+        tallies.append(F.count_if(F.col(c) < low).alias(f"below_{c}_{name}"))
+        tallies.append(F.count_if(F.col(c).between(low, high)).alias(f"inside_{c}_{name}"))
+    counted = numbers.agg(*tallies).first().asDict()
+
+    # per column and quantile: the two ranks around it, and the rows to look at
+    plan, inside = [], []
+    for (c, name), (low, high) in brackets.items():
+        n, d = probs[name]
+        last = counted[f"n_{c}"] - 1
+        first_rank, second_rank = last * n // d, -(-last * n // d)
+        below = counted[f"below_{c}_{name}"]
+        if not below <= first_rank <= second_rank < below + counted[f"inside_{c}_{name}"]:
+            low, high, below = float("-inf"), float("inf"), 0
+        plan.append((c, name, first_rank - below, second_rank - below, (last * n % d) / d))
+        value = F.struct(F.lit(c).alias("column"), F.lit(name).alias("name"), F.col(c).alias("value"))
+        inside.append(F.when(F.col(c).between(low, high), value))
+    spark = df.sparkSession
+    if not plan:
+        return spark.createDataFrame([], "column string, " + ", ".join(f"{p} double" for p in probs))
+    picked = numbers.select(F.explode(F.array_compact(F.array(*inside))).alias("r")).select("r.*")
+    counts = picked.groupBy("column", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    group, order = ["column", "name"], [F.col("column"), F.col("name"), F.col("value")]
+    placed = running_total(counts, order, "n", "_end")
+    # one row per column and quantile
+    firsts = placed.groupBy(*group).agg(F.min(F.col("_end") - F.col("n")).alias("_first"))
+    wanted = spark.createDataFrame(plan, "column string, name string, lo bigint, hi bigint, part double")
+    located = placed.join(F.broadcast(firsts.join(wanted, group)), group)
+    upto = F.col("_end") - F.col("_first")
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((upto - F.col("n") <= F.col(rank)) & (F.col(rank) < upto), F.col("value")))
+
+    found = located.groupBy(*group).agg(at("lo").alias("v"), at("hi").alias("w"), F.first("part").alias("part"))
+    value = F.col("v") + (F.col("w") - F.col("v")) * F.col("part")
+    return found.groupBy("column").pivot("name", list(probs)).agg(F.first(value))

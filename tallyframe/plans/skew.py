@@ -23,11 +23,10 @@ def key_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows: int, share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
+    counts: DataFrame, keys: Sequence[str], rows: int, share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
 ) -> DataFrame:
-    """Keys of a frame of ``rows`` rows that are hot: at most ``share`` of them."""
-    bound = max(min_rows, -(-rows // share), 1)
-    return key_counts(df.select(*keys), keys, "_n").where(F.col("_n") >= bound).select(*keys)
+    """The hot keys of ``rows`` rows counted as ``n`` per key: at most ``share`` of them."""
+    return counts.where(F.col("n") >= max(min_rows, -(-rows // share), 1)).select(*keys)
 
 
 def salted_join(
@@ -37,6 +36,7 @@ def salted_join(
     how: str,
     spread_by: Sequence[str],
     rows: int | None = None,
+    counts: DataFrame | None = None,
     share: int = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
     salts: int = SALTS,
@@ -49,13 +49,16 @@ def salted_join(
     same rows to the same partitions.
 
     A left side of fewer than ``min_rows`` rows has no hot key and joins as it
-    is; ``rows`` saves counting it when the caller knows its size.
+    is; ``rows`` saves counting it when the caller knows its size. ``counts``
+    (the keys and ``n``) saves counting keys when the caller has done so.
     """
     on = list(on)
-    rows = left.count() if rows is None else rows
+    if rows is None:
+        rows = left.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
     if rows < min_rows:
         return left.join(right, on, how)
-    found = hot_keys(left, on, rows, share, min_rows).collect()  # at most `share` rows
+    counts = key_counts(left.select(*on), on) if counts is None else counts
+    found = hot_keys(counts, on, rows, share, min_rows).collect()  # at most `share` rows
     if not found:
         return left.join(right, on, how)
     is_hot = F.lit(False)
