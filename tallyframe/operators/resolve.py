@@ -34,8 +34,8 @@ def file_keys(files: DataFrame, kinds: Iterable[str] = ("path", "stem")) -> Data
         "stem": F.array(F.concat(F.lit("stem:"), norm_stem("path"))),
         "prefix": _dot_prefixes(),
     }
-    keyed = files.select("path", F.explode(F.concat(*[made[k] for k in kinds])).alias("key"))
-    return keyed.groupBy("key").agg(F.min("path").alias("path"))
+    keyed = files.select("path", F.explode_outer(F.concat(*[made[k] for k in kinds])).alias("key"))
+    return keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("path").alias("path"))
 
 
 def _dot_prefixes() -> Column:
@@ -65,7 +65,9 @@ def attach_best(
     """
     rows = df.count() if rows is None else rows
     asked = with_options(df.select(*by).distinct())
-    options = asked.select(*by, F.inline("options")).where(F.col("key").isNotNull())
+    # the outer form keeps the optimizer from testing the size of `options` at the scan, which
+    # would build it once more for every row
+    options = asked.select(*by, F.inline_outer("options")).where(F.col("key").isNotNull())
     # distinct values are no more than the rows, so few rows mean no hot key here either
     found = salted_join(options, keys, ["key"], "inner", by, rows=None if rows >= HOT_MIN_ROWS else rows)
     best = found.groupBy(*by).agg(F.min(F.struct("prio", "path")).alias("_best"))
@@ -270,7 +272,8 @@ def images_by_id(files: DataFrame) -> DataFrame:
 def masks_by_alias(masks: DataFrame) -> DataFrame:
     """Mask per alias; the first by lower-case name wins."""
     return (
-        masks.select(F.explode(mask_aliases("stem")).alias("id"), "path", "name")
+        masks.select(F.explode_outer(mask_aliases("stem")).alias("id"), "path", "name")
+        .where(F.col("id").isNotNull())
         .groupBy("id")
         .agg(F.min_by(F.struct("path", "name"), F.struct(F.lower("name"), "path")).alias("f"))
         .select("id", F.col("f.path").alias("mask_path"), F.col("f.name").alias("mask_filename"))

@@ -8,6 +8,7 @@ partition (one small row each) and rank inside the partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 from tallyframe.session import ensure_checkpoint_dir, shuffle_partitions
 
 SHALLOW_ROWS = 10_000
+WINDOW_ROWS = 1_000_000
 
 
 def hash_order(seed: int, *cols: str | Column) -> Column:
@@ -100,15 +102,17 @@ def exact_quantiles(
     is exact whatever the sketch says.
     """
     numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
-    asked = [(c, name) for c in cols for name in probs]
-    edges = sorted({e for n, d in probs.values() for e in (max(n / d - 2 * error, 0.0), min(n / d + 2 * error, 1.0))})
-    sketched = dict(zip(cols, numbers.approxQuantile(list(cols), edges, error), strict=True))
+    around = {
+        name: (max(n / d - 2 * error, 0.0), min(n / d + 2 * error, 1.0)) for name, (n, d) in probs.items()
+    }
+    edges = sorted({e for pair in around.values() for e in pair})
+    accuracy = F.lit(int(1 / error))
+    sketch = numbers.agg(*[F.percentile_approx(c, F.lit(edges), accuracy).alias(c) for c in cols]).first()
     brackets = {}
-    for c, name in asked:
-        n, d = probs[name]
-        found = dict(zip(edges, sketched[c], strict=False))
-        if found:
-            brackets[c, name] = (found[max(n / d - 2 * error, 0.0)], found[min(n / d + 2 * error, 1.0)])
+    for c in cols:
+        at_edge = dict(zip(edges, sketch[c] or [], strict=False))
+        if at_edge:  # else the column has no values
+            brackets |= {(c, name): (at_edge[low], at_edge[high]) for name, (low, high) in around.items()}
     tallies = [F.count(F.col(c)).alias(f"n_{c}") for c in cols]
     for (c, name), (low, high) in brackets.items():
         tallies.append(F.count_if(F.col(c) < low).alias(f"below_{c}_{name}"))
@@ -116,32 +120,41 @@ def exact_quantiles(
     counted = numbers.agg(*tallies).first().asDict()
 
     # per column and quantile: the two ranks around it, and the rows to look at
-    plan, inside = [], []
+    plan, inside, most = [], [], 0
     for (c, name), (low, high) in brackets.items():
         n, d = probs[name]
         last = counted[f"n_{c}"] - 1
         first_rank, second_rank = last * n // d, -(-last * n // d)
-        below = counted[f"below_{c}_{name}"]
-        if not below <= first_rank <= second_rank < below + counted[f"inside_{c}_{name}"]:
-            low, high, below = float("-inf"), float("inf"), 0
+        below, within = counted[f"below_{c}_{name}"], counted[f"inside_{c}_{name}"]
+        if not below <= first_rank <= second_rank < below + within:
+            low, high, below, within = float("-inf"), float("inf"), 0, last + 1
+        most = max(most, within)
         plan.append((c, name, first_rank - below, second_rank - below, (last * n % d) / d))
-        value = F.struct(F.lit(c).alias("column"), F.lit(name).alias("name"), F.col(c).alias("value"))
-        inside.append(F.when(F.col(c).between(low, high), value))
+        inside.append((c, name, F.col(c).between(low, high)))
     spark = df.sparkSession
     if not plan:
         return spark.createDataFrame([], "column string, " + ", ".join(f"{p} double" for p in probs))
-    picked = numbers.select(F.explode(F.array_compact(F.array(*inside))).alias("r")).select("r.*")
-    counts = picked.groupBy("column", "name", "value").agg(F.count(F.lit(1)).alias("n"))
-    group, order = ["column", "name"], [F.col("column"), F.col("name"), F.col("value")]
-    placed = running_total(counts, order, "n", "_end")
-    # one row per column and quantile
-    firsts = placed.groupBy(*group).agg(F.min(F.col("_end") - F.col("n")).alias("_first"))
+    any_inside = reduce(lambda a, b: a | b, [test for _, _, test in inside])
+    values = [
+        F.when(test, F.struct(F.lit(c).alias("column"), F.lit(name).alias("name"), F.col(c).alias("value")))
+        for c, name, test in inside
+    ]
+    picked = numbers.where(any_inside).select(F.explode_outer(F.array(*values)).alias("r")).where(F.col("r").isNotNull())
+    counts = picked.select("r.*").groupBy("column", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    group = ["column", "name"]
+    if most <= WINDOW_ROWS:  # counted above, so each window is known to be small
+        in_group = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        located = counts.withColumn("_upto", F.sum("n").over(in_group))
+    else:
+        placed = running_total(counts, [F.col(c) for c in (*group, "value")], "n", "_end")
+        # one row per column and quantile
+        firsts = placed.groupBy(*group).agg(F.min(F.col("_end") - F.col("n")).alias("_first"))
+        located = placed.join(F.broadcast(firsts), group).withColumn("_upto", F.col("_end") - F.col("_first"))
     wanted = spark.createDataFrame(plan, "column string, name string, lo bigint, hi bigint, part double")
-    located = placed.join(F.broadcast(firsts.join(wanted, group)), group)
-    upto = F.col("_end") - F.col("_first")
+    located = located.join(F.broadcast(wanted), group)
 
     def at(rank: str) -> Column:
-        return F.max(F.when((upto - F.col("n") <= F.col(rank)) & (F.col(rank) < upto), F.col("value")))
+        return F.max(F.when((F.col("_upto") - F.col("n") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("value")))
 
     found = located.groupBy(*group).agg(at("lo").alias("v"), at("hi").alias("w"), F.first("part").alias("part"))
     value = F.col("v") + (F.col("w") - F.col("v")) * F.col("part")

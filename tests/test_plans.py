@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import resolve, split, weights
+from tallyframe.plans import order
 from tallyframe.plans.order import exact_quantiles, running_total, slice_ordered
 from tallyframe.plans.skew import hot_keys, key_counts, salted_join
 
@@ -60,13 +61,15 @@ def test_running_total(spark):
 @pytest.mark.parametrize("offset,limit", [(0, 5), (95, 20), (400, 60), (495, 50), (700, 5)])
 def test_deep_pages_equal_shallow_ones(spark, offset, limit):
     df = spark.range(500).select("id", ((F.col("id") * 31) % 7).alias("g"))
-    order = [F.col("g").desc(), F.col("id")]
-    deep = [r["id"] for r in slice_ordered(df, order, offset, limit, shallow=0, parts=6).collect()]
+    by = [F.col("g").desc(), F.col("id")]
+    deep = [r["id"] for r in slice_ordered(df, by, offset, limit, shallow=0, parts=6).collect()]
     everything = sorted(((-(i * 31 % 7), i) for i in range(500)))
     assert deep == [i for _, i in everything[offset : offset + limit]]
 
 
-def test_exact_quantiles_equal_linear_interpolation(spark):
+@pytest.mark.parametrize("window_rows", [10**6, 0])
+def test_exact_quantiles_equal_linear_interpolation(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(order, "WINDOW_ROWS", window_rows)
     rng = np.random.default_rng(1)
     values = np.concatenate([np.full(40, 3.0), rng.normal(size=57)])
     df = spark.createDataFrame([(float(x), float(i) if i % 4 else None) for i, x in enumerate(values)], "a double, b double")
