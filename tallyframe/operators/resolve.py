@@ -21,7 +21,8 @@ from tallyframe.functions.names import (
     strip_quotes,
 )
 from tallyframe.functions.values import issue_codes, safe_str
-from tallyframe.plans.skew import HOT_MIN_ROWS, key_counts, salted_join
+from tallyframe.plans import skew
+from tallyframe.plans.skew import key_counts, salted_join
 
 def file_keys(files: DataFrame, kinds: Iterable[str] = ("path", "stem")) -> DataFrame:
     """``(key, path)``: the smallest path under each lookup key.
@@ -69,7 +70,7 @@ def attach_best(
     # would build it once more for every row
     options = asked.select(*by, F.inline_outer("options")).where(F.col("key").isNotNull())
     # distinct values are no more than the rows, so few rows mean no hot key here either
-    found = salted_join(options, keys, ["key"], "inner", by, rows=None if rows >= HOT_MIN_ROWS else rows)
+    found = salted_join(options, keys, ["key"], "inner", by, rows=None if rows >= skew.HOT_MIN_ROWS else rows)
     best = found.groupBy(*by).agg(F.min(F.struct("prio", "path")).alias("_best"))
     best = best.select(*by, F.col("_best.path").alias(out))
     return salted_join(df, best, by, "left", spread_by, rows=rows)

@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from tallyframe.plans.order import running_total, slice_ordered
 from tallyframe.plans.skew import salted_join
+from tallyframe.session import ensure_checkpoint_dir
 
 MIN_DELTA = 1e-6
 PATIENCE = 3
-MAX_EPOCHS = 100_000
+EPOCH_BLOCK = 10_000
 
 
 def valid_runs(runs: DataFrame, metric: str = "val_f1_macro") -> DataFrame:
@@ -76,24 +77,17 @@ def early_stop(
     metric: str = "val_f1_macro",
     min_delta: float = MIN_DELTA,
     patience: int = PATIENCE,
-    max_epochs: int = MAX_EPOCHS,
+    block: int = EPOCH_BLOCK,
 ) -> DataFrame:
     """Per run: best epoch, best value, epochs run, and whether patience ran out.
 
-    A gain counts against the last accepted best, so epochs are folded in
-    order. Repeated rows of an epoch are merged first; a run then holds one
-    small struct per epoch, and more than ``max_epochs`` of them is an error.
+    A gain counts against the last accepted best, so epochs have to be folded
+    in order. Repeated rows of an epoch are merged, then epochs are gathered in
+    blocks of at most ``block`` and the fold's state goes from block to block;
+    usual histories are one block.
     """
     epochs = history.groupBy(run, F.col(epoch).cast("bigint").alias("e")).agg(F.max(F.col(metric).cast("double")).alias("v"))
-    listed = epochs.groupBy(run).agg(
-        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("e", "v"))).alias("_epochs")
-    )
-    listed = listed.withColumn(
-        "_epochs",
-        F.when(F.col("_n") <= max_epochs, F.col("_epochs")).otherwise(
-            F.raise_error(F.lit(f"more than {max_epochs} epochs in a run"))
-        ),
-    )
+    blocks = epochs.groupBy(run, _block("e", block)).agg(F.array_sort(F.collect_list(F.struct("e", "v"))).alias("_epochs"))
     start = F.struct(
         F.lit(-1.0).alias("best"),
         F.lit(-1).cast("bigint").alias("best_epoch"),
@@ -111,8 +105,17 @@ def early_stop(
         )
         return F.when(s["bad"] >= patience, s).otherwise(nxt)
 
-    folded = listed.withColumn("s", F.aggregate("_epochs", start, step))
-    return folded.select(
+    numbers = [r["_block"] for r in blocks.select("_block").distinct().orderBy("_block").collect()]
+    state = blocks.where(F.col("_block") == F.lit(numbers[0] if numbers else 0)).select(
+        run, F.aggregate("_epochs", start, step).alias("s")
+    )
+    for number in numbers[1:]:
+        ensure_checkpoint_dir(history.sparkSession)
+        following = blocks.where(F.col("_block") == number).select(run, "_epochs")
+        none = F.array().cast("array<struct<e:bigint,v:double>>")
+        folded = F.aggregate(F.coalesce("_epochs", none), F.coalesce("s", start), step)
+        state = state.join(following, run, "full_outer").select(run, folded.alias("s")).checkpoint()
+    return state.select(
         run,
         F.col("s.best_epoch").alias("best_epoch"),
         F.col("s.best").alias("best_value"),
@@ -121,6 +124,10 @@ def early_stop(
     )
 
 
+def _block(epoch: str, block: int) -> Column:
+    return F.floor(F.col(epoch) / block).cast("bigint").alias("_block")
+
+
 def run_summary(history: DataFrame, run: str = "run", **options) -> DataFrame:
     return early_stop(history, run=run, **options).select(run, "epochs_ran", "best_epoch", "best_value")
 
@@ -133,11 +140,36 @@ def throughput(history: DataFrame, run: str = "run", seconds: str = "seconds", n
     )
 
 
-def eta(history: DataFrame, total_epochs: int, run: str = "run", epoch: str = "epoch", seconds: str = "seconds") -> DataFrame:
-    """Running mean of epoch time and the time left. A run holds one row per epoch."""
-    so_far = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    return history.withColumn("avg_epoch_sec", F.avg(seconds).over(so_far)).withColumn(
-        "eta_sec", (F.lit(total_epochs) - F.col(epoch)) * F.col("avg_epoch_sec")
+def eta(
+    history: DataFrame,
+    total_epochs: int,
+    run: str = "run",
+    epoch: str = "epoch",
+    seconds: str = "seconds",
+    block: int = EPOCH_BLOCK,
+) -> DataFrame:
+    """Running mean of epoch time and the time left.
+
+    Sums of whole epoch blocks come first, so a window holds one block of a
+    run and a long run is spread over tasks.
+    """
+    marked = history.withColumn("_block", _block(epoch, block))
+    sums = marked.groupBy(run, "_block").agg(F.sum(seconds).alias("_sum"), F.count(seconds).alias("_n"))
+    earlier = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(
+        run,
+        "_block",
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
+    )
+    so_far = Window.partitionBy(run, "_block").orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("_before") + F.coalesce(F.sum(seconds).over(so_far), F.lit(0.0))
+    average = F.try_divide(total, F.col("_n_before") + F.count(seconds).over(so_far))
+    return (
+        marked.join(before, [run, "_block"])
+        .withColumn("avg_epoch_sec", average)
+        .withColumn("eta_sec", (F.lit(total_epochs) - F.col(epoch)) * F.col("avg_epoch_sec"))
+        .select(*history.columns, "avg_epoch_sec", "eta_sec")
     )
 
 

@@ -10,9 +10,11 @@ from pyspark.sql.window import Window
 
 from tallyframe.plans.order import hash_order, slice_ordered
 from tallyframe.plans.skew import key_counts, salted_join
+from tallyframe.session import ensure_checkpoint_dir
 
 RATIOS = (70, 15, 15)
 NAMES = ("train", "val", "test")
+MAX_BROADCAST_STRATA = 50_000
 HASH_DIGITS = 4  # hash prefixes of this many hex digits cut a stratum into 65536 even pieces
 
 
@@ -28,13 +30,16 @@ def stratified_split(
     seed: int = 42,
     allocate: str = "largest_remainder",
     out: str = "split",
+    max_broadcast: int = MAX_BROADCAST_STRATA,
 ) -> DataFrame:
     """Exact stratified split that does not depend on partitioning.
 
     Rows of a stratum are ordered by ``md5(seed:key)``. A window per stratum
-    would put the largest class in one task, so ranks come from the counts per
-    hash prefix plus a rank inside one prefix; rows move once, by
-    (stratum, prefix).
+    would put the largest class in one task. Instead, rows are counted per hash
+    prefix; the two prefixes in which a stratum's cuts fall are ranked to find
+    the last train and last val row, and every row compares itself with those.
+    No row moves. With more strata than may be broadcast, rows move once, by
+    (stratum, prefix), and are ranked inside their prefix.
 
     ``largest_remainder`` gives val and test the floor of their share of all
     rows, spread over the strata by remainder, and train the rest.
@@ -42,24 +47,55 @@ def stratified_split(
     """
     if sum(ratios) != 100:
         raise ValueError("ratios are whole percentages that add up to 100")
+    ensure_checkpoint_dir(df.sparkSession)
     value = F.col(stratum) if isinstance(stratum, str) else stratum
     marked = (
         df.withColumn("_s", F.coalesce(value.cast("string"), F.lit("\u0000")))
         .withColumn("_h", hash_order(seed, key))
         .withColumn("_b", _prefix("_h"))
     )
-    pieces = marked.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # at most 65536 rows per stratum, read several times below
+    pieces = marked.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     in_order = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select("_s", "_b", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_start"))
+    starts = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(in_order), F.lit(0)))
     strata = pieces.groupBy("_s").agg(F.sum("_n").alias("_size"))
     cuts = _remainder_cuts(strata, ratios) if allocate == "largest_remainder" else _class_cuts(strata, ratios)
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key))
-    name = F.when(F.col("_rank") <= F.col("_train"), NAMES[0]).when(F.col("_rank") <= F.col("_val"), NAMES[1])
+    placed = starts.join(cuts, "_s")
+    if strata.count() <= max_broadcast:
+        name = _by_last_rows(marked, placed, key)
+    else:
+        rank = F.col("_start") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key))
+        ranked = marked.join(placed.drop("_n"), ["_s", "_b"]).withColumn("_rank", rank)
+        name = ranked.withColumn("_train", F.col("_rank") <= F.col("_train")).withColumn("_val", F.col("_rank") <= F.col("_val"))
+    part = F.when(F.col("_train"), NAMES[0]).when(F.col("_val"), NAMES[1]).otherwise(NAMES[2])
+    return name.withColumn(out, part).select(*df.columns, out)
+
+
+def _by_last_rows(marked: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """Adds whether a row is at or before its stratum's last train row, and last val row."""
+
+    def holds(cut: str) -> Column:
+        return (F.col("_start") < F.col(cut)) & (F.col(cut) <= F.col("_start") + F.col("_n"))
+
+    # two pieces per stratum at most
+    edges = placed.where(holds("_train") | holds("_val")).select(
+        "_s",
+        "_b",
+        F.when(holds("_train"), F.col("_train") - F.col("_start")).alias("_t"),
+        F.when(holds("_val"), F.col("_val") - F.col("_start")).alias("_v"),
+    )
+    near = marked.select("_s", "_b", "_h", F.col(key).alias("_key")).join(F.broadcast(edges), ["_s", "_b"])
+    rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_key"))
+    place = F.struct("_h", "_key")
+    last = near.withColumn("_rank", rank).groupBy("_s").agg(
+        F.max(F.when(F.col("_rank") == F.col("_t"), place)).alias("_last_train"),
+        F.max(F.when(F.col("_rank") == F.col("_v"), place)).alias("_last_val"),
+    )
+    here = F.struct(F.col("_h"), F.col(key).alias("_key"))
     return (
-        marked.join(starts.join(cuts, "_s"), ["_s", "_b"])
-        .withColumn("_rank", rank)
-        .withColumn(out, name.otherwise(NAMES[2]))
-        .select(*df.columns, out)
+        marked.join(F.broadcast(last), "_s", "left")
+        .withColumn("_train", F.coalesce(here <= F.col("_last_train"), F.lit(False)))
+        .withColumn("_val", F.coalesce(here <= F.col("_last_val"), F.lit(False)))
     )
 
 

@@ -23,10 +23,11 @@ def key_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
 
 
 def hot_keys(
-    counts: DataFrame, keys: Sequence[str], rows: int, share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
+    counts: DataFrame, keys: Sequence[str], rows: int, share: int = HOT_SHARE, min_rows: int | None = None
 ) -> DataFrame:
     """The hot keys of ``rows`` rows counted as ``n`` per key: at most ``share`` of them."""
-    return counts.where(F.col("n") >= max(min_rows, -(-rows // share), 1)).select(*keys)
+    floor = HOT_MIN_ROWS if min_rows is None else min_rows
+    return counts.where(F.col("n") >= max(floor, -(-rows // share), 1)).select(*keys)
 
 
 def salted_join(
@@ -38,7 +39,7 @@ def salted_join(
     rows: int | None = None,
     counts: DataFrame | None = None,
     share: int = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    min_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join whose hot left keys are spread over ``salts`` tasks.
@@ -53,6 +54,7 @@ def salted_join(
     (the keys and ``n``) saves counting keys when the caller has done so.
     """
     on = list(on)
+    min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
     if rows is None:
         rows = left.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
     if rows < min_rows:

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import resolve, split, weights
-from tallyframe.plans import order
+from tallyframe.operators import resolve, runs, split, weights
+from tallyframe.plans import order, skew
 from tallyframe.plans.order import exact_quantiles, running_total, slice_ordered
 from tallyframe.plans.skew import hot_keys, key_counts, salted_join
 
@@ -45,6 +45,51 @@ def test_salted_join_spreads_the_hot_key(spark, skewed):
     assert max(r["count"] for r in sizes) < 1000 / 2
 
 
+def test_audit_with_a_hot_value(spark, monkeypatch):
+    """A third of the rows name one file, a third name none; salting changes nothing."""
+    name = F.when(F.col("id") % 3 == 0, "hot.jpg").when(F.col("id") % 3 == 1, "").otherwise(F.concat(F.lit("f"), "id", F.lit(".jpg")))
+    rows = spark.range(600).select("id", name.alias("image"))
+    paths = spark.range(0, 600, 2).select(F.concat(F.lit("img/f"), "id", F.lit(".jpg")).alias("path"))
+    paths = paths.unionByName(spark.createDataFrame([("img/hot.jpg",)], "path string"))
+
+    def run():
+        return sorted(map(tuple, resolve.audit(rows, paths, paths, "image", "id", images_dir="img", masks_dir="img").collect()))
+
+    plain = run()
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 20)
+    assert run() == plain
+    assert sum(r[5] for r in plain) == 200 + 100
+
+
+def test_ranks_with_hot_and_missing_metrics(spark, monkeypatch):
+    metric = F.when(F.col("id") % 3 == 0, 0.5).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") / 1000)
+    table = spark.range(300).select(F.col("id").alias("experiment_id"), metric.alias("val_f1_macro"))
+
+    def ranks():
+        return {r["experiment_id"]: r["rank_f1"] for r in runs.rank_runs(table).collect()}
+
+    plain = ranks()
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 20)
+    assert ranks() == plain
+    assert plain[0] == 1 and plain[1] is None and plain[299] == 101 and len(plain) == 300
+
+
+def test_early_stop_over_blocks(spark):
+    rows = [("a", i, 0.1 * i) for i in range(1, 30)] + [("b", i, 0.5) for i in range(1, 30)] + [("c", 25, 0.3)]
+    df = spark.createDataFrame(rows, "run string, epoch int, val_f1_macro double")
+    whole = sorted(map(tuple, runs.early_stop(df).collect()))
+    assert sorted(map(tuple, runs.early_stop(df, block=4).collect())) == whole
+    assert [r[:2] for r in whole] == [("a", 29), ("b", 1), ("c", 25)]
+
+
+def test_eta_over_blocks(spark):
+    df = spark.range(1, 50).select((F.col("id") % 2).alias("run"), F.col("id").alias("epoch"), (F.col("id") * 1.5).alias("seconds"))
+    whole = {r["epoch"]: r["eta_sec"] for r in runs.eta(df, 60).collect()}
+    parts = {r["epoch"]: r["eta_sec"] for r in runs.eta(df, 60, block=5).collect()}
+    assert parts == pytest.approx(whole)
+    assert whole[3] == pytest.approx(57 * 3.0)
+
+
 def test_flag_duplicates_with_a_hot_key(skewed):
     flagged = {r["id"]: r["dup"] for r in resolve.flag_duplicates(skewed, "k", ["id"], "dup").collect()}
     assert len(flagged) == 3000 and flagged[0] and flagged[3]
@@ -98,11 +143,20 @@ def test_split_has_the_published_sizes(lesions):
     assert round(hits, 4) == 0.6698
 
 
-def test_split_ignores_partitioning(lesions):
-    def one(df):
-        return {(r["id"], r["split"]) for r in split.stratified_split(df, "label", "id").collect()}
+def test_split_ignores_partitioning_and_plan(lesions):
+    def one(df, **options):
+        return {(r["id"], r["split"]) for r in split.stratified_split(df, "label", "id", **options).collect()}
+
+    expected = one(lesions.coalesce(1))
+    assert one(lesions.repartition(3)) == expected
+    assert one(lesions, max_broadcast=0) == expected
+
 
-    assert one(lesions.repartition(3)) == one(lesions.coalesce(1))
+def test_split_moves_no_rows(lesions):
+    out = split.stratified_split(lesions.withColumn("payload", F.lit("x")), "label", "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "payload" in line]
+    assert not moved
 
 
 def test_split_of_tiny_and_null_strata(spark):
