@@ -82,6 +82,64 @@ def rgb_bytes(channels: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def exif_orientation(raw: bytes) -> int:
+    """The orientation tag (1 to 8) of a JPEG's EXIF segment, 1 when there is none."""
+    if raw[:2] != b"\xff\xd8":
+        return 1
+    at = 2
+    while at + 4 <= len(raw) and raw[at] == 0xFF and raw[at + 1] != 0xDA:
+        size = int.from_bytes(raw[at + 2 : at + 4], "big")
+        body = raw[at + 4 : at + 2 + size]
+        if raw[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+
+            def number(place: int, width: int, tiff=tiff, order=order) -> int:
+                return int.from_bytes(tiff[place : place + width], order)
+
+            table = number(4, 4)
+            for entry in range(table + 2, table + 2 + 12 * number(table, 2), 12):
+                if number(entry, 2) == 0x0112:
+                    value = number(entry + 8, 2)
+                    return value if 1 <= value <= 8 else 1
+            return 1
+        at += 2 + size
+    return 1
+
+
+@pandas_udf(T.IntegerType())
+def orientation(content: pd.Series) -> pd.Series:
+    return content.map(exif_orientation)
+
+
+def turned(pixels: np.ndarray, tag: int) -> np.ndarray:
+    """Pixels as they should be shown, by orientation tag."""
+    if tag >= 5:
+        pixels = pixels.swapaxes(0, 1)
+    if tag in (3, 4, 7, 8):
+        pixels = pixels[::-1]
+    if tag in (2, 3, 6, 7):
+        pixels = pixels[:, ::-1]
+    return pixels
+
+
+@pandas_udf(
+    T.StructType(
+        [
+            T.StructField("height", T.IntegerType()),
+            T.StructField("width", T.IntegerType()),
+            T.StructField("data", T.BinaryType()),
+        ]
+    )
+)
+def upright(data: pd.Series, height: pd.Series, width: pd.Series, tag: pd.Series) -> pd.DataFrame:
+    rows = []
+    for d, h, w, t in zip(data, height, width, tag, strict=True):
+        px = np.ascontiguousarray(turned(_pixels(d, h, w), t))
+        rows.append((px.shape[0], px.shape[1], px.tobytes()))
+    return pd.DataFrame(rows, columns=["height", "width", "data"])
+
+
 @pandas_udf(T.BinaryType())
 def to_gray(data: pd.Series) -> pd.Series:
     """Luma bytes of RGB bytes (weights 299, 587, 114 per mille)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from tallyframe.plans.order import slice_ordered
 from tallyframe.sources.history import check_page
 
 
-def summary(images: DataFrame, masks: DataFrame, records: DataFrame) -> DataFrame:
-    """One row: image ids, mask files in use, manifest records."""
+def summary(images: DataFrame, masks: DataFrame, records: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row: image ids, mask files in use, manifest records, and the manifest's columns when given."""
     used = masks_by_alias(masks).agg(F.countDistinct("mask_path")).scalar()
     ids = images.agg(F.countDistinct("stem")).scalar()
+    header = [] if columns is None else [F.array(*[F.lit(c) for c in columns]).alias("columns")]
     return records.agg(F.count(F.lit(1)).alias("csv_rows")).select(
-        ids.alias("num_images"), used.alias("num_masks"), "csv_rows"
+        ids.alias("num_images"), used.alias("num_masks"), "csv_rows", *header
     )
 
 

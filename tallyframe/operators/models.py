@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -50,20 +51,28 @@ class Fitted:
         return scored.drop("_z", "features_vec", "prediction")
 
 
+@contextmanager
 def _training_rows(df: DataFrame, features: str, target: str, n_classes: int, balanced: bool):
-    # one row of statistics, kept on the driver so that each solver pass does not compute it again
-    row = feature_stats(df, features).first()
-    n_bytes = row["rows"] * len(row["mean"]) * 8
-    stats = df.sparkSession.createDataFrame([(row["mean"], row["std"])], "mean array<double>, std array<double>")
-    scaled = apply_stats(df, stats, features, "_z").select(
-        array_to_vector("_z").alias("features_vec"), F.col(target).cast("int").alias(target)
-    )
-    if balanced:
-        weighted = attach_weights(scaled, balanced_weights(scaled, target), n_classes, target)
-    else:
-        weighted = scaled.withColumn("weight", F.lit(1.0))
-    # each solver step is one short job: small data in many partitions is all task overhead
-    return stats, weighted.coalesce(max(1, -(-n_bytes // PARTITION_BYTES)))
+    """Standardised, weighted rows, kept while a solver runs over them, and the statistics used."""
+    given = df.select(F.col(features).alias("_x"), F.col(target).cast("int").alias(target)).persist()
+    rows = None
+    try:
+        # one row of statistics, kept on the driver so that solver passes do not compute it again
+        row = feature_stats(given, "_x").first()
+        stats = df.sparkSession.createDataFrame([(row["mean"], row["std"])], "mean array<double>, std array<double>")
+        scaled = apply_stats(given, stats, "_x", "_z").select(array_to_vector("_z").alias("features_vec"), target)
+        if balanced:
+            weighted = attach_weights(scaled, balanced_weights(given, target), n_classes, target)
+        else:
+            weighted = scaled.withColumn("weight", F.lit(1.0))
+        # each solver step is one short job: small data in many partitions is all task overhead
+        n_bytes = row["rows"] * len(row["mean"]) * 8
+        rows = weighted.coalesce(max(1, -(-n_bytes // PARTITION_BYTES))).persist()
+        yield stats, rows, rows.agg(F.sum("weight")).first()[0]
+    finally:
+        given.unpersist()
+        if rows is not None:
+            rows.unpersist()
 
 
 def fit_logreg(
@@ -76,10 +85,7 @@ def fit_logreg(
     balanced: bool = False,
 ) -> Fitted:
     """Multinomial logistic regression with an L2 penalty of ``1 / (C * sum of weights)``."""
-    stats, rows = _training_rows(df, features, target, n_classes, balanced)
-    rows = rows.persist()
-    try:
-        total = rows.agg(F.sum("weight")).first()[0]
+    with _training_rows(df, features, target, n_classes, balanced) as (stats, rows, total):
         solver = LogisticRegression(
             featuresCol="features_vec",
             labelCol=target,
@@ -90,8 +96,6 @@ def fit_logreg(
             maxIter=max_iter,
         )
         return Fitted(solver.fit(rows), stats, features)
-    finally:
-        rows.unpersist()
 
 
 def fit_linear_svm(
@@ -105,17 +109,12 @@ def fit_linear_svm(
     parallelism: int = 8,
 ) -> Fitted:
     """One linear SVM per class against the rest."""
-    stats, rows = _training_rows(df, features, target, n_classes, balanced)
-    rows = rows.persist()
-    try:
-        total = rows.agg(F.sum("weight")).first()[0]
+    with _training_rows(df, features, target, n_classes, balanced) as (stats, rows, total):
         svm = LinearSVC(regParam=1.0 / (C * total), maxIter=max_iter, standardization=False)
         rest = OneVsRest(
             classifier=svm, featuresCol="features_vec", labelCol=target, weightCol="weight", parallelism=parallelism
         )
         return Fitted(rest.fit(rows), stats, features)
-    finally:
-        rows.unpersist()
 
 
 def predict_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
@@ -145,6 +144,7 @@ def run_grid(
 
     The loop is over configurations; each fit and evaluation is a Spark job.
     """
+    train, val = (df.select(features, target).persist() for df in (train, val))
     records = []
     for name, config in configs.items():
         record = {
@@ -163,6 +163,8 @@ def run_grid(
         except Exception as error:  # a failed run is a result
             record["error"] = repr(error)[:2000]
         records.append(record)
+    for shared in (train, val):
+        shared.unpersist()
     spark: SparkSession = train.sparkSession
     return spark.createDataFrame([tuple(r.get(c) for c in RUN_SCHEMA.fieldNames()) for r in records], RUN_SCHEMA)
 

@@ -176,7 +176,10 @@ def eta(
 def selection(runs: DataFrame, configs: DataFrame | None = None, key: str = "experiment_id") -> DataFrame:
     """The chosen run with the criterion, and its configuration when given."""
     best = select_best(runs, key).withColumn("criterion", F.lit("val_f1_macro, val_accuracy, runtime_sec"))
-    return best if configs is None else best.join(configs, key, "left")
+    if configs is None:
+        return best
+    # the one chosen key filters the configurations before they are joined
+    return best.join(configs.where(F.col(key) == best.select(key).scalar()), key, "left")
 
 
 def selection_report(runs: DataFrame, configs: DataFrame | None = None, key: str = "experiment_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tallyframe.operators.split import _prefix
 from tallyframe.plans.order import hash_order
 
+DRAWS_PER_CELL = 500_000
 SCALE = 1 << 20  # weights are drawn as whole numbers of this fraction, so sums are exact
 
 
@@ -46,48 +47,51 @@ def attach_weights(df: DataFrame, weights: DataFrame, n_classes: int, target: st
     return df.join(F.broadcast(slots.join(one_each, target)), target, "left")
 
 
-def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 42) -> DataFrame:
+def weighted_sample(
+    df: DataFrame, weight: str, key: str, n: int, seed: int = 42, cells: int | None = None
+) -> DataFrame:
     """``n`` draws with replacement, chance proportional to ``weight``: ``(draw, key)``.
 
     Rows lie on a line in hash order, each as long as its scaled weight; draw
-    ``i`` is a point on it. Lengths are added up per hash prefix, so no window
-    sees the whole table. Rows and points meet by an equi-join on cells about
-    one mean row long, and a row that covers many cells is spread over them.
+    ``i`` is a point on it and takes the last row that starts at or before it.
+    Lengths are added up per hash prefix, so no window sees the whole table.
+    The line is cut into equal cells: each holds about the same number of
+    points however heavy a row is, and starts from the last row before it.
     """
     spark = df.sparkSession
+    cells = cells or min(65_536, max(64, -(-n // DRAWS_PER_CELL)))
     lengths = df.select(
         F.col(key).alias("_key"),
         F.greatest(F.round(F.col(weight) * SCALE), F.lit(0)).cast("bigint").alias("_len"),
         hash_order(seed, key).alias("_h"),
     ).where(F.col("_len") > 0)
+    total = lengths.agg(F.sum("_len")).first()[0]
+    if not total:
+        raise ValueError("no row has a positive weight")
+    width = -(-total // cells)
     lengths = lengths.withColumn("_b", _prefix("_h"))
     pieces = lengths.groupBy("_b").agg(F.sum("_len").alias("_sum"))
     earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65536 rows
-    starts = pieces.select("_b", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    starts = pieces.select("_b", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_b").orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lengths.join(starts, "_b").select(
-        "_key", "_len", (F.col("_start") + F.sum("_len").over(inside)).alias("_upto")
-    )
-    facts = lengths.agg(F.sum("_len").alias("total"), F.count(F.lit(1)).alias("rows")).first()
-    total, rows = facts["total"], facts["rows"]
-    if not total:
-        raise ValueError("no row has a positive weight")
-    cell = max(total // max(rows, n, 1), 1)
-    spans = placed.select(
-        "_key",
-        (F.col("_upto") - F.col("_len")).alias("_from"),
-        "_upto",
-        F.explode(
-            F.sequence(_cell(F.col("_upto") - F.col("_len"), cell), _cell(F.col("_upto") - 1, cell))
-        ).alias("_cell"),
-    )
-    points = spark.range(n).select(F.col("id").alias("draw"), draw_point(F.col("id"), seed, total).alias("_at"))
-    points = points.withColumn("_cell", _cell(F.col("_at"), cell))
-    return (
-        points.join(spans, "_cell")
-        .where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_upto")))
-        .select("draw", F.col("_key").alias(key))
+    start = F.col("_before") + F.sum("_len").over(inside) - F.col("_len")
+    placed = lengths.join(starts, "_b").select("_key", start.alias("_at")).withColumn("_cell", _cell(width))
+
+    last = placed.groupBy("_cell").agg(F.max_by("_key", "_at").alias("_last"))
+    ends = spark.range(cells).select(F.col("id").alias("_cell")).join(last, "_cell", "left")
+    previous = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # `cells` rows
+    carried = ends.select("_cell", F.last("_last", ignorenulls=True).over(previous).alias("_key"))
+
+    point = draw_point(F.col("id"), seed, total)
+    points = spark.range(n).select(F.col("id").alias("draw"), point.alias("_at")).withColumn("_cell", _cell(width))
+    marks = (
+        placed.select("_cell", "_at", F.lit(0).alias("_kind"), "_key")
+        .unionByName(carried.select("_cell", F.lit(-1).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), "_key"))
+        .unionByName(points.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     )
+    so_far = Window.partitionBy("_cell").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = marks.withColumn("_hit", F.last("_key", ignorenulls=True).over(so_far))
+    return drawn.where(F.col("_kind") == 1).select("draw", F.col("_hit").alias(key))
 
 
 def draw_point(draw: Column, seed: int, total: int) -> Column:
@@ -96,5 +100,5 @@ def draw_point(draw: Column, seed: int, total: int) -> Column:
     return F.pmod(F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint"), F.lit(total))
 
 
-def _cell(at: Column, cell: int) -> Column:
-    return ((at - at % cell) / cell).cast("bigint")
+def _cell(width: int) -> Column:
+    return F.round((F.col("_at") - F.col("_at") % width) / width).cast("bigint")

@@ -1,8 +1,8 @@
 """Joins that stay balanced when one key holds much of the data.
 
-A key is *hot* when it holds at least ``1/share`` of the rows and at least
-``min_rows`` of them. At most ``share`` keys can be hot, so the list of hot
-keys has a size bound that does not depend on the data.
+A key is *hot* when it holds at least ``min_rows`` rows and is among the
+``share`` largest. A key outside that list holds less than ``1/share`` of the
+rows, and the list has a size bound that does not depend on the data.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ def key_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
-def hot_keys(
-    counts: DataFrame, keys: Sequence[str], rows: int, share: int = HOT_SHARE, min_rows: int | None = None
-) -> DataFrame:
-    """The hot keys of ``rows`` rows counted as ``n`` per key: at most ``share`` of them."""
+def hot_keys(counts: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, min_rows: int | None = None) -> DataFrame:
+    """The hot keys of a table counted as ``n`` per key: at most ``share`` of them."""
     floor = HOT_MIN_ROWS if min_rows is None else min_rows
-    return counts.where(F.col("n") >= max(floor, -(-rows // share), 1)).select(*keys)
+    return counts.where(F.col("n") >= floor).orderBy(F.col("n").desc(), *keys).limit(share).select(*keys)
 
 
 def salted_join(
@@ -49,18 +47,16 @@ def salted_join(
     of one key apart; the salt is a hash of them, so a re-run task gives the
     same rows to the same partitions.
 
-    A left side of fewer than ``min_rows`` rows has no hot key and joins as it
-    is; ``rows`` saves counting it when the caller knows its size. ``counts``
-    (the keys and ``n``) saves counting keys when the caller has done so.
+    A left side known to have fewer than ``min_rows`` ``rows`` has no hot key and
+    joins as it is; otherwise its keys are counted, unless ``counts`` (the keys
+    and ``n``) says how often they occur.
     """
     on = list(on)
     min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
-    if rows is None:
-        rows = left.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
-    if rows < min_rows:
+    if rows is not None and rows < min_rows:
         return left.join(right, on, how)
     counts = key_counts(left.select(*on), on) if counts is None else counts
-    found = hot_keys(counts, on, rows, share, min_rows).collect()  # at most `share` rows
+    found = hot_keys(counts, on, share, min_rows).collect()  # at most `share` rows
     if not found:
         return left.join(right, on, how)
     is_hot = F.lit(False)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.names import PAGE_IMAGE_EXTS, base_name, drop_suffix, file_suffix
-from tallyframe.operators.features import rgb_bytes, to_gray
+from tallyframe.operators.features import orientation, rgb_bytes, to_gray, upright
 
 FILE_SCHEMA = T.StructType(
     [
@@ -63,15 +63,32 @@ def sorted_files(files: DataFrame) -> DataFrame:
     return files.orderBy(F.lower("name"), "path")
 
 
-def read_images(spark: SparkSession, folder: str, drop_invalid: bool = True) -> DataFrame:
-    """Decoded images: ``path, height, width, data`` with RGB bytes row by row."""
+def read_images(spark: SparkSession, folder: str, drop_invalid: bool = True, upright_exif: bool = False) -> DataFrame:
+    """Decoded images: ``path, height, width, data`` with RGB bytes row by row.
+
+    ``upright_exif`` turns JPEG files by their orientation tag. The decoder does
+    not give the tag, so file heads are read once more; only turned files move.
+    """
     found = spark.read.format("image").option("dropInvalid", drop_invalid).load(folder)
-    return found.select(
-        F.col("image.origin").alias("path"),
+    decoded = found.select(
+        plain_uri("image.origin").alias("path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         rgb_bytes("image.nChannels", "image.data").alias("data"),
     )
+    if not upright_exif:
+        return decoded
+    jpegs = spark.read.format("binaryFile").load(folder).where(file_suffix("path").isin("jpg", "jpeg"))
+    tags = jpegs.select(plain_uri("path").alias("path"), orientation("content").alias("_tag")).where("_tag > 1")
+    tagged = decoded.join(tags, "path", "left")
+    turned = F.when(F.col("_tag").isNotNull(), upright("data", "height", "width", F.coalesce("_tag", F.lit(1))))
+    same = F.struct("height", "width", "data")
+    return tagged.select("path", F.coalesce(turned, same).alias("i")).select("path", "i.*")
+
+
+def plain_uri(path: str) -> Column:
+    """File URIs in one spelling: the image and the file source differ in slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def read_masks(spark: SparkSession, folder: str) -> DataFrame:

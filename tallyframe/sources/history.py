@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.plans.order import slice_ordered
+from tallyframe.plans.skew import salted_join
 
 HISTORY_SCHEMA = T.StructType(
     [
@@ -72,7 +73,8 @@ def append_history(df: DataFrame, path: str) -> None:
 
 def rejected_rows(batch: DataFrame, history: DataFrame) -> DataFrame:
     """Rows whose primary key is stored already."""
-    return batch.join(history.select("id"), "id", "left_semi")
+    others = [c for c in batch.columns if c != "id"]
+    return salted_join(batch, history.select("id"), ["id"], "left_semi", others)
 
 
 def clear_counts(history: DataFrame) -> DataFrame:

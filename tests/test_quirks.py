@@ -92,8 +92,8 @@ def test_duplicate_files(spark):
 def test_masks_are_counted_as_files(spark):
     images = describe_paths(spark.createDataFrame([("i/a.png",)], "path string"))
     masks = describe_paths(spark.createDataFrame([("m/a_seg.png",), ("m/mask_b.png",)], "path string"))
-    row = items.summary(images, masks, spark.range(4)).first()
-    assert (row["num_images"], row["num_masks"], row["csv_rows"]) == (1, 2, 4)
+    row = items.summary(images, masks, spark.range(4), ["id", "NV"]).first()
+    assert (row["num_images"], row["num_masks"], row["csv_rows"], row["columns"]) == (1, 2, 4, ["id", "NV"])
 
 
 def test_smallest_path_wins_in_the_audit(spark):

@@ -116,6 +116,41 @@ def test_masks_are_one_channel(spark, image_dir):
     assert list(ones["IMG_1_segmentation.png"]["data"]) == [0, 1, 1, 0]
 
 
+def jpeg(spark, path, tag=None):
+    """A 16 x 8 JPEG, left half white, right half black, optionally with an orientation tag."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(16, 8, 1)
+    for x in range(8):
+        for y in range(8):
+            image.setRGB(x, y, 0xFFFFFF)
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(path)))
+    if tag is not None:
+        entry = b"\x01\x12\x00\x03\x00\x00\x00\x01" + tag.to_bytes(2, "big") + b"\0\0"
+        body = b"Exif\0\0MM\0\x2a\0\0\0\x08\0\x01" + entry + b"\0\0\0\0"
+        raw = path.read_bytes()
+        path.write_bytes(raw[:2] + b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + raw[2:])
+
+
+def test_exif_orientation(spark, tmp_path):
+    jpeg(spark, tmp_path / "plain.jpg")
+    for tag in (1, 3, 6, 8):
+        jpeg(spark, tmp_path / f"t{tag}.jpg", tag)
+    got = by_name(files.read_images(spark, str(tmp_path), upright_exif=True))
+    pixels = {n: np.array(list(r["data"])).reshape(r["height"], r["width"], 3)[..., 0] > 127 for n, r in got.items()}
+    assert pixels["plain.jpg"].shape == (8, 16) and pixels["plain.jpg"][:, :8].all() and not pixels["plain.jpg"][:, 8:].any()
+    assert (pixels["t1.jpg"] == pixels["plain.jpg"]).all()
+    assert (pixels["t3.jpg"] == pixels["plain.jpg"][::-1, ::-1]).all()
+    assert (pixels["t6.jpg"] == np.rot90(pixels["plain.jpg"], -1)).all()
+    assert (pixels["t8.jpg"] == np.rot90(pixels["plain.jpg"])).all()
+
+
+def test_turns_match_their_meaning():
+    a = np.arange(6).reshape(2, 3)
+    want = {1: a, 2: a[:, ::-1], 3: a[::-1, ::-1], 4: a[::-1], 5: a.T, 6: np.rot90(a, -1), 7: a[::-1, ::-1].T, 8: np.rot90(a)}
+    for tag, expected in want.items():
+        assert (features.turned(a, tag) == expected).all(), tag
+
+
 def test_shape_check(spark, image_dir):
     images = files.read_images(spark, str(image_dir / "images"))
     masks = files.read_masks(spark, str(image_dir / "masks"))
@@ -126,9 +161,7 @@ def test_shape_check(spark, image_dir):
 
 def test_undecodable_files_become_error_records(spark, image_dir):
     folder = str(image_dir / "images")
-    listed = files.list_files(spark, folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    decoded = files.read_images(spark, folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    rows = models.input_errors(listed, decoded).collect()
+    rows = models.input_errors(files.list_files(spark, folder), files.read_images(spark, folder)).collect()
     assert [(r["path"].split("/")[-1], r["code"]) for r in rows] == [("IMG_3.png", "INVALID_INPUT")]
 
 
