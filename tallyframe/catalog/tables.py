@@ -740,7 +740,7 @@ def m1(spark, folder):
           FROM v_hex x JOIN range(3) c(c) ON true JOIN range(16) b(b) ON true
           LEFT JOIN v_pixels p ON p.id = x.id AND p.c = c.c AND p.v // 16 = b.b GROUP BY 1, 2),
         s AS (SELECT id, CAST(48 + c AS INT) AS place, CAST(sum(v) AS DOUBLE) AS value FROM v_pixels GROUP BY id, c
-              UNION ALL SELECT id, CAST(51 + c AS INT), round(stddev_pop(v / 255), 4) FROM v_pixels GROUP BY id, c)
+              UNION ALL SELECT id, CAST(51 + c AS INT), round(CAST(CAST(stddev_pop(v / 255) AS FLOAT) AS DOUBLE), 4) FROM v_pixels GROUP BY id, c)
         SELECT id, place, value FROM (FROM h UNION ALL FROM s)""",
 )
 def a26(spark, folder):

@@ -31,7 +31,7 @@ HIST_BINS = 16
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
 
-STACK_BYTES = 16 << 20  # pixels worked on together
+STACK_BYTES = 8 << 20  # pixels worked on together
 
 
 def _weights(src: int, dst: int, kind: str) -> np.ndarray:
@@ -196,12 +196,14 @@ def image_features(
         out_rows = np.empty((len(data), 3 * bins + 6), dtype=np.float32)
         for places, px in stacked(data, height, width):
             n, pixels, _ = px.shape
-            slots = (px.astype(np.int64) * bins) // 256 + np.arange(3) * bins + np.arange(n)[:, None, None] * (3 * bins)
+            whole = px.astype(np.int64)
+            slots = whole * bins // 256 + np.arange(3) * bins + np.arange(n)[:, None, None] * (3 * bins)
             tallies = np.bincount(slots.reshape(-1), minlength=n * 3 * bins).reshape(n, 3 * bins)
-            unit = px.astype(np.float32) / np.float32(255.0)
+            # mean and std from whole sums: no rounding before the last step
+            total, squares = whole.sum(axis=1), (whole * whole).sum(axis=1)
             out_rows[places, : 3 * bins] = tallies / (pixels * 256.0 / bins)
-            out_rows[places, 3 * bins : 3 * bins + 3] = unit.mean(axis=1, dtype=np.float64)
-            out_rows[places, 3 * bins + 3 :] = unit.std(axis=1, dtype=np.float64)
+            out_rows[places, 3 * bins : 3 * bins + 3] = total / (pixels * 255.0)
+            out_rows[places, 3 * bins + 3 :] = np.sqrt(pixels * squares - total * total) / (pixels * 255.0)
         return pd.Series(list(out_rows))
 
     return images.withColumn(out, features("data", "height", "width"))
