@@ -184,17 +184,19 @@ def positive_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles and max per column."""
     numbers = df.select(*[as_number(df, c).alias(c) for c in cols])
-    basics = (
-        numbers.unpivot([], list(cols), "column", "v")
-        .groupBy("column")
-        .agg(
-            F.count("v").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        )
-    )
+    # one row of structs: no row is multiplied by the number of columns
+    facts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(c).alias("count"),
+            F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+        ).alias(f"m{i}")
+        for i, c in enumerate(cols)
+    ]
+    basics = numbers.agg(*facts).select(F.inline_outer(F.array(*[f"m{i}" for i in range(len(cols))])))
     quartiles = exact_quantiles(numbers, cols, {"p25": (1, 4), "p50": (1, 2), "p75": (3, 4)})
     return basics.join(quartiles, "column", "left")
 
