@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tallyframe.session import ensure_checkpoint_dir
 
 _SCRATCH: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffles of this job are not needed after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, cleanup)
     _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
