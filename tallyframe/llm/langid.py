@@ -8,12 +8,13 @@ for every change of language, turns the scores into spans.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,19 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import with_field
 
 
-BUCKETS = 1 << 16  # of the n-grams' hashes: the model has so many rows whatever it learns from
-LONGEST_GRAM = 4
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS  # of the n-grams' hashes: the model has so many rows whatever it learns from
+LONGEST_GRAM = 3
 DOCS_PER_LANGUAGE = 1_000  # about as many labelled documents of a language are learned from
 SWITCH = 6.0  # log-likelihood that a change of language has to gain
 WORD_WEIGHT = 2.0  # weight of a word's mean n-gram
 OTHER_SCRIPT = 15.0  # taken off for a language that is not written in a word's script
 SCRIPT_SHARE = 0.01  # of a language's letters, to be one of its scripts
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 CACHED_CHARS = 48
-BATCH_WORDS = 2_000_000  # words labelled together
+BATCH_WORDS = 300_000  # words labelled together
 UNKNOWN = "und"
+_ENDING_SIGNS = re.compile(r"(?<=[^\W\d_])[.,;:!?#$%&*]+(?=\s|$)")
 
 # first code point of each range and its script; a range ends where the next begins
 SCRIPTS = [
@@ -69,12 +72,24 @@ def letters_of(word: str) -> str:
     return word.lower()
 
 
-def gram_buckets(letters: str) -> list[int]:
-    """Hashes of the n-grams of a word with its ends marked, and of the word."""
-    marked = f"<{letters}>"
-    grams = [marked[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(marked) - n + 1)]
-    grams.append(marked)
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
+def words_of(text: str) -> list[str]:
+    """What white space parts, in lower case and without the signs that end a word."""
+    return _ENDING_SIGNS.sub("", text.lower()).split()
+
+
+def gram_buckets(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every n-gram of the words, their ends marked; all at once on code points."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.array([len(w) + 2 for w in words]))
+    owners, buckets = [], []
+    hashes = np.zeros(len(codes), np.uint64)
+    for n in range(1, min(LONGEST_GRAM, len(codes)) + 1):
+        hashes = hashes[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        inside = owner[: len(hashes)] == owner[n - 1 :]
+        spread = (hashes[inside] + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
+        owners.append(owner[: len(hashes)][inside])
+        buckets.append((spread ^ (spread >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - BUCKET_BITS))
+    return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 
 @dataclass
@@ -102,14 +117,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         words: Counter = Counter()
         for batch in batches:
             for name, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words.update((name, w) for w in value.split())
+                words.update((name, w) for w in words_of(value))
         found: Counter = Counter()
+        spelled: dict[str, list[tuple[str, int]]] = {}
         for (name, word), n in words.items():
             letters = letters_of(word)
             if letters:
                 found[name, -1 - script_of(letters[0])] += n * len(letters)
-                for bucket in gram_buckets(letters):
-                    found[name, bucket] += n
+                spelled.setdefault(name, []).append((letters, n))
+        for name, own in spelled.items():
+            owner, bucket = gram_buckets([w for w, _ in own])
+            sums = np.bincount(bucket, np.array([n for _, n in own])[owner], BUCKETS)
+            found.update({(name, b): int(sums[b]) for b in np.flatnonzero(sums).tolist()})
         if found:
             keys, n = zip(*found.items(), strict=True)
             names, buckets = zip(*keys, strict=True)
@@ -146,34 +165,27 @@ class WordScores:
 
     def number(self, texts: list[list[str]]) -> np.ndarray:
         """Row of every word of the texts."""
-        get = self.rows.get
-        found = [r for words in texts for r in map(get, words)]
+        found = list(map(self.rows.get, chain.from_iterable(texts)))
         if None in found:
-            self.add({w for words in texts for w in words if w not in self.rows})
-            found = [self.rows[w] for words in texts for w in words]
-        return np.array(found, np.int64)
-
-    def add(self, words: set[str]) -> None:
-        lengths, scripts, sizes, buckets = [], [], [], []
-        number = len(self.letters)
-        for word in words:
-            letters = letters_of(word)
-            if not letters:
-                self.rows[word] = 0
-                continue
-            grams = gram_buckets(letters)
-            self.rows[word] = number
-            number += 1
-            buckets += grams
-            sizes.append(len(grams))
-            lengths.append(sum(map(str.isalpha, letters)))
-            scripts.append(script_of(letters[0]))
-        if sizes:
-            size = np.array(sizes)
-            sums = np.add.reduceat(self.model.scores[np.array(buckets)], np.cumsum(size) - size, axis=0)
-            new = WORD_WEIGHT * sums / size[:, None] + self.model.scripts[np.array(scripts)]
-            self.scores = np.concatenate([self.scores, new.astype(np.float32)])
-            self.letters = np.concatenate([self.letters, np.array(lengths)])
+            self.add(list({w for w in chain.from_iterable(texts) if w not in self.rows}))
+            found = list(map(self.rows.__getitem__, chain.from_iterable(texts)))
+        return np.array(found, np.int32)
+
+    def add(self, words: list[str]) -> None:
+        spelled = [(w, x) for w in words if (x := letters_of(w))]
+        self.rows.update(dict.fromkeys(words, 0))
+        if not spelled:
+            return
+        self.rows.update({w: len(self.letters) + i for i, (w, _) in enumerate(spelled)})
+        letters = [x for _, x in spelled]
+        owner, bucket = gram_buckets(letters)
+        size = np.bincount(owner, minlength=len(letters))
+        new = np.empty((len(letters), self.scores.shape[1]), np.float32)
+        for number in range(new.shape[1]):
+            new[:, number] = WORD_WEIGHT * np.bincount(owner, self.model.scores[bucket, number], len(letters)) / size
+        new += self.model.scripts[np.array([script_of(x[0]) for x in letters])]
+        self.scores = np.concatenate([self.scores, new])
+        self.letters = np.concatenate([self.letters, np.array([sum(map(str.isalpha, x)) for x in letters])])
 
     def trim(self) -> None:
         if len(self.rows) > CACHED_WORDS:
@@ -240,7 +252,7 @@ def label_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
             held, n_words = [], 0
             start = 0
             for i, text in enumerate(batch.column("text")):
-                words = (text.as_py() or "").split() if names else []
+                words = words_of(text.as_py() or "") if names else []
                 held.append(words)
                 n_words += len(words)
                 if n_words >= BATCH_WORDS or i + 1 == batch.num_rows:
