@@ -82,35 +82,55 @@ def distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def forest(distance: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of near rows that join every component: each row to the nearest of those reached just before it."""
-    near = distance <= radius
-    np.fill_diagonal(near, False)
-    open_rows = near.any(1)
+    """The shortest links of near rows that join every component (Prim's spanning forest)."""
+    distance = distance.copy()
+    np.fill_diagonal(distance, 255)
+    rows = np.flatnonzero((distance <= radius).any(1))
+    if not len(rows):
+        return []
+    distance = distance[np.ix_(rows, rows)]
     links = []
-    for root in np.flatnonzero(open_rows).tolist():
-        if not open_rows[root]:
-            continue
-        open_rows[root] = False
-        front = np.array([root])
-        while len(front):
-            rest = np.flatnonzero(open_rows)
-            if not len(rest):
-                break
-            between = distance[np.ix_(front, rest)]
-            best = between.argmin(0)
-            hit = between[best, np.arange(len(rest))] <= radius
-            links += zip(rest[hit].tolist(), front[best[hit]].tolist(), strict=True)
-            front = rest[hit]
-            open_rows[front] = False
+    nearest, by = np.full(len(rows), 255, np.uint8), np.zeros(len(rows), np.int64)
+    apart = np.ones(len(rows), bool)
+    for _ in range(len(rows)):
+        gap = np.where(apart, nearest, 255)
+        i = int(gap.argmin())
+        if gap[i] <= radius:
+            links.append((int(rows[i]), int(rows[by[i]])))
+        else:  # another component begins
+            i = int(apart.argmax())
+        apart[i] = False
+        closer = distance[i] < nearest
+        nearest[closer], by[closer] = distance[i][closer], i
     return links
 
 
-def tile_links(prints: DataFrame, lanes: Sequence[str], radius: int, group: str | None = None) -> DataFrame:
+def similar_pairs(near: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Which near rows have sets of that Jaccard similarity; rows that others already join are not compared."""
+    distance = np.full(near.shape, 255, np.uint8)
+    root = np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    x, y = np.nonzero(np.triu(near, 1))
+    possible = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
+    for i, j in zip(x[possible].tolist(), y[possible].tolist(), strict=True):
+        if root[i] != root[j]:
+            both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+            if both >= least * (size[i] + size[j] - both):
+                distance[i, j] = distance[j, i] = 0
+                root[root == root[j]] = root[i]
+    return distance
+
+
+def tile_links(
+    prints: DataFrame, lanes: Sequence[str], radius: int, group: str | None = None, sets: DataFrame | None = None, least: float = 0.0
+) -> DataFrame:
     """Links ``(a, b)`` between nodes whose fingerprints differ in ``radius`` bits or fewer.
 
     ``prints`` has ``node``, the columns ``lanes`` and the array ``keys``: only nodes
     that share a key are compared. Without ``group`` a tile's links are a forest over its near
-    nodes; with it they are all its near pairs of different groups.
+    nodes; with it each node has a link to its nearest in another group; with ``sets`` (``node`` and the sorted
+    ``set`` of its 32-bit hashes) the links are a forest over near nodes of different groups whose sets have a
+    similarity of ``least``, and no pair leaves the tile that is not.
     """
     also = [group] if group else []
     keyed = prints.select(F.explode("keys").alias("key"), "node", *lanes, *also)
@@ -122,11 +142,15 @@ def tile_links(prints: DataFrame, lanes: Sequence[str], radius: int, group: str
         (F.col("_n") > TILE).alias("large"),
         F.when(F.col("_n") > TILE, F.floor(ones / (radius + 1))).otherwise(0).cast("int").alias("band"),
         F.when(F.col("_n") > TILE, F.pmod(F.xxhash64("node"), cuts)).otherwise(0).cast("bigint").alias("salt"),
-        F.struct("node", *lanes, *also).alias("row"),
+        "node",
+        *lanes,
+        *also,
     )
+    if sets is not None:
+        placed, also = placed.join(sets, "node"), [*also, "set"]
     tiles = stored(
         placed.groupBy("key", "large", "band", "salt")
-        .agg(F.collect_list("row").alias("rows"))
+        .agg(F.collect_list(F.struct("node", *lanes, *also)).alias("rows"))
         .withColumn("tile", F.xxhash64("key", "band", "salt")),
         "tiles",
     )
@@ -138,6 +162,8 @@ def tile_links(prints: DataFrame, lanes: Sequence[str], radius: int, group: str
     both = pairs.join(rows, "tile").join(rows.select(F.col("tile").alias("tile_b"), F.col("rows").alias("rows_b")), "tile_b")
     work = tiles.select("rows", F.slice("rows", 1, 0).alias("rows_b")).union(both.select("rows", "rows_b"))
 
+    with_sets = sets is not None
+
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         (at_a, flat_a), (at_b, flat_b) = list_slices(batch.column("rows")), list_slices(batch.column("rows_b"))
         nodes_a, nodes_b = np.asarray(flat_a.field("node")), np.asarray(flat_b.field("node"))
@@ -157,8 +183,17 @@ def tile_links(prints: DataFrame, lanes: Sequence[str], radius: int, group: str
                 distance = distances([x[sa] for x in lanes_a], [x[sa] for x in lanes_a])
             if groups:
                 own = np.concatenate([groups[0][sa], groups[1][sb]])
-                x, y = np.nonzero(np.triu((distance <= radius) & (own[:, None] != own[None, :]), 1))
-                found.append(np.stack([nodes[x], nodes[y]], 1))
+                apart = np.where(own[:, None] != own[None, :], distance, 255)
+                if not with_sets:
+                    best = apart.argmin(1)
+                    x = np.flatnonzero(apart[np.arange(len(nodes)), best] <= radius)
+                    found.append(np.stack([nodes[x], nodes[best[x]]], 1))
+                    continue
+                parts = [flat_a.field("set")[sa.start : sa.stop], flat_b.field("set")[sb.start : sb.stop]]
+                known = [np.frombuffer(v.as_buffer(), np.uint32) for part in parts for v in part]
+                links = forest(similar_pairs(apart <= radius, known, least), 0)
+                if links:
+                    found.append(nodes[np.array(links)])
             else:
                 links = forest(distance, radius)
                 if links:
@@ -253,6 +288,18 @@ def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, words: int, lea
     return map_batches(with_text(with_text(pairs, "a"), "b").select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint")
 
 
+def node_sets(nodes: DataFrame, texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """``(node, set)``: the sorted 32-bit hashes of a node's shingles."""
+    own = reps.join(nodes, "node").select(F.col("node").alias("_node"), "rep")
+    rows = texts.join(own, (texts["node"] == own["_node"]) & texts["doc_id"].eqNullSafe(own["rep"])).select("node", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "set"])
+
+    return map_batches(rows, run, "node bigint, set binary").dropDuplicates(["node"])
+
+
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, least: float = SIMILARITY
 ) -> DataFrame:
@@ -261,7 +308,7 @@ def drop_near_copies(
     Near copies have sets of ``words``-word shingles with a Jaccard similarity of ``least`` or more; groups are the
     components of that relation. Candidates come from the tiles of 128-bit fingerprints; their texts decide.
     First a forest over the candidates is verified, so that a large group is joined by as many links as it has
-    texts; then every candidate pair that is still in different groups. Null texts count as empty; all texts that are equal are copies.
+    texts; then all candidate pairs that are still in different groups, within their tiles. Null texts count as empty; all texts that are equal are copies.
     """
     made = stored(sketches(docs, id_col, text_col, words), "sketches")
     rows = made.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -274,9 +321,14 @@ def drop_near_copies(
     links = stored(similar(likely, texts, reps, words, least).distinct(), "near")
     roots = components(links)
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = stored(tile_links(grouped, ["w0", "w1"], COPY_BITS, "root").join(likely, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = stored(similar(rest, texts, reps, words, least).union(links).distinct(), "near")
+    apart = stored(tile_links(grouped, ["w0", "w1"], COPY_BITS, "root"), "apart")
+    if apart.limit(1).count():
+        # texts near another group's: all their pairs are compared, in their tiles
+        unsure = apart.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = stored(node_sets(unsure, texts, reps, words), "sets")
+        again = grouped.join(sets.select("node"), "node", "left_semi")
+        more = stored(tile_links(again, ["w0", "w1"], COPY_BITS, "root", sets, least), "more")
+        links = links.union(similar(more, texts, reps, words, least))
         roots = components(links)
     rooted = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = stored(rooted.groupBy("root").agg(F.min(F.struct("rep", "node", "n")).alias("r")).select("r.*"), "kept")
