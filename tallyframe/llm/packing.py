@@ -13,6 +13,7 @@ the last join, and only as numbers: texts and token ids stay where they are read
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,9 @@ GROUP_ITEMS = 200_000  # underfull bins that one task may pack
 BUFFERED_PIECES = 200_000  # pieces packed together in the first round
 CACHED_WORDS = 600_000
 CACHED_BYTES = 64  # longer words are not kept
+# UTF-8 lead bytes of the accents that combine with ASCII letters, and the beginning of special tokens
+_KEEP_CASE = (b"\xcc", b"\xcd", b"<|")
+_ENDING_SIGNS = re.compile(rb"(?<=[a-zA-Z])([.,;:!?#$%&*]+)(?=[ \t-\r]|$)")
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill bigint"
 
@@ -54,7 +58,7 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
+        words = self.words(text)
         found = list(map(self.known.get, words))
         try:
             return b"".join(found)
@@ -64,10 +68,21 @@ class WordEncoder:
             self.known.clear()
         new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
+        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
         self.known.update((w, x) for w, x in ids.items() if len(w) <= CACHED_BYTES)
         return b"".join([ids[w] if x is None else x for w, x in zip(words, found, strict=True)])
 
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        """Words in a form that repeats often: lower case, without the signs that end them.
+
+        The tokenizer lowers case and parts signs from letters itself, after it has composed
+        characters. So capitals stay where an accent may follow one, and where a special token may be written.
+        """
+        if not any(x in text for x in _KEEP_CASE):
+            text = text.lower()
+        return _ENDING_SIGNS.sub(rb" \1", text).split()
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

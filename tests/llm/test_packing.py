@@ -53,8 +53,8 @@ def test_documents(spark, tokenizer):
 
 def test_words_encode_as_texts(tokenizer):
     encode = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER))
-    hard = "Σ ά́ <|endoftext|>x don't 'S a b　c ́d e​f﻿g \x1c\x1d\x85 ﬁ Å 12,5 I'LL we’ve " + edge.LONG[:4000]
-    for text in [hard, hard[::-1], "", " ", "a" * 3000]:
+    hard = "Σ ά́ <|endoftext|>x don't 'S a b　c ́d e​f﻿g \x1c\x1d\x85 ﬁ Å 12,5 I'LL we’ve J̌K J̌. ok., (a), x$.. #a. É. é! <|ENDOFTEXT|> A" + edge.LONG[:4000]
+    for text in [hard, hard[::-1], "", " ", "a" * 3000, "Plain WORDS, only. 'S A$%. B", "ÉTÉ, Été. J'ai «Non». ÀB!"]:
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
