@@ -68,11 +68,24 @@ def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
     return np.stack([left[wide], places[wide], right[wide] - 1], 1)
 
 
-def contexts(hashes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the shingles to the right and left of the places; one of its own where a text ends before."""
+_POWERS = np.ones((2, 0), np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of the base and of its inverse, kept for the next text."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        _POWERS = np.stack([np.cumprod(np.full(2 * n, x, np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64))])
+    return _POWERS[:, :n]
+
+
+def contexts(hashes: np.ndarray, sums: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the shingles to the right and left of the places; one of its own where a text ends before.
+
+    ``sums`` are the running sums of the hashes times the powers of the base.
+    """
     n = len(hashes)
-    weights, inverse = (np.cumprod(np.full(n + 1, x, np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * weights[:n])])
+    inverse = powers(n + 1)[1]
     found = []
     for size in CONTEXTS:
         for first in (places, places - size + 1):
@@ -116,11 +129,12 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
                 hashes = shingle_hashes(text, SHINGLE)
                 if len(hashes) < least:
                     continue
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes) + 1)[0, :-1])])
                 for number in range(HASHES):
                     values = mixed(hashes, 11 + number)
                     places = compact_windows(values, least)[:, 1]
                     key = mixed(values[places], 31 + number).view(np.int64)
-                    near = contexts(hashes, places)
+                    near = contexts(hashes, sums, places)
                     rows = np.stack([key, *near, np.full(len(places), doc), places], 1)
                     held.append(rows)
                     count += len(rows)
@@ -231,8 +245,11 @@ def repeated_passages(
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
         columns = [batch.column(c).to_pylist() for c in ("doc", "other", "shifts", "text", "other_text")]
+        last, b = None, np.empty(0, np.uint64)
         for doc, other, shifts, text, other_text in zip(*columns, strict=True):
-            a, b = shingle_hashes(text, SHINGLE), shingle_hashes(other_text, SHINGLE)
+            a = shingle_hashes(text, SHINGLE)
+            if other_text != last:  # rows of one representative follow each other
+                last, b = other_text, shingle_hashes(other_text, SHINGLE)
             for first, past, other_first, value in shared(a, b, shifts, words, similarity):
                 out.append((doc, first, past, other, other_first, value))
                 out.append((other, other_first, other_first + past - first, doc, first, value))
