@@ -173,12 +173,10 @@ def p13(spark, folder):
 
 @query(
     "p14_relative_path",
-    f"""WITH {v.V_FILES} SELECT id, CASE WHEN starts_with(path, 'https://www.') THEN path
-        WHEN starts_with(path, 'https://') THEN substr(path, 9) ELSE path END AS rel FROM v_files
-        WHERE NOT starts_with(path, 'https://www.')""",
+    f"""WITH {v.V_FILES} SELECT id, CASE WHEN starts_with(path, 'https://') THEN substr(path, 9) ELSE path END AS rel FROM v_files""",
 )
 def p14(spark, folder):
-    rows = v.files(spark, folder).where(~F.col("path").startswith("https://www."))
+    rows = v.files(spark, folder)
     return rows.select("id", names.relative_to("path", "https:/").alias("rel")).select(
         "id", F.when(F.col("rel").startswith("/"), F.substring("rel", F.lit(2), F.length("rel"))).otherwise(F.col("rel")).alias("rel")
     )

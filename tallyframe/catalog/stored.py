@@ -43,11 +43,11 @@ def s2(spark, folder):
     )
 
 
-@query("s3_read_splits", f"WITH {v.V_SPLIT} SELECT id, target_index, split FROM v_split WHERE split = 'val'")
+@query("s3_read_splits", f"WITH {v.V_SPLIT} SELECT id, target_index, split FROM v_split")
 def s3(spark, folder):
     path = scratch(spark, "splits")
     manifest.write_splits(v.split(spark, folder), path)
-    return manifest.read_splits(spark, path).where("split = 'val'")
+    return manifest.read_splits(spark, path)
 
 
 def text_files(spark, folder):

@@ -296,7 +296,7 @@ def a24(spark, folder):
 @query(
     "l7_weighted_sample",
     f"""WITH {v.V_FEATURES}, {MEAN_ONE_SQL},
-        l AS (SELECT id, CAST(round(weight * 1048576) AS BIGINT) AS len, md5('42:' || id) AS h FROM v_features JOIN mean_one USING (target_index)),
+        l AS (SELECT id, CAST(round(weight * (SELECT pow(2, floor(46 - log2(sum(weight)))) FROM v_features JOIN mean_one USING (target_index))) AS BIGINT) AS len, md5('42:' || id) AS h FROM v_features JOIN mean_one USING (target_index)),
         p AS (SELECT id, sum(len) OVER (ORDER BY h, id) AS upto, len FROM l),
         t AS (SELECT sum(len)::BIGINT AS total, count(*) AS n FROM l),
         d AS (SELECT i AS draw, CAST('0x' || substr(md5('42:draw:' || i), 1, 15) AS BIGINT) % total AS pt FROM t, range((SELECT count(*) FROM v_features)) r(i))

@@ -161,7 +161,7 @@ def run_grid(
             record |= {"val_accuracy": row["accuracy"], "val_f1_macro": row["f1_macro"]}
             record["runtime_sec"] = time.monotonic() - began
         except Exception as error:  # a failed run is a result
-            record["error"] = repr(error)[:2000]
+            record["error"] = repr(error)
         records.append(record)
     for shared in (train, val):
         shared.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from tallyframe.operators.split import _prefix
 from tallyframe.plans.order import hash_order
 
 DRAWS_PER_CELL = 500_000
-SCALE = 1 << 20  # weights are drawn as whole numbers of this fraction, so sums are exact
+LINE_BITS = 46  # weights become whole lengths on a line of about 2**46, so sums are exact
 
 
 def class_distribution(df: DataFrame, n_classes: int, target: str = "target_index") -> DataFrame:
@@ -52,7 +54,7 @@ def weighted_sample(
 ) -> DataFrame:
     """``n`` draws with replacement, chance proportional to ``weight``: ``(draw, key)``.
 
-    Rows lie on a line in hash order, each as long as its scaled weight; draw
+    Rows lie on a line in hash order, each as long as its weight, scaled by a power of two to the sum of all; draw
     ``i`` is a point on it and takes the last row that starts at or before it.
     Lengths are added up per hash prefix, so no window sees the whole table.
     The line is cut into equal cells: each holds about the same number of
@@ -60,14 +62,17 @@ def weighted_sample(
     """
     spark = df.sparkSession
     cells = cells or min(65_536, max(64, -(-n // DRAWS_PER_CELL)))
-    lengths = df.select(
-        F.col(key).alias("_key"),
-        F.greatest(F.round(F.col(weight) * SCALE), F.lit(0)).cast("bigint").alias("_len"),
-        hash_order(seed, key).alias("_h"),
-    ).where(F.col("_len") > 0)
-    total = lengths.agg(F.sum("_len")).first()[0]
-    if not total:
+    positive = df.where(F.col(weight) > 0)
+    mass = positive.agg(F.sum(weight)).first()[0]
+    if not mass:
         raise ValueError("no row has a positive weight")
+    scale = 2.0 ** math.floor(LINE_BITS - math.log2(mass))
+    lengths = positive.select(
+        F.col(key).alias("_key"), F.round(F.col(weight) * scale).cast("bigint").alias("_len"), hash_order(seed, key).alias("_h")
+    )
+    total, lost = lengths.agg(F.sum("_len"), F.count_if(F.col("_len") == 0)).first()
+    if lost:
+        raise ValueError(f"{lost} rows weigh less than 2**-{LINE_BITS + 1} of the whole and could not be drawn")
     width = -(-total // cells)
     lengths = lengths.withColumn("_b", _prefix("_h"))
     pieces = lengths.groupBy("_b").agg(F.sum("_len").alias("_sum"))

@@ -35,7 +35,8 @@ def sniff_sep(spark: SparkSession, path: str, default: str = ",") -> str:
     if lines is None:
         return default
     head, size = [], 0
-    for row in lines.where(F.trim("value") != "").limit(64).collect():
+    # every line has a character, so more lines than characters are never needed
+    for row in lines.where(F.trim("value") != "").limit(SNIFF_CHARS).toLocalIterator():
         if head and size + len(row["value"]) > SNIFF_CHARS:
             break
         head.append(row["value"])

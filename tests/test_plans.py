@@ -187,3 +187,12 @@ def test_rare_policy(spark):
     df = spark.createDataFrame([(i, "a" if i < 8 else f"r{i}") for i in range(10)], "id long, label string")
     assert split.rare_policy(df, "label", 2, ["id"]).where("label = 'other'").count() == 2
     assert split.rare_policy(df, "label", 2, ["id"], action="drop").count() == 8
+
+
+def test_small_weights_are_drawn(spark):
+    df = spark.range(1000).select("id", F.expr("if(id < 990, 2e-7, 1.98e-5)").alias("w"))
+    drawn = weights.weighted_sample(df, "w", "id", 4000)
+    light = drawn.where("id < 990").count()
+    assert 1800 < light < 2200
+    with pytest.raises(ValueError, match="could not be drawn"):
+        weights.weighted_sample(spark.range(2).select("id", F.expr("if(id = 0, 1e-30, 1.0)").alias("w")), "w", "id", 5)
