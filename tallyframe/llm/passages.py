@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import map_batches, stored, utf8
-from tallyframe.llm.simhash import mixed, shingle_hashes
+from tallyframe.llm.simhash import mixed, run_hashes
 
 WORDS = 50
 SHINGLE = 5
@@ -126,7 +126,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                hashes = shingle_hashes(text, SHINGLE)
+                hashes = run_hashes(text, SHINGLE)
                 if len(hashes) < least:
                     continue
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes) + 1)[0, :-1])])
@@ -247,9 +247,9 @@ def repeated_passages(
         columns = [batch.column(c).to_pylist() for c in ("doc", "other", "shifts", "text", "other_text")]
         last, b = None, np.empty(0, np.uint64)
         for doc, other, shifts, text, other_text in zip(*columns, strict=True):
-            a = shingle_hashes(text, SHINGLE)
+            a = run_hashes(text, SHINGLE)
             if other_text != last:  # rows of one representative follow each other
-                last, b = other_text, shingle_hashes(other_text, SHINGLE)
+                last, b = other_text, run_hashes(other_text, SHINGLE)
             for first, past, other_first, value in shared(a, b, shifts, words, similarity):
                 out.append((doc, first, past, other, other_first, value))
                 out.append((other, other_first, other_first + past - first, doc, first, value))

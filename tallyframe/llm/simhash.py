@@ -25,6 +25,7 @@ from tallyframe.llm.graph import components
 SEED = 42
 TILE = 1024
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width: two fingerprints within 2 bits agree on one of 3 blocks
+RUN_BASE = 0xD6E8FEB86659FD93  # odd
 BIT_ROWS = 1 << 16  # shingles whose bits are counted at a time
 
 
@@ -39,6 +40,19 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((digest(r, SEED) for r in runs), np.uint64, len(tokens) - words + 1)
 
 
+def run_hashes(text: bytes, words: int) -> np.ndarray:
+    """As ``shingle_hashes``, but made of the words' hashes: each word is hashed once, whatever number of runs it is in."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    each = mixed(np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)), 0)
+    words = min(words, len(tokens))
+    runs = np.zeros(len(tokens) - words + 1, np.uint64)
+    for i in range(words):
+        runs = runs * np.uint64(RUN_BASE) + each[i : i + len(runs)]
+    return mixed(runs, words)
+
+
 def simhash(hashes: np.ndarray) -> int:
     """Bit i is set if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
