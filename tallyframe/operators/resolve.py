@@ -323,7 +323,8 @@ def stem_index(files: DataFrame, exts: Sequence[str] = ALL_IMAGE_EXTS, spread_by
     """
     stemmed = files.withColumn("stem", norm_stem("path", exts))
     facts = stemmed.groupBy("stem").agg(F.count(F.lit(1)).alias("n_paths"), F.min("path").alias("first_path"))
-    return salted_join(stemmed.select("stem", "path"), facts, ["stem"], "left", spread_by)
+    counts = facts.select("stem", F.col("n_paths").alias("n"))
+    return salted_join(stemmed.select("stem", "path"), facts, ["stem"], "left", spread_by, counts=counts)
 
 
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -344,8 +345,9 @@ def flag_duplicates(df: DataFrame, key: str, spread_by: Sequence[str], out: str
     Counts are combined map-side and only repeated keys come back, through a
     join that spreads hot keys.
     """
-    repeated = key_counts(df, [key], "_n").where(F.col("_n") > 1).select(key, F.lit(True).alias(out))
-    return salted_join(df, repeated, [key], "left", spread_by).withColumn(out, F.coalesce(out, F.lit(False)))
+    counts = key_counts(df, [key])
+    repeated = counts.where(F.col("n") > 1).select(key, F.lit(True).alias(out))
+    return salted_join(df, repeated, [key], "left", spread_by, counts=counts).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def text_key(text: str) -> Column:

@@ -167,12 +167,13 @@ def rare_policy(
     df: DataFrame, label: str, min_count: int, spread_by: Sequence[str], action: str = "other", other: str = "other"
 ) -> DataFrame:
     """Labels with fewer rows than ``min_count`` become ``other`` or lose their rows."""
-    rare = key_counts(df, [label], "_n").where(F.col("_n") < min_count).select(label, F.lit(True).alias("_rare"))
+    counts = key_counts(df, [label])
+    rare = counts.where(F.col("n") < min_count).select(label, F.lit(True).alias("_rare"))
     if action == "drop":
-        return salted_join(df, rare, [label], "left_anti", spread_by)
+        return salted_join(df, rare, [label], "left_anti", spread_by, counts=counts)
     if action != "other":
         raise ValueError(f"unknown action {action!r}")
-    marked = salted_join(df, rare, [label], "left", spread_by)
+    marked = salted_join(df, rare, [label], "left", spread_by, counts=counts)
     return marked.withColumn(label, F.when(F.col("_rare"), F.lit(other)).otherwise(F.col(label))).select(*df.columns)
 
 

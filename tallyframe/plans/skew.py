@@ -1,20 +1,24 @@
-"""Joins that stay balanced when one key holds much of the data.
+"""Joins that stay balanced when some keys hold much of the data.
 
-A key is *hot* when it holds at least ``min_rows`` rows and is among the
-``share`` largest. A key outside that list holds less than ``1/share`` of the
-rows, and the list has a size bound that does not depend on the data.
+A key is *hot* when it holds more than ``min_rows`` rows. It is spread over as
+many tasks as it takes for each to get about that many. There is no limit to the number of hot keys or
+of their tasks other than the size of the data; the table of hot keys is kept
+small enough to broadcast by raising the rows per task, see :func:`hot_keys`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 64
+from tallyframe.session import ensure_checkpoint_dir
+
 HOT_MIN_ROWS = 1_000_000
-SALTS = 64
+HOT_KEYS = 100_000
 
 
 def key_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -22,10 +26,21 @@ def key_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, min_rows: int | None = None) -> DataFrame:
-    """The hot keys of a table counted as ``n`` per key: at most ``share`` of them."""
+def hot_keys(counts: DataFrame, keys: Sequence[str], min_rows: int | None = None, most: int | None = None) -> DataFrame | None:
+    """The hot keys of a table counted as ``n`` per key, with ``salts``, the tasks of each; None if there are none.
+
+    Should more than ``most`` keys be hot, a task gets ``1/most`` of their rows instead of ``min_rows``: no more
+    than ``most`` keys can hold more than that, so the table stays small and no task gets more than such a share.
+    """
     floor = HOT_MIN_ROWS if min_rows is None else min_rows
-    return counts.where(F.col("n") >= floor).orderBy(F.col("n").desc(), *keys).limit(share).select(*keys)
+    most = HOT_KEYS if most is None else most
+    ensure_checkpoint_dir(counts.sparkSession)
+    hot = counts.where(F.col("n") > floor).select(*keys, "n").checkpoint()  # counted once, read twice
+    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    if not found["keys"]:
+        return None
+    target = max(floor, 1) if found["keys"] <= most else max(floor, -(-found["rows"] // most), 1)
+    return hot.where(F.col("n") > target).select(*keys, F.ceil(F.col("n") / target).cast("bigint").alias("salts"))
 
 
 def salted_join(
@@ -36,37 +51,36 @@ def salted_join(
     spread_by: Sequence[str],
     rows: int | None = None,
     counts: DataFrame | None = None,
-    share: int = HOT_SHARE,
     min_rows: int | None = None,
-    salts: int = SALTS,
+    most: int | None = None,
 ) -> DataFrame:
-    """Join whose hot left keys are spread over ``salts`` tasks.
+    """Join whose hot left keys are spread over tasks of about ``min_rows`` rows: inner, left, left semi or left anti.
 
     ``right`` holds few rows per key (usually one). Its rows are repeated per
-    salt for hot keys only. ``spread_by`` names left columns that tell the rows
+    salt for hot keys only, as often as their own count asks for. ``spread_by`` names left columns that tell the rows
     of one key apart; the salt is a hash of them, so a re-run task gives the
     same rows to the same partitions.
 
-    A left side known to have fewer than ``min_rows`` ``rows`` has no hot key and
+    A left side known to have at most ``min_rows`` ``rows`` has no hot key and
     joins as it is; otherwise its keys are counted, unless ``counts`` (the keys
     and ``n``) says how often they occur.
     """
     on = list(on)
     min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
-    if rows is not None and rows < min_rows:
+    if rows is not None and rows <= min_rows:
         return left.join(right, on, how)
     counts = key_counts(left.select(*on), on) if counts is None else counts
-    found = hot_keys(counts, on, share, min_rows).collect()  # at most `share` rows
-    if not found:
+    hot = hot_keys(counts, on, min_rows, most)
+    if hot is None:
         return left.join(right, on, how)
-    is_hot = F.lit(False)
-    for row in found:
-        same = F.lit(True)
-        for c in on:
-            same = same & F.col(c).eqNullSafe(F.lit(row[c]))
-        is_hot = is_hot | same
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    marked = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    # at most `most` rows, so they may be broadcast
+    hot = F.broadcast(hot.select(*[F.col(c).alias(f"_hot_{i}") for i, c in enumerate(on)], F.col("salts").alias("_salts")))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_hot_{i}")) for i, c in enumerate(on)])
+
+    def salted(df: DataFrame, salt: Column) -> DataFrame:
+        return df.join(hot, same, "left").select(*df.columns, salt.alias("_salt"))
+
+    salts = F.coalesce("_salts", F.lit(1))
+    marked = salted(left, F.pmod(F.xxhash64(*spread_by), salts))
+    spread = salted(right, F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
     return marked.join(spread, [*on, "_salt"], how).drop("_salt")

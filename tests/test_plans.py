@@ -19,15 +19,32 @@ def skewed(spark):
 
 def test_hot_keys_are_bounded(skewed):
     counts = key_counts(skewed, ["k"])
-    assert [r["k"] for r in hot_keys(counts, ["k"], share=4, min_rows=500).collect()] == ["hot"]
-    assert hot_keys(counts, ["k"], share=5, min_rows=10).count() == 5
+    assert [tuple(r) for r in hot_keys(counts, ["k"], min_rows=500).collect()] == [("hot", 2)]
+    assert hot_keys(counts, ["k"], min_rows=1000) is None
+    assert hot_keys(counts, ["k"], min_rows=10).count() > 40
+    assert hot_keys(counts, ["k"], min_rows=10, most=5).count() <= 5
+
+
+@pytest.mark.parametrize("how", ["inner", "left_anti"])
+@pytest.mark.parametrize("keys", [200, 10])
+def test_hot_keys_in_tasks_of_bounded_size(spark, how, keys):
+    """200 hot keys, or one key of nine tenths of the rows: no salt holds much more than was asked for."""
+    key = F.col("id") % 200 if keys == 200 else F.when(F.col("id") % 10 > 0, -1).otherwise(F.col("id"))
+    left = spark.range(40_000).select("id", key.alias("k"))
+    counts = key_counts(left, ["k"])
+    hot = hot_keys(counts, ["k"], min_rows=50)
+    most = hot.join(counts, "k").select(F.max(F.col("n") / F.col("salts"))).first()[0]
+    assert hot.count() == (200 if keys == 200 else 1) and most <= 50
+    right = counts.where("k % 2 = 0").select("k")
+    joined = salted_join(left, right, ["k"], how, ["id"], min_rows=50)
+    assert joined.count() == left.join(right, "k", how).count()
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
 def test_salted_join_equals_plain_join(spark, skewed, how):
     right = skewed.where("k is not null and k <> 'k7'").select("k").distinct().withColumn("v", F.length("k"))
     plain = skewed.join(right, "k", how)
-    salted = salted_join(skewed, right, ["k"], how, ["id"], share=4, min_rows=10, salts=8)
+    salted = salted_join(skewed, right, ["k"], how, ["id"], min_rows=10)
     assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
@@ -36,7 +53,7 @@ def test_salted_join_spreads_the_hot_key(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = salted_join(skewed, right, ["k"], "inner", ["id"], share=4, min_rows=10, salts=64)
+        joined = salted_join(skewed, right, ["k"], "inner", ["id"], min_rows=10)
         sizes = joined.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
