@@ -82,12 +82,25 @@ def early_stop(
     """Per run: best epoch, best value, epochs run, and whether patience ran out.
 
     A gain counts against the last accepted best, so epochs have to be folded
-    in order. Repeated rows of an epoch are merged, then epochs are gathered in
-    blocks of at most ``block`` and the fold's state goes from block to block;
-    usual histories are one block.
+    in order. Repeated rows of an epoch are merged, then epochs are gathered by their position in
+    blocks of at most ``block`` and the fold's state goes from block to block, until all runs have stopped;
+    usual histories are one block, whatever their epochs' numbers. A row without an epoch is an error.
     """
-    epochs = history.groupBy(run, F.col(epoch).cast("bigint").alias("e")).agg(F.max(F.col(metric).cast("double")).alias("v"))
-    blocks = epochs.groupBy(run, _block("e", block)).agg(F.array_sort(F.collect_list(F.struct("e", "v"))).alias("_epochs"))
+    ensure_checkpoint_dir(history.sparkSession)
+    number = F.coalesce(F.col(epoch).cast("bigint"), F.raise_error(F.lit("an epoch is missing")).cast("bigint"))
+    epochs = history.groupBy(run, number.alias("e")).agg(F.max(F.col(metric).cast("double")).alias("v")).checkpoint()
+    lengths = epochs.groupBy(run).agg(F.count(F.lit(1)).alias("n"))
+    longest = lengths.agg(F.max("n")).first()[0] or 0
+    if longest <= block:
+        placed = epochs.withColumn("_block", F.lit(0))
+    else:
+        ranked = running_total(epochs.withColumn("_one", F.lit(1)), [F.col(run), F.col("e")], "_one", "_rank")
+        firsts = ranked.groupBy(run).agg(F.min("_rank").alias("_first"))
+        ranked = salted_join(ranked, firsts, [run], "inner", ["e"], counts=lengths)
+        placed = ranked.withColumn("_block", F.floor((F.col("_rank") - F.col("_first")) / block))
+    blocks = placed.groupBy(run, "_block").agg(F.array_sort(F.collect_list(F.struct("e", "v"))).alias("_epochs"))
+    if longest > block:
+        blocks = blocks.checkpoint()
     start = F.struct(
         F.lit(-1.0).alias("best"),
         F.lit(-1).cast("bigint").alias("best_epoch"),
@@ -105,16 +118,14 @@ def early_stop(
         )
         return F.when(s["bad"] >= patience, s).otherwise(nxt)
 
-    numbers = [r["_block"] for r in blocks.select("_block").distinct().orderBy("_block").collect()]
-    state = blocks.where(F.col("_block") == F.lit(numbers[0] if numbers else 0)).select(
-        run, F.aggregate("_epochs", start, step).alias("s")
-    )
-    for number in numbers[1:]:
-        ensure_checkpoint_dir(history.sparkSession)
-        following = blocks.where(F.col("_block") == number).select(run, "_epochs")
-        none = F.array().cast("array<struct<e:bigint,v:double>>")
-        folded = F.aggregate(F.coalesce("_epochs", none), F.coalesce("s", start), step)
-        state = state.join(following, run, "full_outer").select(run, folded.alias("s")).checkpoint()
+    state = blocks.where("_block = 0").select(run, F.aggregate("_epochs", start, step).alias("s"))
+    none = F.array().cast("array<struct<e:bigint,v:double>>")
+    for at in range(1, -(-longest // block)):
+        following = blocks.where(F.col("_block") == at).select(run, "_epochs")
+        folded = F.aggregate(F.coalesce("_epochs", none), F.col("s"), step)
+        state = state.join(following, run, "left").select(run, folded.alias("s")).checkpoint()
+        if not state.where(F.col("s.bad") < patience).limit(1).count():
+            break
     return state.select(
         run,
         F.col("s.best_epoch").alias("best_epoch"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.plans.order import hash_order, slice_ordered
+from tallyframe.plans.order import hash_order, running_total, slice_ordered
 from tallyframe.plans.skew import key_counts, salted_join
 from tallyframe.session import ensure_checkpoint_dir
 
@@ -59,9 +59,10 @@ def stratified_split(
     in_order = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(in_order), F.lit(0)))
     strata = pieces.groupBy("_s").agg(F.sum("_n").alias("_size"))
-    cuts = _remainder_cuts(strata, ratios) if allocate == "largest_remainder" else _class_cuts(strata, ratios)
+    few = strata.count() <= max_broadcast
+    cuts = _remainder_cuts(strata, ratios, few) if allocate == "largest_remainder" else _class_cuts(strata, ratios)
     placed = starts.join(cuts, "_s")
-    if strata.count() <= max_broadcast:
+    if few:
         name = _by_last_rows(marked, placed, key)
     else:
         rank = F.col("_start") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key))
@@ -111,23 +112,24 @@ def _share(n: Column, percent: int) -> Column:
     return ((n * percent - (n * percent) % 100) / 100).cast("bigint")
 
 
-def _remainder_cuts(strata: DataFrame, ratios: tuple[int, int, int]) -> DataFrame:
-    """Last train and last val rank per stratum. One row per stratum goes through the windows."""
-    everything = Window.partitionBy()
-    size, total = F.col("_size"), F.sum("_size").over(everything)
-
-    def allotted(base: str, percent: int, room: Column) -> Column:
-        missing = _share(total, percent) - F.sum(base).over(everything)
-        by_remainder = Window.partitionBy().orderBy(room.desc(), ((size * percent) % 100).desc(), "_s")
-        return F.col(base) + (F.row_number().over(by_remainder) <= missing).cast("bigint")
-
-    return (
-        strata.withColumn("_v0", _share(size, ratios[1]))
-        .withColumn("_t0", _share(size, ratios[2]))
-        .withColumn("_v", allotted("_v0", ratios[1], F.col("_size") > F.col("_v0") + F.col("_t0")))
-        .withColumn("_t", allotted("_t0", ratios[2], F.col("_size") > F.col("_v") + F.col("_t0")))
-        .select("_s", (size - F.col("_v") - F.col("_t")).alias("_train"), (size - F.col("_t")).alias("_val"))
-    )
+def _remainder_cuts(strata: DataFrame, ratios: tuple[int, int, int], few: bool) -> DataFrame:
+    """Last train and last val rank per stratum. A ``few`` strata are ranked by one window, more by ranges."""
+    size = F.col("_size")
+    shares = strata.withColumn("_v0", _share(size, ratios[1])).withColumn("_t0", _share(size, ratios[2]))
+    sums = shares.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_size", "_v0", "_t0")]).first()
+
+    def allotted(df: DataFrame, base: str, percent: int, room: Column, out: str) -> DataFrame:
+        missing = sums["_size"] * percent // 100 - sums[base]
+        order = [room.desc(), ((size * percent) % 100).desc(), F.col("_s")]
+        if few:
+            ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
+        else:
+            ranked = running_total(df.withColumn("_one", F.lit(1)), order, "_one", "_rank").drop("_one")
+        return ranked.withColumn(out, F.col(base) + (F.col("_rank") <= missing).cast("bigint")).drop("_rank")
+
+    with_val = allotted(shares, "_v0", ratios[1], size > F.col("_v0") + F.col("_t0"), "_v")
+    with_test = allotted(with_val, "_t0", ratios[2], size > F.col("_v") + F.col("_t0"), "_t")
+    return with_test.select("_s", (size - F.col("_v") - F.col("_t")).alias("_train"), (size - F.col("_t")).alias("_val"))
 
 
 def multilabel_split(df: DataFrame, label_cols: Sequence[str], key: str, **options) -> DataFrame:

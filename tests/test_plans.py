@@ -96,6 +96,12 @@ def test_early_stop_over_blocks(spark):
     df = spark.createDataFrame(rows, "run string, epoch int, val_f1_macro double")
     whole = sorted(map(tuple, runs.early_stop(df).collect()))
     assert sorted(map(tuple, runs.early_stop(df, block=4).collect())) == whole
+    # epochs numbered by global steps lie in as few blocks
+    sparse = df.withColumn("epoch", F.col("epoch") * 10_000)
+    parts = [(r["best_value"], r["stopped_early"]) for r in runs.early_stop(sparse, block=4).orderBy("run").collect()]
+    assert parts == [(r["best_value"], r["stopped_early"]) for r in runs.early_stop(df).orderBy("run").collect()]
+    with pytest.raises(Exception, match="an epoch is missing"):
+        runs.early_stop(df.withColumn("epoch", F.lit(None).cast("bigint")))
     assert [r[:2] for r in whole] == [("a", 29), ("b", 1), ("c", 25)]
 
 
