@@ -232,7 +232,7 @@ def parts(spark, folder):
 @query("m3_logreg")
 def m3(spark, folder):
     train, val = parts(spark, folder)
-    scored = models.fit_logreg(train, v.N_CLASSES, max_iter=50, balanced=True).transform(val)
+    scored = models.fit_logreg(train, v.N_CLASSES, max_iter=3000, balanced=True).transform(val)
     return metrics.evaluate(scored.select(F.col("target_index").alias("y_true"), "y_pred"))
 
 
@@ -246,13 +246,13 @@ def m4(spark, folder):
 @query("m5_probabilities")
 def m5(spark, folder):
     train, val = parts(spark, folder)
-    scored = models.predict_proba(models.fit_logreg(train, v.N_CLASSES, max_iter=20), val)
+    scored = models.predict_proba(models.fit_logreg(train, v.N_CLASSES, max_iter=200), val)
     return scored.select("id", "target_index", "y_pred", "confidence")
 
 
 CONFIGS = {
-    "plain": {"family": "logreg", "max_iter": 20},
-    "balanced": {"family": "logreg", "max_iter": 20, "class_weight": "balanced"},
+    "plain": {"family": "logreg", "max_iter": 200},
+    "balanced": {"family": "logreg", "max_iter": 200, "class_weight": "balanced"},
     "broken": {"family": "unknown"},
 }
 
