@@ -26,9 +26,9 @@ from tallyframe.llm.common import list_slices
 
 BLOCK = 4096  # vectors
 QUERY_BLOCK = 512
-CHUNK = 256  # entries of every list that are read at a time
+CHUNK = 1024  # entries of every list that are read before bounds are compared
 RESOLVED = 256  # so many candidates are resolved rather than read on for
-EXACT = 1 << 23  # below, 64 products and their sums are exact in doubles
+EXACT = 1 << 52  # sums of products of whole numbers below are exact in doubles
 
 
 def finite(vector: str | Column) -> Column:
@@ -47,45 +47,52 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
         self.vectors, self.ids = vectors, ids
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0).astype(np.float64)
+        self.known = vectors.astype(np.float64)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.known, order, axis=0)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+
+    def bounds(self, depth: int, gain: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest scores of all vectors (queries x vectors) once ``depth`` entries of every list are read.
+
+        ``gain`` holds the weights above zero, whose lists are read from the large end, ``loss`` those below.
+        """
+        n, values = len(self.ids), self.values
+        large, small = self.place >= n - depth, self.place < depth
+        low = gain @ np.where(large, self.known, values[0]).T + loss @ np.where(small, self.known, values[-1]).T
+        high = gain @ np.where(large, self.known, values[n - 1 - depth]).T + loss @ np.where(small, self.known, values[depth]).T
+        return low, high
+
+    def best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best of some rows by their exact scores, ties to the smaller id."""
+        scores = self.vectors[rows] @ query
+        first = np.lexsort((self.ids[rows], -scores))[:k]
+        return rows[first], scores[first]
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the ``k`` best, ties to the smaller id."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and scores of the ``k`` best of every query; the lists are read in step for all queries that are still open."""
         n = len(self.ids)
-        dims = np.flatnonzero(query)
-        weight = query[dims].astype(np.float64)
-        up = weight < 0  # read from the small end
-        ends = np.where(up, self.values[-1, dims], self.values[0, dims]) * weight
-        low = np.zeros(n)  # above the sum of the lists' ends
-        seen = np.zeros((n, len(dims)), np.float32)
-        out = self.ids == own
-        # beyond EXACT, bounds are only as good as doubles; they give way by that much
-        slack = 0.0 if max(np.abs(query).max(initial=0), np.abs(self.values[[0, -1]]).max(initial=0)) < EXACT else 1e-9
-        alive = ~out
-        depth = 0
-        while depth < n and np.count_nonzero(alive) > max(RESOLVED, k):
-            past = min(n, depth + CHUNK)
-            step = np.arange(depth, past)[:, None]
-            place = np.where(up, step, n - 1 - step)
-            rows = self.order[place, dims]
-            gain = self.values[place, dims] * weight - ends
-            low += np.bincount(rows.ravel(), gain.ravel(), minlength=n)
-            seen[rows, np.arange(len(dims))] = 1
-            depth = past
-            if depth == n:
-                break
-            following = self.values[np.where(up, depth, n - 1 - depth), dims] * weight - ends
-            open_lists = following.sum() - seen @ following.astype(np.float32)
-            high = low + open_lists
-            ranked = np.where(out, -np.inf, low)
-            bar = np.partition(ranked, n - k)[n - k] if n > k else -np.inf
-            margin = 1.0 + 1e-5 * abs(following.sum()) + slack * (np.abs(ends).sum() + abs(bar))  # of 32-bit sums
-            alive = ~out & (high + margin >= bar)
-        rows = np.flatnonzero(alive)
-        scores = self.vectors[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return rows[best], scores[best]
+        weights = queries.astype(np.float64)
+        alive = self.ids[None, :] != own[:, None]
+        most = np.abs(self.values[[0, -1]]).max(0)
+        reach = np.abs(weights) @ most  # beyond EXACT, bounds are only as good as doubles; they give way by that much
+        margin = np.where(reach < EXACT, 0.0, 1e-9 * reach)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(queries)
+        still, depth = np.arange(len(queries)), 0
+        while len(still):
+            few = (alive.sum(1) <= max(RESOLVED, k)) | (depth >= n)
+            for i in np.flatnonzero(few):
+                found[still[i]] = self.best(np.flatnonzero(alive[i]), queries[still[i]], k)
+            still, alive = still[~few], alive[~few]
+            depth += CHUNK
+            if len(still) and depth < n:
+                w = weights[still]
+                low, high = self.bounds(depth, np.maximum(w, 0), np.minimum(w, 0))
+                low[self.ids[None, :] == own[still][:, None]] = -np.inf
+                bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(still), -np.inf)
+                alive &= high + 2 * margin[still][:, None] >= bar[:, None]
+        return found
 
 
 def _matrix(offsets: np.ndarray, flat: np.ndarray, width: int) -> np.ndarray:
@@ -139,9 +146,9 @@ def exact_top_k(
                 own, own_at, own_flat = _unpack(batch.column("asked")[i].values)
                 width = int(max(np.diff(at).max(initial=0), np.diff(own_at).max(initial=0)))
                 lists = SortedLists(_matrix(at, flat, width), ids)
+                queries = _matrix(own_at, own_flat, width)
                 found = []
-                for query_id, query in zip(own.tolist(), _matrix(own_at, own_flat, width), strict=True):
-                    best, scores = lists.top(query, query_id, k)
+                for query_id, query, (best, scores) in zip(own.tolist(), queries, lists.top(queries, own, k), strict=True):
                     asked_as = zlib.crc32(query.tobytes().rstrip(b"\0"))  # tells apart queries of one id
                     found.append((np.full(len(best), query_id), np.full(len(best), asked_as), ids[best], scores))
                 columns = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)]
