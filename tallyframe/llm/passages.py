@@ -194,32 +194,93 @@ def linked(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc bigint, other bigint, shift int").distinct()
 
 
-def shared(a: np.ndarray, b: np.ndarray, shifts: list[int], words: int, similarity: float) -> list[tuple[int, int, int, float]]:
-    """Verified passages: first and past word in the one text, first in the other, similarity."""
-    found = []
+def alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two arrays begin with in common."""
+    n, at, size = min(len(a), len(b)), 0, 64
+    while at < n:
+        past = min(n, at + size)
+        differs = a[at:past] != b[at:past]
+        first = int(differs.argmax())
+        if differs[first]:
+            return at + first
+        at, size = past, size * 4
+    return n
+
+
+def extended(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal stretches (first in either array, length) that follow each other from the start, up to ``GAP`` values apart in both."""
+    found: list[tuple[int, int, int]] = []
+    i = j = 0
+    while True:
+        near = a[i : i + GAP + 1, None] == b[None, j : j + GAP + 1]
+        if not near.any():
+            return found
+        begins = near.copy()
+        begins[1:, 1:] &= ~near[:-1, :-1]
+        best = None
+        for x, y in np.argwhere(begins).tolist():
+            length = alike(a[i + x :], b[j + y :])
+            worth = (min(length, 2 * GAP) - max(x, y), -abs(x - y))
+            if best is None or worth > best[0]:
+                best = worth, x, y, length
+        _, x, y, length = best
+        found.append((i + x, j + y, length))
+        i, j = i + x + length, j + y + length
+
+
+def stretches(parts: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """The widest sequences of equal parts (first in either text, length; in order) that are long and similar enough."""
+    ends, sums = parts[:, :2] + parts[:, 2:], np.cumsum(parts[:, 2])
+    found, reached = [], -1
+    for i in range(len(parts)):
+        size = ends[i:] - parts[i, :2]
+        same = sums[i:] - sums[i] + parts[i, 2]
+        jaccard = same / (size.sum(1) - same)
+        good = np.flatnonzero((size.min(1) >= least) & (jaccard >= similarity))
+        if len(good) and i + good[-1] > reached:
+            k = good[-1]
+            reached = i + int(k)
+            found.append((int(parts[i, 0]), int(ends[reached, 0]), int(parts[i, 1]), int(ends[reached, 1]), float(jaccard[k])))
+        if reached == len(parts) - 1:
+            break
+    return found
+
+
+def shared(a: np.ndarray, b: np.ndarray, shifts: list[int], words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """Verified passages: first and past word in the one text, first and past word in the other, similarity.
+
+    An alignment starts on one of ``shifts`` and goes on over gaps to whatever diagonal the texts are equal on next.
+    """
+    least = words - SHINGLE + 1
+    seen: dict[int, list[tuple[int, int]]] = {}
+    found = set()
     for shift in shifts:
         start, end = max(0, shift), min(len(a), len(b) + shift)
-        if end - start < words - SHINGLE + 1:
+        if end <= start:
             continue
         equal = np.flatnonzero(a[start:end] == b[start - shift : end - shift]) + start
         if not len(equal):
             continue
-        breaks = np.flatnonzero(np.diff(equal) > GAP + 1)
-        firsts, lasts = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(equal) - 1]])
-        for i, j in zip(firsts.tolist(), lasts.tolist(), strict=True):
-            length, same = int(equal[j] - equal[i]) + 1, j - i + 1
-            jaccard = same / (2 * length - same)
-            if length + SHINGLE - 1 >= words and jaccard < similarity:
-                # gaps spoil the whole: its longest stretch without one may still do
-                own = equal[i : j + 1]
-                parts = np.split(own, np.flatnonzero(np.diff(own) > 1) + 1)
-                best = max(parts, key=len)
-                first, length, jaccard = int(best[0]), len(best), 1.0
-            else:
-                first = int(equal[i])
-            if length + SHINGLE - 1 >= words and jaccard >= similarity:
-                found.append((first, first + length + SHINGLE - 1, first - shift, jaccard))
-    return found
+        breaks = np.flatnonzero(np.diff(equal) > 1)
+        firsts, lasts = equal[np.concatenate([[0], breaks + 1])], equal[np.concatenate([breaks, [len(equal) - 1]])]
+        parts = np.stack([firsts, firsts - shift, lasts - firsts + 1], 1)
+        runs = np.split(parts, np.flatnonzero(firsts[1:] - lasts[:-1] > GAP + 1) + 1)
+        for run in runs:  # on one diagonal
+            found.update(stretches(run, least, similarity))
+        for first, other, length in parts.tolist():
+            if any(x <= first and first + length <= y for x, y in seen.get(shift, ())):
+                continue
+            before = [(first - x - n, other - y - n, n) for x, y, n in extended(a[:first][::-1], b[:other][::-1])]
+            after = [(first + length + x, other + length + y, n) for x, y, n in extended(a[first + length :], b[other + length :])]
+            run = [*before[::-1], (first, other, length), *after]
+            for x, y, n in run:
+                seen.setdefault(x - y, []).append((x, x + n))
+            found.update(stretches(np.array(run), least, similarity))
+    widest: list[tuple[int, int, int, int, float]] = []
+    for f in sorted(found, key=lambda f: (f[0] - f[1], f[2] - f[3], -f[4])):
+        if not any(w[0] <= f[0] and f[1] <= w[1] and w[2] <= f[2] and f[3] <= w[3] for w in widest):
+            widest.append(f)
+    return [(x, past + SHINGLE - 1, y, other_past + SHINGLE - 1, value) for x, past, y, other_past, value in widest]
 
 
 def repeated_passages(
@@ -229,7 +290,7 @@ def repeated_passages(
 
     Returns ``doc_id, first_word, past_word, other_id, other_first_word, similarity``, both ways round: a passage of
     several documents is linked to representatives, not in all pairs. Words are what ASCII white space parts, A-Z
-    in lower case; passages keep their order and may differ in single words, as long as their
+    in lower case; passages keep their order and may differ in single words, also by words put in or left out, as long as their
     5-word shingles have a Jaccard similarity of ``similarity`` or more. Ids are integers; rows without an id or a
     text take no part, nor do rows that repeat an id count as another document. Other columns are ignored.
     """
@@ -250,9 +311,9 @@ def repeated_passages(
             a = run_hashes(text, SHINGLE)
             if other_text != last:  # rows of one representative follow each other
                 last, b = other_text, run_hashes(other_text, SHINGLE)
-            for first, past, other_first, value in shared(a, b, shifts, words, similarity):
+            for first, past, other_first, other_past, value in shared(a, b, shifts, words, similarity):
                 out.append((doc, first, past, other, other_first, value))
-                out.append((other, other_first, other_first + past - first, doc, first, value))
+                out.append((other, other_first, other_past, doc, first, value))
         if not out:
             return None
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]

@@ -66,3 +66,36 @@ def test_tasks_with_many_windows(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     want = {r.doc_id for r in passages.repeated_passages(df).collect()}
     assert want == set(range(30))
+
+
+def test_words_put_in_or_left_out(spark):
+    docs, pairs = [], []
+    for n, size in enumerate((60, 75, 95)):
+        for kind in ("in", "out"):
+            common = [f"{w}c{n}{kind}" for w in edge.prose(300 + n, size).split()]
+            half = size // 2
+            other = [*common[:half], "new", *common[half:]] if kind == "in" else [*common[:half], *common[half + 1 :]]
+            for words in (common, other):
+                i = len(docs)
+                docs.append((i, " ".join([f"{w}{i}" for w in edge.prose(i, 80).split()] + words + [f"{w}x{i}" for w in edge.prose(i, 40).split()])))
+            pairs.append((len(docs) - 2, len(docs) - 1, len(common), len(other)))
+    found = {(r.doc_id, r.other_id): r for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for a, b, n, m in pairs:
+        assert (found[a, b].first_word, found[a, b].past_word, found[a, b].other_first_word) == (80, 80 + n, 80)
+        assert (found[b, a].first_word, found[b, a].past_word) == (80, 80 + m)
+        shingles = max(n, m) - 4
+        least = shingles - 5
+        assert abs(found[a, b].similarity - least / (shingles + shingles - 1 - least)) < 1e-9
+    assert len(found) == 2 * len(pairs)
+
+
+def test_every_stretch_of_a_run():
+    def hashes(*parts):
+        return np.concatenate([np.arange(first, first + n) for first, n in parts]).astype(np.uint64)
+
+    # two exact stretches, and a third with a gap of its own, over wide gaps: the whole is under the limit
+    a = hashes((0, 60), (1000, 9), (200, 70), (1100, 10), (400, 40), (1200, 4), (440, 40))
+    b = hashes((0, 60), (2000, 10), (200, 70), (2100, 9), (400, 40), (2200, 4), (440, 40))
+    found = passages.shared(a, b, [0], 50, 0.9)
+    assert {(f[0], f[1] - 4) for f in found} == {(0, 60), (69, 139), (149, 233)}
+    assert [f[4] for f in sorted(found)] == [1.0, 1.0, 80 / 88]
