@@ -7,19 +7,22 @@ in exactly one window that is as long. Windows with the same least shingle and t
 words next to it are joined; what they propose is verified on the texts.
 
 Copies are linked to a representative, first within the tasks that make windows and then over all, so a
-passage that many documents have sends few rows.
+passage that many documents have sends few rows. Where a link does not hold as far as a passage can reach beside
+the least shingle, the places of that key are linked again, by every stretch of a passage's length around
+them: what is equal there is a passage, so no link of the second round stands in another's way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import map_batches, stored, utf8
+from tallyframe.llm.common import list_slices, map_batches, stored, utf8
 from tallyframe.llm.simhash import mixed, run_hashes
 
 WORDS = 50
@@ -28,6 +31,7 @@ SIMILARITY = 0.8
 HASHES = 3
 CONTEXTS = (23, 8)  # shingles to either side of the least one that joined windows share
 BUFFERED = 250_000  # windows
+AROUND = 50_000  # places with the shingles around them
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 GAP = 2 * SHINGLE  # shingles that differ inside a passage, at a stretch
 
@@ -120,9 +124,8 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
             other = np.where(new, NOBODY, rows[first, 5])
             columns = [part, rows[:, 0], *(rows[:, i].astype(np.int32) for i in (1, 2, 3, 4)), rows[:, 5], rows[:, 6].astype(np.int32)]
             columns += [other, np.where(new, 0, rows[first, 6]).astype(np.int32)]
-            keep = new | (rows[:, 5] != other)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -147,51 +150,116 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, WINDOWS)
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], unpack: Callable[[pa.RecordBatch], np.ndarray], buffered: int) -> Iterator[np.ndarray]:
+    """The rows of batches in order of their first column, in parts that cut none of its values in two."""
+    carried: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        carried.append(unpack(batch))
+        size += batch.num_rows
+        if size >= buffered:
+            rows = np.concatenate(carried)
+            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield rows[:cut]
+            carried, size = [rows[cut:]], len(rows) - cut
+    if carried:
+        yield np.concatenate(carried)
+
+
+def columns_of(names: list[str]) -> Callable[[pa.RecordBatch], np.ndarray]:
+    return lambda batch: np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in names], 1)
+
+
+def to_first(key: np.ndarray, value: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of document, first document, place, first place and key of all rows after the first with the same key and value."""
+    order = np.lexsort((at, doc, value, key))
+    key, value, doc, at = key[order], value[order], doc[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.stack([doc, doc[first], at, at[first], key], 1)[~new]
+
+
+LINKS = "doc bigint, other bigint, at int, other_at int, key bigint"
+
+
+def link_batch(links: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.unique(np.concatenate(links), axis=0)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, i]).cast(k) for i, k in enumerate(kinds)], ["doc", "other", "at", "other_at", "key"])
+
+
 def linked(found: DataFrame) -> DataFrame:
-    """``(doc, other, shift)``: documents of joined windows, and how far apart these are."""
+    """Documents of joined windows and their places (``LINKS``); also those of one document, which are not compared but linked again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list[np.ndarray] = []
-
-        def links(rows: np.ndarray) -> pa.RecordBatch:
-            made = rows[rows[:, 7] != NOBODY]
-            out = [made[:, [5, 7, 6, 8]]]
-            alone = rows[rows[:, 7] == NOBODY]
-            for context in (1, 2, 3, 4):
-                order = np.lexsort((alone[:, 6], alone[:, 5], alone[:, context], alone[:, 0]))
-                own = alone[order]
-                new = np.ones(len(own), bool)
-                new[1:] = (own[1:, [0, context]] != own[:-1, [0, context]]).any(1)
-                first = np.flatnonzero(new)[np.cumsum(new) - 1]
-                pairs = np.stack([own[:, 5], own[first, 5], own[:, 6], own[first, 6]], 1)
-                out.append(pairs[pairs[:, 0] != pairs[:, 1]])
-            pairs = np.concatenate(out)
-            pairs = np.unique(np.stack([pairs[:, 0], pairs[:, 1], pairs[:, 2] - pairs[:, 3]], 1), axis=0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["doc", "other", "shift"]
-            )
-
-        size = 0
-        for batch in batches:
-            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in NAMES[1:]], 1)
-            if not len(rows):
-                continue
-            carried.append(rows)
-            size += len(rows)
-            if size >= BUFFERED:
-                rows = np.concatenate(carried)
-                last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-                cut = last[-1] + 1 if len(last) else 0
-                if cut:
-                    yield links(rows[:cut])
-                    carried, size = [rows[cut:]], len(rows) - cut
-                else:
-                    carried = [rows]
-        if carried:
-            yield links(np.concatenate(carried))
-
-    dealt = found.repartition("part").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "doc bigint, other bigint, shift int").distinct()
+        for rows in whole_keys(batches, columns_of(NAMES[1:]), BUFFERED):
+            made, alone = rows[rows[:, 7] != NOBODY], rows[rows[:, 7] == NOBODY]
+            out = [made[:, [5, 7, 6, 8, 0]]]
+            out += [to_first(alone[:, 0], alone[:, context], alone[:, 5], alone[:, 6]) for context in (1, 2, 3, 4)]
+            yield link_batch(out)
+
+    return found.repartition("part").sortWithinPartitions("key").mapInArrow(run, LINKS)
+
+
+def doubtful(marks: DataFrame) -> DataFrame:
+    """``(key, doc, at)``: the places of keys that have three or more, one of them with a link that did not hold all round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, columns_of(["key", "doc", "at", "open"]), BUFFERED):
+            unsure = np.unique(rows[rows[:, 3] > 0, 0])
+            places = np.unique(rows[:, :3], axis=0)
+            _, number, counts = np.unique(places[:, 0], return_inverse=True, return_counts=True)
+            keep = (counts[number] >= 3) & np.isin(places[:, 0], unsure)
+            own = places[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2].astype(np.int32))], ["key", "doc", "at"])
+
+    return marks.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, doc bigint, at int")
+
+
+def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """Links of places by the shingles around them: every stretch of ``least`` that holds the place, and shorter ones that begin or end with it."""
+    reach = least - 1
+
+    def around(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        offsets, flat = list_slices(batch.column("places"))
+        keys, ats = np.asarray(flat.field("key")), np.asarray(flat.field("at")).astype(np.int64)
+        for n, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            hashes = run_hashes(text, SHINGLE)
+            for key, at in zip(keys[offsets[n] : offsets[n + 1]].tolist(), ats[offsets[n] : offsets[n + 1]].tolist(), strict=True):
+                # values of its own where the text ends before
+                near = mixed(np.arange(2 * reach + 1, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{doc} {at}")), 5)
+                first, past = max(0, at - reach), min(len(hashes), at + reach + 1)
+                near[first - at + reach : past - at + reach] = hashes[first:past]
+                out.append((key, doc, at, near.tobytes()))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["key", "doc", "at", "near"])
+
+    def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+        near = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.int64).reshape(batch.num_rows, -1)
+        return np.concatenate([columns_of(["key", "doc", "at"])(batch), near], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_keys(batches, unpacked, AROUND):
+            key, doc, at = held[:, 0], held[:, 1], held[:, 2]
+            sums = np.zeros((len(held), 2 * reach + 2), np.uint64)
+            np.cumsum(held[:, 3:].view(np.uint64) * powers(2 * reach + 2)[0, : 2 * reach + 1], axis=1, out=sums[:, 1:])
+            ends = [(i, i + least) for i in range(reach + 1)]
+            for size in range(min(CONTEXTS), least):
+                ends += [(reach, reach + size), (reach + 1 - size, reach + 1)]
+            found = np.empty((0, 5), np.int64)
+            for first, past in ends:
+                found = np.unique(np.concatenate([found, to_first(key, sums[:, past] - sums[:, first], doc, at)]), axis=0)
+            yield link_batch([found])
+
+    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("places"))
+    near = map_batches(by_doc.join(rows, "doc"), around, "key bigint, doc bigint, at int, near binary")
+    return near.repartition("key").sortWithinPartitions("key").mapInArrow(run, LINKS)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> int:
@@ -298,29 +366,67 @@ def repeated_passages(
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("doc"), utf8(text_col).alias("text")
     )
-    links = stored(linked(windows(rows, least)).where("doc <> other"), "passage-links")
-    pairs = links.groupBy("doc", "other").agg(F.sort_array(F.collect_set("shift")).alias("shifts"))
+    links = stored(linked(windows(rows, least)), "passage-links")
+    found = stored(verified(links, rows, words, similarity, marked=True), "passages")
+    own = links.where("doc = other")
+    own = own.selectExpr("key", "doc", "at", "true as open").unionByName(own.selectExpr("key", "other as doc", "other_at as at", "true as open"))
+    places = found.where("key is not null").selectExpr("key", "doc_id as doc", "first_word as at", "past_word > 0 as open")
+    again = linked_again(doubtful(own.unionByName(places)), rows, least).where("doc <> other").withColumn("shift", F.expr("at - other_at"))
+    again = again.join(links.select("doc", "other", F.expr("at - other_at").alias("shift")), ["doc", "other", "shift"], "left_anti")
+    again = stored(again.select("doc", "other", "at", "other_at", "key"), "passage-links-again")
+    more = verified(again, rows, words, similarity, marked=False)
+    return found.where("key is null").unionByName(more).drop("key").distinct()
+
+
+def verified(links: DataFrame, rows: DataFrame, words: int, similarity: float, marked: bool) -> DataFrame:
+    """Passages of linked documents, both ways round (``key`` is null).
+
+    Also, if they are to be marked, the places of links by ``key``: ``first_word`` is the place, ``past_word`` 1 if the texts
+    differ as near to it as a passage of just ``words`` words may reach.
+    """
+    least = words - SHINGLE + 1
+    pairs = links.where("doc <> other").groupBy("doc", "other").agg(F.collect_list(F.struct("at", "other_at", "key")).alias("places"))
     left = pairs.join(rows, "doc")
     both = left.join(rows.select(F.col("doc").alias("other"), F.col("text").alias("other_text")), "other")
 
+    def differ(a: np.ndarray, b: np.ndarray, at: np.ndarray, other_at: np.ndarray) -> np.ndarray:
+        steps = np.arange(1 - least, least)
+        i, j = at[:, None] + steps, other_at[:, None] + steps
+        outside, known = (i < 0) | (i >= len(a)), (j >= 0) & (j < len(b))
+        return ~(outside | known & (a[np.clip(i, 0, len(a) - 1)] == b[np.clip(j, 0, len(b) - 1)])).all(1)
+
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
-        columns = [batch.column(c).to_pylist() for c in ("doc", "other", "shifts", "text", "other_text")]
+        out, marks = [], [np.empty((0, 4), np.int64)]
+        columns = [batch.column(c).to_pylist() for c in ("doc", "other", "text", "other_text")]
+        offsets, flat = list_slices(batch.column("places"))
+        at, other_at, key = (np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "other_at", "key"))
         last, b = None, np.empty(0, np.uint64)
-        for doc, other, shifts, text, other_text in zip(*columns, strict=True):
+        for n, (doc, other, text, other_text) in enumerate(zip(*columns, strict=True)):
+            own = slice(offsets[n], offsets[n + 1])
             a = run_hashes(text, SHINGLE)
             if other_text != last:  # rows of one representative follow each other
                 last, b = other_text, run_hashes(other_text, SHINGLE)
-            for first, past, other_first, other_past, value in shared(a, b, shifts, words, similarity):
+            for first, past, other_first, other_past, value in shared(a, b, np.unique(at[own] - other_at[own]).tolist(), words, similarity):
                 out.append((doc, first, past, other, other_first, value))
                 out.append((other, other_first, other_past, doc, first, value))
-        if not out:
+            if marked:
+                apart = differ(a, b, at[own], other_at[own])
+                whole = np.ones(len(apart), np.int64)
+                mine = np.stack([key[own], doc * whole, at[own], whole], 1)[apart]
+                marks.append(np.concatenate([mine, np.stack([key[own], other * whole, other_at[own], 0 * whole], 1)]))
+        places = np.unique(np.concatenate(marks), axis=0)
+        n = len(places)
+        if not out and not n:
             return None
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], PASSAGE)
-
-    schema = "doc_id bigint, first_word int, past_word int, other_id bigint, other_first_word int, similarity double"
-    return map_batches(both, verify, schema).distinct()
+        passages = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+        others = [pa.array(places[:, i]).cast(k) for i, k in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()))] + [pa.nulls(n, k) for k in kinds[3:]]
+        filled = [pa.concat_arrays([x, y]) for x, y in zip(passages, others, strict=True)]
+        filled.append(pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(places[:, 0])]))
+        return pa.RecordBatch.from_arrays(filled, [*PASSAGE, "key"])
+
+    schema = "doc_id bigint, first_word int, past_word int, other_id bigint, other_first_word int, similarity double, key bigint"
+    return map_batches(both, verify, schema)
 
 
 PASSAGE = ["doc_id", "first_word", "past_word", "other_id", "other_first_word", "similarity"]

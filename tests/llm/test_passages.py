@@ -99,3 +99,22 @@ def test_every_stretch_of_a_run():
     found = passages.shared(a, b, [0], 50, 0.9)
     assert {(f[0], f[1] - 4) for f in found} == {(0, 60), (69, 139), (149, 233)}
     assert [f[4] for f in sorted(found)] == [1.0, 1.0, 80 / 88]
+
+
+def test_copies_behind_a_frequent_line(spark):
+    docs, pairs = [], []
+
+    def add(middle):
+        i = len(docs)
+        docs.append((i, " ".join([f"{w}{i}" for w in edge.prose(i, 60).split()] + middle + [f"{w}x{i}" for w in edge.prose(i, 60).split()])))
+        return i
+
+    for n in range(60):
+        line = [f"{w}l{n}" for w in edge.prose(950 + n, 49).split()]
+        tail = [f"{w}t{n}" for w in edge.prose(500 + n, 6).split()]
+        middle = line + tail if n % 2 else tail + line
+        add(line)
+        pairs.append((add(middle), add(middle)))
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    got = {(r.doc_id, r.other_id): (r.first_word, r.past_word) for r in found}
+    assert got == {p: (60, 115) for a, b in pairs for p in ((a, b), (b, a))}
