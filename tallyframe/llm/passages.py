@@ -188,7 +188,9 @@ LINKS = "doc bigint, other bigint, at int, other_at int, key bigint"
 
 
 def link_batch(links: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.unique(np.concatenate(links), axis=0)
+    rows = np.concatenate(links)
+    rows = rows[np.lexsort(rows.T)]
+    rows = rows[np.concatenate([np.ones(min(1, len(rows)), bool), np.diff(rows, axis=0).any(1)])]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(rows[:, i]).cast(k) for i, k in enumerate(kinds)], ["doc", "other", "at", "other_at", "key"])
 
@@ -207,14 +209,15 @@ def linked(found: DataFrame) -> DataFrame:
 
 
 def doubtful(marks: DataFrame) -> DataFrame:
-    """``(key, doc, at)``: the places of keys that have three or more, one of them with a link that did not hold all round."""
+    """``(key, doc, at)``: the places of keys that have three or more in several documents, one of them with a link that did not hold all round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches, columns_of(["key", "doc", "at", "open"]), BUFFERED):
             unsure = np.unique(rows[rows[:, 3] > 0, 0])
             places = np.unique(rows[:, :3], axis=0)
-            _, number, counts = np.unique(places[:, 0], return_inverse=True, return_counts=True)
-            keep = (counts[number] >= 3) & np.isin(places[:, 0], unsure)
+            _, first, number, counts = np.unique(places[:, 0], return_index=True, return_inverse=True, return_counts=True)
+            several = places[first, 1] != places[first + counts - 1, 1]
+            keep = ((counts >= 3) & several)[number] & np.isin(places[:, 0], unsure)
             own = places[keep]
             yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2].astype(np.int32))], ["key", "doc", "at"])
 
@@ -254,7 +257,14 @@ def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
                 ends += [(reach, reach + size), (reach + 1 - size, reach + 1)]
             found = np.empty((0, 5), np.int64)
             for first, past in ends:
-                found = np.unique(np.concatenate([found, to_first(key, sums[:, past] - sums[:, first], doc, at)]), axis=0)
+                new = to_first(key, sums[:, past] - sums[:, first], doc, at)
+                new = new[new[:, 0] != new[:, 1]]
+                if len(new):  # one link of two documents and a shift will do
+                    found = np.concatenate([found, new])
+                    order = np.lexsort((found[:, 2] - found[:, 3], found[:, 1], found[:, 0]))
+                    found = found[order]
+                    step = np.diff(np.stack([found[:, 0], found[:, 1], found[:, 2] - found[:, 3]], 1), axis=0)
+                    found = found[np.concatenate([[True], step.any(1)])]
             yield link_batch([found])
 
     by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("places"))
