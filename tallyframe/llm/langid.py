@@ -26,7 +26,7 @@ from tallyframe.llm.common import with_field
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS  # of the n-grams' hashes: the model has so many rows whatever it learns from
-LONGEST_GRAM = 3
+LONGEST_GRAM = 4
 DOCS_PER_LANGUAGE = 1_000  # about as many labelled documents of a language are learned from
 SWITCH = 6.0  # log-likelihood that a change of language has to gain
 WORD_WEIGHT = 2.0  # weight of a word's mean n-gram
@@ -78,9 +78,10 @@ def words_of(text: str) -> list[str]:
 
 
 def gram_buckets(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of every n-gram of the words, their ends marked; all at once on code points."""
+    """Owner and hash of every n-gram of the words and of the words, their ends marked; all at once on code points."""
     codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), np.array([len(w) + 2 for w in words]))
+    sizes = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), sizes)
     owners, buckets = [], []
     hashes = np.zeros(len(codes), np.uint64)
     for n in range(1, min(LONGEST_GRAM, len(codes)) + 1):
@@ -89,6 +90,13 @@ def gram_buckets(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         spread = (hashes[inside] + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
         owners.append(owner[: len(hashes)][inside])
         buckets.append((spread ^ (spread >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - BUCKET_BITS))
+    starts = np.cumsum(sizes) - sizes
+    places = np.arange(len(codes)) - np.repeat(starts, sizes)
+    terms = (codes + np.uint64(1)) * (places.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    terms = (terms ^ (terms >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    whole = np.add.reduceat(terms, starts)
+    owners.append(np.arange(len(words)))
+    buckets.append((whole ^ (whole >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - BUCKET_BITS))
     return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 

@@ -70,3 +70,14 @@ def test_best_path_is_the_best():
 
         if n:
             assert abs(value(mine) - max(map(value, itertools.product(range(3), repeat=int(n))))) < 1e-4
+
+
+def test_grams_up_to_four_and_the_word():
+    words = ["a", "abcdefgh", "abcdefgx", "abcdefgh"]
+    owner, bucket = langid.gram_buckets(words)
+    sizes = [len(w) + 2 for w in words]
+    assert np.bincount(owner).tolist() == [sum(max(0, n - k + 1) for k in (1, 2, 3, 4)) + 1 for n in sizes]
+    whole = bucket[-len(words) :]
+    assert whole[1] == whole[3] and len(set(whole.tolist())) == 3
+    alone = langid.gram_buckets(["abcdefgh"])[1]
+    assert sorted(alone) == sorted(bucket[owner == 1])
