@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import ann, langid, licenses, mixing, packing, passages, pii, quality, simhash, token_counts, topk
+from tallyframe.llm import ann, langid, lexical, licenses, mixing, packing, passages, pii, quality, simhash, token_counts, topk
 from tallyframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op10_exact_top_k"] = topk.SQL
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_lexical_search"] = lexical.SQL
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
