@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import ann, langid, lexical, licenses, mixing, packing, passages, pii, quality, simhash, token_counts, topk
+from tallyframe.llm import ann, langid, lexical, licenses, mixing, packing, passages, pii, prefix_trie, quality, simhash, token_counts, topk
 from tallyframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op11_lexical_search"] = lexical.SQL
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op12_prefix_trie"] = prefix_trie.SQL
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
