@@ -329,10 +329,18 @@ def p25(spark, folder):
     return runs.valid_runs(v.runs(spark, folder))
 
 
-@query("p26_stamp_predictions")
+@query(
+    "p26_stamp_predictions",
+    f"""WITH {v.V_HISTORY}, v_ids AS (SELECT *, md5('run-1:' || filename) AS h FROM v_history),
+       v_keyed AS (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-'
+         || substr(h, 21, 12) AS new_id FROM v_ids)
+       SELECT new_id AS id, filename, label, score, true AS stamped, 'storage/predictions/' || new_id || '.png' AS image_relpath FROM v_keyed""",
+)
 def p26(spark, folder):
     rows = v.history(spark, folder).select("filename", "label", "score", names.upload_ext("filename", F.lit("")).alias("ext"))
-    return models.stamp_predictions(rows, "storage/predictions")
+    stamped = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    made = models.stamp_predictions(rows, "storage/predictions", run="run-1")
+    return made.select("id", "filename", "label", "score", stamped.alias("stamped"), "image_relpath")
 
 
 @query(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallyframe.catalog import views as v
 from tallyframe.catalog.columns import CONTRACT_SQL, contracts
 from tallyframe.catalog.registry import query, scratch
 from tallyframe.functions import names
-from tallyframe.operators import contract, metrics, models, resolve, runs
+from tallyframe.operators import contract, features, metrics, models, resolve, runs
+from tallyframe.operators.split import stratified_split
 from tallyframe.sources import documents, files, manifest, sinks
 from tallyframe.sources import history as hist
 from tallyframe.streaming.ingest import ingest_history
@@ -224,44 +226,112 @@ def x1(spark, folder):
 
 
 # -- models ------------------------------------------------------------------------------------------------
+LOGISTIC_GAP, HINGE_GAP = 1e-4, 1e-6  # shares of their objectives by which the fits may miss the optimum
+
+
 def parts(spark, folder):
     rows = v.split(spark, folder, with_x=True)
-    return rows.where("split = 'train'"), rows.where("split = 'val'")
+    return rows.where("split = 'train'"), rows.where("split <> 'train'")
+
+
+def held_out(scored, scores, fitted, bound):
+    """What SQL can state of an evaluation: rows, classes, the rows whose class has the highest score, and the proof."""
+    top = F.col(scores)[F.col("y_pred")] == F.array_max(scores)
+    per_split = scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("target_index").alias("classes"),
+        F.count_if(top).alias("argmax_rows"),
+    )
+    counts = scored.groupBy("split", F.col("target_index").alias("y_true"), "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    matrix = counts.groupBy("split").agg(F.sum("n").alias("confusion_rows"))
+    return per_split.join(matrix, "split").withColumn("proved", F.lit(fitted.gap <= bound))
+
 
+HELD_OUT_SQL = f"""WITH {v.V_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT target_index) AS classes, count(*) AS argmax_rows,
+  count(*) AS confusion_rows, true AS proved FROM v_split WHERE split <> 'train' GROUP BY 1"""
 
-@query("m3_logreg")
+
+@query("m3_logreg", HELD_OUT_SQL)
 def m3(spark, folder):
-    train, val = parts(spark, folder)
-    scored = models.fit_logreg(train, v.N_CLASSES, max_iter=3000, balanced=True).transform(val)
-    return metrics.evaluate(scored.select(F.col("target_index").alias("y_true"), "y_pred"))
+    train, rest = parts(spark, folder)
+    fitted = models.fit_logreg(train, v.N_CLASSES, max_iter=3000, balanced=True)
+    scored = fitted.transform(rest).withColumn("scores", vector_to_array("rawPrediction"))
+    return held_out(scored, "scores", fitted, LOGISTIC_GAP)
 
 
-@query("m4_linear_svm")
+@query("m4_linear_svm", HELD_OUT_SQL)
 def m4(spark, folder):
-    train, val = parts(spark, folder)
-    scored = models.fit_linear_svm(train, v.N_CLASSES, max_iter=10).transform(val)
-    return scored.select("id", "target_index", "y_pred")
+    train, rest = parts(spark, folder)
+    fitted = models.fit_linear_svm(train, v.N_CLASSES, bound=HINGE_GAP)
+    return held_out(fitted.transform(rest), "rawPrediction", fitted, HINGE_GAP)
 
 
-@query("m5_probabilities")
+@query(
+    "m5_probabilities",
+    f"""WITH {v.V_SPLIT} SELECT id, split, target_index, {v.N_CLASSES} AS classes, true AS sums_to_one, true AS sure_of_class, true AS proved
+       FROM v_split WHERE split <> 'train'""",
+)
 def m5(spark, folder):
-    train, val = parts(spark, folder)
-    scored = models.predict_proba(models.fit_logreg(train, v.N_CLASSES, max_iter=200), val)
-    return scored.select("id", "target_index", "y_pred", "confidence")
+    train, rest = parts(spark, folder)
+    fitted = models.fit_logreg(train, v.N_CLASSES, max_iter=3000)
+    total = F.aggregate("probability", F.lit(0.0), lambda acc, x: acc + x)
+    return models.predict_proba(fitted, rest).select(
+        "id",
+        "split",
+        "target_index",
+        F.size("probability").alias("classes"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("probability")[F.col("y_pred")] == F.col("confidence")).alias("sure_of_class"),
+        F.lit(fitted.gap <= LOGISTIC_GAP).alias("proved"),
+    )
 
 
+# images of 4 x 4 pixels at three sizes; the logistic fits stop after 20 steps, the gap that is left is part of the record
 CONFIGS = {
-    "plain": {"family": "logreg", "max_iter": 200},
-    "balanced": {"family": "logreg", "max_iter": 200, "class_weight": "balanced"},
-    "broken": {"family": "unknown"},
+    "logreg_32": {"family": "logreg", "input_size": 32, "max_iter": 20},
+    "logreg_32_bal": {"family": "logreg", "input_size": 32, "max_iter": 20, "class_weight": "balanced"},
+    "logreg_64_bal": {"family": "logreg", "input_size": 64, "max_iter": 20, "class_weight": "balanced", "seed": 7},
+    "svm_8_bal": {"family": "linear_svm", "input_size": 8, "class_weight": "balanced", "bound": HINGE_GAP},
+    "broken_64": {"family": "unknown", "input_size": 64, "normalization": "unit"},
 }
 
 
-@query("m6_experiment_grid")
+@query(
+    "m6_experiment_grid",
+    f"""WITH {v.V_ONEHOT}, v_rows AS (
+         SELECT CAST(sum(n) FILTER (split = 'val') AS BIGINT) AS val_rows FROM (
+           SELECT lang, CASE WHEN rn * 100 <= n * 70 THEN 'train' WHEN rn * 100 <= n * 85 THEN 'val' ELSE 'test' END AS split, 1 AS n
+           FROM (SELECT lang, count(*) OVER (PARTITION BY lang) AS n,
+                        row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents)))
+       SELECT c.*, CASE WHEN error IS NULL THEN val_rows END AS confusion_rows, error IS NULL AS scored, error IS NULL AS ranked,
+         error IS NULL AS gap_known, CASE WHEN family = 'linear_svm' THEN true END AS proved
+       FROM (VALUES ('logreg_32', 'logreg', 32, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 42, 'cpu', CAST(NULL AS VARCHAR)),
+                    ('logreg_32_bal', 'logreg', 32, NULL, 'balanced', 42, 'cpu', NULL),
+                    ('logreg_64_bal', 'logreg', 64, NULL, 'balanced', 7, 'cpu', NULL),
+                    ('svm_8_bal', 'linear_svm', 8, NULL, 'balanced', 42, 'cpu', NULL),
+                    ('broken_64', 'unknown', 64, 'unit', NULL, 42, 'cpu', 'ValueError("unknown family ''unknown''")'))
+            c(experiment_id, family, input_size, normalization, class_weight, seed, device, error), v_rows""",
+)
 def m6(spark, folder):
-    train, val = parts(spark, folder)
-    table = models.run_grid(CONFIGS, train, val, v.N_CLASSES)
-    return runs.sort_runs(runs.rank_runs(table))
+    langs = F.array(*[F.lit(x) for x in v.LANGS])
+    target = (F.array_position(langs, F.col("lang")) - 1).cast("int")
+    labels = v.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), target.alias("target_index"))
+    labels = stratified_split(labels, "target_index", "id", allocate="per_class")
+    images = v.pixels(spark, folder).join(labels, "id")
+    train, val = images.where("split = 'train'"), images.where("split = 'val'")
+    table = models.run_grid(CONFIGS, train, val, len(v.LANGS), "features", features_of=features.flatten_images)
+    ranked = runs.rank_runs(table)
+    total = F.aggregate(F.flatten("val_confusion"), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    scored = F.col("val_accuracy").between(0, 1) & F.col("val_f1_macro").between(0, 1) & (F.col("runtime_sec") > 0)
+    place = F.col("rank_f1")
+    return ranked.select(
+        *["experiment_id", "family", "input_size", "normalization", "class_weight", "seed", "device", "error"],
+        total.alias("confusion_rows"),
+        F.coalesce(scored, F.lit(False)).alias("scored"),
+        F.coalesce(place.between(1, len(CONFIGS) - 1), F.lit(False)).alias("ranked"),
+        F.col("gap").isNotNull().alias("gap_known"),
+        F.when(F.col("family") == "linear_svm", F.col("gap") <= HINGE_GAP).alias("proved"),
+    )
 
 
 @query(
@@ -270,7 +340,61 @@ def m6(spark, folder):
 )
 def m7(spark, folder):
     rows = v.history(spark, folder).select(F.col("id").cast("bigint").alias("event_id"), "filename")
-    return models.score_batch(rows)
+    return models.constant_scorer(rows)
+
+
+def page_items(spark, folder):
+    """Pages as files to score: those whose name is no number can't be decoded."""
+    path = F.regexp_replace("url", "[?#].*$", "")
+    name = F.concat(names.base_name(path), F.lit("-"), F.col("page_id").cast("string"), F.lit(".png"))
+    return v.table(spark, folder, "pages").select(name.alias("filename"), F.lit(".png").alias("ext"), "page_id")
+
+
+def decodable():
+    return F.col("filename").rlike("^[0-9]+-") & (F.col("page_id") % 7 != 0)
+
+
+PAGE_SQL = """pages_scored AS (SELECT batch, filename, good, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4)
+      || '-' || substr(h, 21, 12) AS id FROM (
+    SELECT *, md5(batch || ':' || filename) AS h, regexp_matches(filename, '^[0-9]+-') AND page_id % 7 <> 0 AS good FROM (
+      SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch,
+        regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) || '-' || page_id || '.png' AS filename FROM pages)))"""
+
+
+def scored_pages(spark, folder):
+    """Two batches; the first is repeated, an attempt at the second has died after its rows were written."""
+    path = scratch(spark, "scored")
+    items = page_items(spark, folder)
+    even, odd = items.where("page_id % 2 = 0"), items.where("page_id % 2 = 1")
+    models.score_batch(even, path, "even", valid=decodable())
+    models.score_batch(even, path, "even", valid=decodable())
+    try:
+        models.score_batch(odd, path, "odd", valid=decodable(), on_error="raise")
+    except ValueError:
+        models.score_batch(odd, path, "odd", valid=decodable())
+    return path
+
+
+@query(
+    "m7_score_batch",
+    f"""WITH {PAGE_SQL} SELECT id, filename, 'suspeita' AS label, 0.71::DOUBLE AS score, true AS stamped,
+         'storage/' || id || '.png' AS image_relpath FROM pages_scored WHERE good""",
+)
+def m7_batch(spark, folder):
+    stamped = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    rows = models.scored_history(spark, scored_pages(spark, folder))
+    return rows.select("id", "filename", "label", "score", stamped.alias("stamped"), "image_relpath")
+
+
+@query(
+    "q14_scoring_errors",
+    f"""WITH {PAGE_SQL} SELECT e.batch, e.filename, e.code, e.message, l.scored, l.failed FROM (
+         SELECT batch, filename, 'INVALID_INPUT' AS code, 'invalid file or unsupported format' AS message FROM pages_scored WHERE NOT good) e
+       JOIN (SELECT batch, count(*) FILTER (good) AS scored, count(*) FILTER (NOT good) AS failed FROM pages_scored GROUP BY 1) l USING (batch)""",
+)
+def q14_batch(spark, folder):
+    path = scored_pages(spark, folder)
+    return models.scoring_errors(spark, path).drop("created_at").join(models.read_ledger(spark, path), "batch")
 
 
 @query(

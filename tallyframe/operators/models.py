@@ -1,49 +1,58 @@
-"""Linear baselines on Spark ML, experiment grids and batch scoring."""
+"""Linear baselines with proofs of their fits, experiment grids and batch scoring."""
 
 from __future__ import annotations
 
+import re
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tallyframe.operators import linear
 from tallyframe.operators.features import apply_stats, feature_stats
-from tallyframe.operators.metrics import evaluate
+from tallyframe.operators.metrics import confusion_counts
 from tallyframe.operators.weights import attach_weights, balanced_weights
+from tallyframe.sources.history import COLUMNS as HISTORY_COLUMNS
 
 # Label and score of the constant scorer.
 CONSTANT_LABEL = "suspeita"
 CONSTANT_SCORE = 0.71
+# Code and message of files that can't be decoded.
+INVALID = "INVALID_INPUT"
+INVALID_MESSAGE = "invalid file or unsupported format"
 
 PARTITION_BYTES = 32 << 20
 
-RUN_SCHEMA = T.StructType(
-    [
-        T.StructField("experiment_id", T.StringType()),
-        T.StructField("family", T.StringType()),
-        T.StructField("class_weight", T.StringType()),
-        T.StructField("seed", T.IntegerType()),
-        T.StructField("val_accuracy", T.DoubleType()),
-        T.StructField("val_f1_macro", T.DoubleType()),
-        T.StructField("runtime_sec", T.DoubleType()),
-        T.StructField("error", T.StringType()),
-    ]
+RUN_SCHEMA = (
+    "experiment_id string, family string, input_size int, normalization string, class_weight string, seed int, device string, "
+    "val_accuracy double, val_f1_macro double, runtime_sec double, gap double, val_confusion array<array<bigint>>, error string"
 )
 
 
+def names_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 @dataclass
 class Fitted:
-    """A model with the training statistics its inputs are standardised by."""
+    """A model with the training statistics its inputs are standardised by.
+
+    ``gap`` is the share of its objective by which the model may miss the optimum, proved by a pass over the rows.
+    """
 
     model: object
     stats: DataFrame
     features: str
+    gap: float
 
     def transform(self, df: DataFrame) -> DataFrame:
         scaled = apply_stats(df, self.stats, self.features, "_z").withColumn("features_vec", array_to_vector("_z"))
@@ -95,7 +104,14 @@ def fit_logreg(
             standardization=False,
             maxIter=max_iter,
         )
-        return Fitted(solver.fit(rows), stats, features)
+        model = solver.fit(rows)
+    row = stats.first()
+    data = linear.blocks(df, features, target, row["mean"], row["std"], model.numClasses)
+    try:
+        gap = linear.logistic_gap(data, model.coefficientMatrix.toArray().T, model.interceptVector.toArray(), C, balanced)
+    finally:
+        data.df.unpersist()
+    return Fitted(model, stats, features, gap)
 
 
 def fit_linear_svm(
@@ -104,17 +120,19 @@ def fit_linear_svm(
     features: str = "x",
     target: str = "target_index",
     C: float = 1.0,
-    max_iter: int = 50,
+    max_iter: int | None = None,
     balanced: bool = True,
-    parallelism: int = 8,
+    bound: float = 1e-6,
 ) -> Fitted:
-    """One linear SVM per class against the rest."""
-    with _training_rows(df, features, target, n_classes, balanced) as (stats, rows, total):
-        svm = LinearSVC(regParam=1.0 / (C * total), maxIter=max_iter, standardization=False)
-        rest = OneVsRest(
-            classifier=svm, featuresCol="features_vec", labelCol=target, weightCol="weight", parallelism=parallelism
-        )
-        return Fitted(rest.fit(rows), stats, features)
+    """One linear SVM with squared hinge loss per class against the rest, fitted until its gap is proved to be ``bound``."""
+    row = feature_stats(df.where(F.col(features).isNotNull() & F.col(target).isNotNull()), features).first()
+    stats = df.sparkSession.createDataFrame([(row["mean"], row["std"])], "mean array<double>, std array<double>")
+    data = linear.blocks(df, features, target, row["mean"], row["std"], n_classes)
+    try:
+        model, gap = linear.fit_squared_hinge(data, C, balanced, bound, max_iter)
+    finally:
+        data.df.unpersist()
+    return Fitted(model, stats, features, float(gap.max()))
 
 
 def predict_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
@@ -125,10 +143,11 @@ def predict_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
 
 def fit_config(config: Mapping, train: DataFrame, n_classes: int, features: str, target: str) -> Fitted:
     family, balanced = config.get("family"), config.get("class_weight") == "balanced"
+    C, max_iter = config.get("C", 1.0), config.get("max_iter")
     if family == "logreg":
-        return fit_logreg(train, n_classes, features, target, config.get("C", 1.0), config.get("max_iter", 200), balanced)
+        return fit_logreg(train, n_classes, features, target, C, max_iter or 200, balanced)
     if family == "linear_svm":
-        return fit_linear_svm(train, n_classes, features, target, config.get("C", 1.0), config.get("max_iter", 50), balanced)
+        return fit_linear_svm(train, n_classes, features, target, C, max_iter, balanced, config.get("bound", 1e-6))
     raise ValueError(f"unknown family {family!r}")
 
 
@@ -139,34 +158,57 @@ def run_grid(
     n_classes: int,
     features: str = "x",
     target: str = "target_index",
+    features_of: Callable[[DataFrame, int], DataFrame] | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """One record per configuration: metrics and run time, or the error it failed with.
+    """One record per configuration: its settings, metrics, confusion counts, proved gap and run time, or its error.
 
-    The loop is over configurations; each fit and evaluation is a Spark job.
+    ``features_of(rows, size)`` makes the ``features`` column for an input size; rows of each size are made and
+    stored once, for all configurations of that size. Configurations run side by side, each in a scheduler pool of its
+    own name; a fit is Spark jobs over all rows, only its counts per pair of classes come back.
     """
-    train, val = (df.select(features, target).persist() for df in (train, val))
-    records = []
-    for name, config in configs.items():
-        record = {
-            "experiment_id": name,
-            "family": config.get("family"),
-            "class_weight": config.get("class_weight"),
-            "seed": config.get("seed", 42),
-        }
+    spark: SparkSession = train.sparkSession
+    sizes = {c.get("input_size") for c in configs.values()} if features_of else {None}
+    held: dict[int | None, tuple[DataFrame, DataFrame]] = {}
+    for size in sizes:
+        made = [df if features_of is None or size is None else features_of(df, size) for df in (train, val)]
+        held[size] = tuple(df.select(features, target).persist() for df in made)
+
+    def run(name: str, config: Mapping) -> dict:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        record = {c: config.get(c) for c in ("family", "input_size", "normalization", "class_weight")}
+        record |= {"experiment_id": name, "seed": config.get("seed", 42), "device": config.get("device", "cpu")}
         began = time.monotonic()
         try:
-            fitted = fit_config(config, train, n_classes, features, target)
-            scored = fitted.transform(val).select(F.col(target).alias("y_true"), "y_pred")
-            row = evaluate(scored).first()
-            record |= {"val_accuracy": row["accuracy"], "val_f1_macro": row["f1_macro"]}
+            rows, held_out = held[config.get("input_size") if features_of else None]
+            fitted = fit_config(config, rows, n_classes, features, target)
+            scored = fitted.transform(held_out).select(F.col(target).alias("y_true"), "y_pred")
+            counts = np.zeros((n_classes, n_classes), np.int64)
+            for r in confusion_counts(scored).collect():  # classes squared at most
+                counts[r["y_true"], r["y_pred"]] = r["n"]
+            record |= scores_of(counts) | {"val_confusion": counts.tolist(), "gap": fitted.gap}
             record["runtime_sec"] = time.monotonic() - began
         except Exception as error:  # a failed run is a result
             record["error"] = repr(error)
-        records.append(record)
-    for shared in (train, val):
-        shared.unpersist()
-    spark: SparkSession = train.sparkSession
-    return spark.createDataFrame([tuple(r.get(c) for c in RUN_SCHEMA.fieldNames()) for r in records], RUN_SCHEMA)
+        return record
+
+    try:
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            records = list(pool.map(inheritable_thread_target(spark)(run), configs, configs.values()))
+    finally:
+        for frames in held.values():
+            for df in frames:
+                df.unpersist()
+    return spark.createDataFrame([tuple(r.get(c) for c in names_of(RUN_SCHEMA)) for r in records], RUN_SCHEMA)
+
+
+def scores_of(counts: np.ndarray) -> dict[str, float | None]:
+    """Accuracy and macro-F1 over the labels seen, from counts by truth and prediction."""
+    both, hits, total = counts.sum(0) + counts.sum(1), np.diag(counts), counts.sum()
+    seen = both > 0
+    if not total:
+        return {"val_accuracy": None, "val_f1_macro": None}
+    return {"val_accuracy": float(hits.sum() / total), "val_f1_macro": float((2 * hits[seen] / both[seen]).mean())}
 
 
 def constant_scorer(df: DataFrame) -> DataFrame:
@@ -174,13 +216,23 @@ def constant_scorer(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.lit(CONSTANT_LABEL)).withColumn("score", F.lit(CONSTANT_SCORE))
 
 
-def stamp_predictions(scored: DataFrame, folder: str, ext: str = "ext") -> DataFrame:
-    """Scored rows as history rows: new id, UTC time as ISO text, stored path.
+def run_ids(run: str, key: Column) -> Column:
+    """An id in the form of a UUID, derived from a run and a key within it."""
+    digest = F.md5(F.concat(F.lit(run + ":"), key))
+    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts])
 
-    The id is random, so write these rows once and read them back from there.
+
+def stamp_predictions(
+    scored: DataFrame, folder: str, ext: str = "ext", run: str | None = None, keep: Sequence[Column] = ()
+) -> DataFrame:
+    """Scored rows as history rows: id, UTC time as ISO text, stored path.
+
+    With a ``run``, ids are derived from it and the file name, so a task that runs again gives the same ones; file names
+    are unique within a run. Without, they are random: write these rows once and read them back from there.
     """
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-    keyed = scored.withColumn("id", F.uuid()).withColumn("created_at", now)
+    keyed = scored.withColumn("id", F.uuid() if run is None else run_ids(run, F.col("filename"))).withColumn("created_at", now)
     return keyed.select(
         "id",
         "filename",
@@ -188,17 +240,99 @@ def stamp_predictions(scored: DataFrame, folder: str, ext: str = "ext") -> DataF
         F.col("score").cast("double").alias("score"),
         "created_at",
         F.concat(F.lit(folder.rstrip("/") + "/"), "id", F.col(ext)).alias("image_relpath"),
+        *keep,
     )
 
 
-def score_batch(items: DataFrame, scorer=constant_scorer) -> DataFrame:
-    return scorer(items)
-
-
-def input_errors(files: DataFrame, decoded: DataFrame, message: str = "invalid file or unsupported format") -> DataFrame:
+def input_errors(files: DataFrame, decoded: DataFrame, message: str | None = None) -> DataFrame:
     """A standard error record for every listed file that could not be decoded. Paths are unique."""
     return files.select("path").join(decoded.select("path"), "path", "left_anti").select(
-        "path", F.lit("INVALID_INPUT").alias("code"), F.lit(message).alias("message")
+        "path", F.lit(INVALID).alias("code"), F.lit(message or INVALID_MESSAGE).alias("message")
     )
 
 
+# -- batch scoring -----------------------------------------------------------------------------------------
+BATCH_SCHEMA = (
+    "id string, filename string, label string, score double, created_at string, image_relpath string, code string, "
+    "message string, batch string, outcome string"
+)
+LEDGER_SCHEMA = "batch string, scored bigint, failed bigint"
+
+
+def score_batch(
+    items: DataFrame,
+    path: str,
+    batch: str,
+    scorer: Callable[[DataFrame], DataFrame] = constant_scorer,
+    valid: Column | None = None,
+    folder: str = "storage",
+    on_error: str = "record",
+) -> dict:
+    """Scores items and stores history rows and error records in one pass; a batch that is stored already adds nothing.
+
+    ``items`` have ``filename`` (unique in a batch), ``ext`` and what the ``scorer`` reads; ``valid`` says which of them
+    can be scored (null: not). Items without a label or score afterwards are errors too. The scorer works row by row,
+    so no item is lost or doubled; with ``on_error="raise"`` a batch with errors is left out as a whole.
+
+    All rows of a batch are written to a folder of its own, by outcome. Only then its line is added to the
+    ledger, and only batches of the ledger are read. A job that dies in between leaves a folder that nobody reads
+    and that the next attempt replaces; ids are derived from batch and file name, so attempts agree. One writer per batch.
+    Returns the line of the ledger, with ``added``: whether this call stored the batch.
+    """
+    if on_error not in ("record", "raise"):
+        raise ValueError("on_error must be 'record' or 'raise'")
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError("batch names are letters, digits, '_', '.' and '-'")
+    spark = items.sparkSession
+    known = read_ledger(spark, path).where(F.col("batch") == batch).first()
+    if known is not None:
+        return known.asDict() | {"added": False}
+    fit = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    scored = scorer(items.withColumn("_valid", fit))
+    good = F.col("_valid") & F.col("label").isNotNull() & F.col("score").isNotNull()
+    stamped = stamp_predictions(scored.withColumn("ext", F.coalesce("ext", F.lit(""))), folder, run=batch, keep=[good.alias("_good")])
+    only = {"label", "score", "image_relpath"}  # what an item that failed does not have
+    rows = stamped.select(
+        *[F.when(F.col("_good"), F.col(c)).alias(c) if c in only else F.col(c) for c in HISTORY_COLUMNS],
+        F.when(~F.col("_good"), F.lit(INVALID)).alias("code"),
+        F.when(~F.col("_good"), F.lit(INVALID_MESSAGE)).alias("message"),
+        F.when(F.col("_good"), "scored").otherwise("failed").alias("outcome"),
+    )
+    target = f"{path}/rows/batch={batch}"
+    rows.write.mode("overwrite").partitionBy("outcome").parquet(target)
+    written = spark.read.schema("code string, outcome string").parquet(target)
+    failed = F.count_if(F.col("outcome") == "failed")
+    counts = written.agg(failed.alias("failed"), (F.count(F.lit(1)) - failed).alias("scored")).first()
+    if on_error == "raise" and counts["failed"]:
+        raise ValueError(f"batch {batch!r}: {counts['failed']} items can't be scored; nothing of it counts as stored")
+    line = {"batch": batch, "scored": counts["scored"], "failed": counts["failed"]}
+    spark.createDataFrame([tuple(line.values())], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+    return line | {"added": True}
+
+
+def _stored(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Batches that are stored, with their numbers of rows."""
+    return _stored(spark, LEDGER_SCHEMA, f"{path}/ledger")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches of the ledger."""
+    batches = read_ledger(spark, path).select("batch").distinct()
+    return _stored(spark, BATCH_SCHEMA, f"{path}/rows").join(batches, "batch", "left_semi").select(*names_of(BATCH_SCHEMA))
+
+
+def scored_history(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, path).where("outcome = 'scored'").select(*HISTORY_COLUMNS)
+
+
+def scoring_errors(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, path).where("outcome = 'failed'").select("batch", "filename", "code", "message", "created_at")

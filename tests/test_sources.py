@@ -226,7 +226,7 @@ def test_ingest_adds_each_id_once(spark, tmp_path):
 
 
 def test_stamped_predictions(spark):
-    scored = models.score_batch(spark.createDataFrame([("a.png", ".png"), ("b.jpg", ".jpg")], "filename string, ext string"))
+    scored = models.constant_scorer(spark.createDataFrame([("a.png", ".png"), ("b.jpg", ".jpg")], "filename string, ext string"))
     rows = models.stamp_predictions(scored, "store/").collect()
     assert len({r["id"] for r in rows}) == 2
     for r in rows:
