@@ -33,6 +33,37 @@ def s1(spark, folder):
     return index.select("id", *cells)
 
 
+@query(
+    "s1_odd_quotes",
+    """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 = 0 THEN p_size || '" wide' ELSE p_name END AS size,
+         CASE WHEN p_partkey % 5 = 0 THEN p_name || chr(10) || '"' || p_brand || '", ' || chr(10) ELSE p_type END AS note FROM part""",
+)
+def s1_odd(spark, folder):
+    """Quotes inside fields without quotes, and quoted fields over several lines, in one table of many files."""
+    path = scratch(spark, "odd-quotes")
+    size = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_size", F.lit('" wide'))).otherwise(F.col("p_name"))
+    long = F.concat(F.lit('"'), "p_name", F.lit('\n""'), "p_brand", F.lit('"", \n"'))
+    note = F.when(F.col("p_partkey") % 5 == 0, long).otherwise(F.col("p_type"))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), size, note)
+    rows = v.table(spark, folder, "part").repartition(4).select(line.alias("value"), F.spark_partition_id().alias("file"))
+    header = spark.range(4).select(F.lit("id,size,note").alias("value"), F.col("id").cast("int").alias("file"))
+    both = header.withColumn("at", F.lit(0)).unionByName(rows.withColumn("at", F.lit(1)))
+    both.repartition("file").sortWithinPartitions("file", "at").select("value", "file").write.partitionBy("file").text(path)
+    return manifest.read_manifest(spark, path, ",").select("id", "size", "note")
+
+
+@query("s2_sniff_quoted", "SELECT ';' AS sep, count(*) AS records, 2 AS columns FROM part")
+def s2_quoted(spark, folder):
+    path = scratch(spark, "quoted-seps")
+    note = F.concat(F.lit('"'), F.array_join(F.array_repeat(F.lit("x;"), F.col("p_partkey").cast("int") % 4 + 1), ""), F.lit('"'))
+    rows = v.table(spark, folder, "part").select(F.concat_ws(";", F.col("p_partkey").cast("string"), note).alias("value"))
+    header = spark.range(1).select(F.lit("id;note").alias("value"))
+    header.unionByName(rows).coalesce(1).write.text(path)
+    sep = manifest.sniff_sep(spark, path)
+    read = manifest.read_manifest(spark, path, sep)
+    return read.agg(F.lit(sep).alias("sep"), F.count(F.lit(1)).alias("records"), F.lit(len(read.columns) - 1).alias("columns"))
+
+
 @query("s2_sniff_sep", "SELECT ';' AS sep, count(*) AS records, 4 AS columns FROM customer")
 def s2(spark, folder):
     path = scratch(spark, "semicolon")

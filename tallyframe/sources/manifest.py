@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.names import normalize_id, normalize_name
+from tallyframe.sources.records import csv_records
 
 # Header names an id column may carry, delimiters tried, sample size in characters.
 ID_HEADERS = ("image", "image_id", "img", "filename", "file", "id")
@@ -17,6 +19,7 @@ DELIMITERS = (",", ";", "\t", "|")
 SNIFF_CHARS = 4096
 
 POSITION = "_pos"
+_QUOTED = re.compile(r'"(?:[^"]|"")*"')
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame | None:
@@ -30,7 +33,7 @@ def _text(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def sniff_sep(spark: SparkSession, path: str, default: str = ",") -> str:
-    """Delimiter with a constant non-zero count per line in the head of the file."""
+    """Delimiter with a constant non-zero count per line in the head of the file, outside of quoted fields."""
     lines = _text(spark, path)
     if lines is None:
         return default
@@ -41,9 +44,10 @@ def sniff_sep(spark: SparkSession, path: str, default: str = ",") -> str:
             break
         head.append(row["value"])
         size += len(row["value"])
+    plain = [_QUOTED.sub("", line) for line in head]
     best, best_count = default, 0
     for sep in DELIMITERS:
-        counts = {line.count(sep) for line in head}
+        counts = {line.count(sep) for line in plain}
         if len(counts) == 1 and (n := counts.pop()) > best_count:
             best, best_count = sep, n
     return best
@@ -76,34 +80,52 @@ def read_manifest(
 ) -> DataFrame:
     """Manifest rows as text columns plus ``_pos``, the place in the file.
 
-    The second encoding is used when the first leaves undecodable bytes. A
-    file in which no line has an open quote is read in parallel splits; only
-    records that span lines need whole-file parsing. A missing file gives an
-    empty frame.
+    The second encoding is used when the first leaves undecodable bytes. Files are read in parallel splits; if some
+    line has an odd number of quotes, records are cut by :mod:`tallyframe.sources.records`. Only files with bare
+    carriage returns as line ends are then read as a whole. A missing file gives an empty frame.
     """
     facts = scan_text(spark, path)
     if facts is None:
         return spark.createDataFrame([], T.StructType([T.StructField("id", T.StringType())]))
+    sep = sep or sniff_sep(spark, path)
+    encoding = encodings[1] if facts["undecodable"] else encodings[0]
     rows = (
         spark.read.option("header", True)
-        .option("sep", sep or sniff_sep(spark, path))
-        .option("encoding", encodings[1] if facts["undecodable"] else encodings[0])
+        .option("sep", sep)
+        .option("encoding", encoding)
         .option("multiLine", facts["open_quotes"] > 0)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
-    placed = rows.withColumn(
-        POSITION,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("line"),
-        ),
-    )
+    if facts["open_quotes"] and not _bare_returns(spark, path):
+        placed = _parsed(csv_records(spark, path, sep, encoding), rows.schema, sep)
+    else:
+        placed = rows.withColumn(
+            POSITION,
+            F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("start"),
+                F.monotonically_increasing_id().alias("line"),
+            ),
+        )
     return normalize_columns(placed, keep=(POSITION,)) if normalize else placed
 
 
+def _bare_returns(spark: SparkSession, path: str) -> bool:
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.where(F.col("value").rlike("\r(?!$)")).isEmpty()
+
+
+def _parsed(records: DataFrame, schema: T.StructType, sep: str) -> DataFrame:
+    """Records by the same parser that reads files; the columns are taken by position."""
+    plain = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(schema))])
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
+    cells = F.from_csv("record", plain.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    found = records.select(F.struct("file", "start", "line").alias(POSITION), cells.alias("_cells"))
+    return found.select(*[F.col("_cells")[f.name].alias(c) for f, c in zip(plain, schema.names, strict=True)], POSITION)
+
+
 def count_records(spark: SparkSession, path: str) -> int:
     """Records after the header, blank lines included."""
     facts = scan_text(spark, path)
