@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.operators.split import _prefix
-from tallyframe.plans.order import hash_order
+from tallyframe.plans.order import carry_last, hash_order, running_total
 
-DRAWS_PER_CELL = 500_000
 LINE_BITS = 46  # weights become whole lengths on a line of about 2**46, so sums are exact
 
 
@@ -49,61 +47,49 @@ def attach_weights(df: DataFrame, weights: DataFrame, n_classes: int, target: st
     return df.join(F.broadcast(slots.join(one_each, target)), target, "left")
 
 
-def weighted_sample(
-    df: DataFrame, weight: str, key: str, n: int, seed: int = 42, cells: int | None = None
-) -> DataFrame:
+def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` draws with replacement, chance proportional to ``weight``: ``(draw, key)``.
 
     Rows lie on a line in hash order, each as long as its weight, scaled by a power of two to the sum of all; draw
-    ``i`` is a point on it and takes the last row that starts at or before it.
-    Lengths are added up per hash prefix, so no window sees the whole table.
-    The line is cut into equal cells: each holds about the same number of
-    points however heavy a row is, and starts from the last row before it.
+    ``i`` is a point on it and takes the row it falls on. Rows of one key are one piece of the line.
+
+    Rows and points are put in order together, in ranges that a sample of both has cut: a task gets its share of them
+    whether the points fall on one row or on all. Rows too light for the scale share one piece at the line's
+    end; a draw that falls there is made again among these rows, on a line of their own. Only if all of them weigh
+    less than ``2**-(LINE_BITS + 1)`` of the whole together they are never drawn. Rows without a positive weight
+    take no part.
     """
-    spark = df.sparkSession
-    cells = cells or min(65_536, max(64, -(-n // DRAWS_PER_CELL)))
-    positive = df.where(F.col(weight) > 0)
-    mass = positive.agg(F.sum(weight)).first()[0]
+    positive = df.where(F.col(weight) > 0).groupBy(F.col(key).alias("_key")).agg(F.sum(weight).alias("_weight"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
+    return _drawn(positive, draws, seed, str(seed)).select("draw", F.col("_key").alias(key))
+
+
+def _drawn(rows: DataFrame, draws: DataFrame, seed: int, line: str) -> DataFrame:
+    """``draw, _key`` for rows ``_key, _weight``; ``line`` names the line that draws fall on."""
+    mass, count = rows.agg(F.sum("_weight"), F.count(F.lit(1))).first()
     if not mass:
         raise ValueError("no row has a positive weight")
-    scale = 2.0 ** math.floor(LINE_BITS - math.log2(mass))
-    lengths = positive.select(
-        F.col(key).alias("_key"), F.round(F.col(weight) * scale).cast("bigint").alias("_len"), hash_order(seed, key).alias("_h")
-    )
-    total, lost = lengths.agg(F.sum("_len"), F.count_if(F.col("_len") == 0)).first()
-    if lost:
-        raise ValueError(f"{lost} rows weigh less than 2**-{LINE_BITS + 1} of the whole and could not be drawn")
-    width = -(-total // cells)
-    lengths = lengths.withColumn("_b", _prefix("_h"))
-    pieces = lengths.groupBy("_b").agg(F.sum("_len").alias("_sum"))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65536 rows
-    starts = pieces.select("_b", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_b").orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.col("_before") + F.sum("_len").over(inside) - F.col("_len")
-    placed = lengths.join(starts, "_b").select("_key", start.alias("_at")).withColumn("_cell", _cell(width))
-
-    last = placed.groupBy("_cell").agg(F.max_by("_key", "_at").alias("_last"))
-    ends = spark.range(cells).select(F.col("id").alias("_cell")).join(last, "_cell", "left")
-    previous = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # `cells` rows
-    carried = ends.select("_cell", F.last("_last", ignorenulls=True).over(previous).alias("_key"))
-
-    point = draw_point(F.col("id"), seed, total)
-    points = spark.range(n).select(F.col("id").alias("draw"), point.alias("_at")).withColumn("_cell", _cell(width))
-    marks = (
-        placed.select("_cell", "_at", F.lit(0).alias("_kind"), "_key")
-        .unionByName(carried.select("_cell", F.lit(-1).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), "_key"))
-        .unionByName(points.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    bits = max(LINE_BITS, count.bit_length() + 1)  # the heaviest row always has a length
+    scale = 2.0 ** math.floor(bits - math.log2(mass))
+    lengths = rows.select("_key", "_weight", F.round(F.col("_weight") * scale).cast("bigint").alias("_len"), hash_order(seed, "_key").alias("_h"))
+    light = F.col("_len") == 0
+    total, rest = lengths.agg(F.sum("_len"), F.round(F.sum(F.when(light, F.col("_weight"))) * scale).cast("bigint")).first()
+    placed = running_total(lengths.where(~light).select("_key", "_len", "_h"), [F.col("_h"), F.col("_key")], "_len", "_upto")
+    points = draws.select("draw", draw_point(F.col("draw"), line, total + (rest or 0)).alias("_at"))
+    no_draw, no_key = F.lit(None).cast("bigint").alias("draw"), F.lit(None).cast(rows.schema["_key"].dataType).alias("_key")
+    marks = placed.select(no_draw, (F.col("_upto") - F.col("_len")).alias("_at"), F.lit(True).alias("_row"), "_key").unionByName(
+        points.where(F.col("_at") < total).select("draw", "_at", F.lit(False).alias("_row"), no_key)
     )
-    so_far = Window.partitionBy("_cell").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = marks.withColumn("_hit", F.last("_key", ignorenulls=True).over(so_far))
-    return drawn.where(F.col("_kind") == 1).select("draw", F.col("_hit").alias(key))
-
-
-def draw_point(draw: Column, seed: int, total: int) -> Column:
-    """A point in ``0 .. total - 1`` from the hash of seed and draw number."""
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("draw"), draw.cast("string")))
+    # a row comes before the points at its very start
+    found = carry_last(marks.withColumn("_point", ~F.col("_row")), ["_at", "_point"], "_row", "_key", "_hit")
+    drawn = found.select("draw", F.col("_hit").alias("_key"))
+    if not rest:
+        return drawn
+    again = points.where(F.col("_at") >= total).select("draw")
+    return drawn.unionByName(_drawn(lengths.where(light).select("_key", "_weight"), again, seed, f"{line}/light"))
+
+
+def draw_point(draw: Column, line: int | str, total: int) -> Column:
+    """A point in ``0 .. total - 1`` from the hash of a line's name and a draw's number."""
+    hashed = F.md5(F.concat_ws(":", F.lit(str(line)), F.lit("draw"), draw.cast("string")))
     return F.pmod(F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint"), F.lit(total))
-
-
-def _cell(width: int) -> Column:
-    return F.round((F.col("_at") - F.col("_at") % width) / width).cast("bigint")

@@ -7,11 +7,14 @@ partition (one small row each) and rank inside the partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyframe.session import ensure_checkpoint_dir, shuffle_partitions
@@ -54,6 +57,51 @@ def running_total(
     )
 
 
+def carry_last(
+    df: DataFrame, order: Sequence[str], marker: str, value: str, out: str, parts: int | None = None
+) -> DataFrame:
+    """Rows without ``marker`` and, as ``out``, the ``value`` of the last row with it before them in ``order``.
+
+    Ranges are cut by a sample of all rows, so however rows and markers lie, tasks get about the same number. Rows are
+    shuffled and sorted once; the partitions pass on their last value, one row each. Rows before the first marked one
+    get null.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = parts or shuffle_partitions(spark)
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = ranged.sortWithinPartitions(*order).checkpoint()
+    last = ranged.where(marker).groupBy("_part").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    ends = spark.range(parts).select(F.col("id").cast("int").alias("_part")).join(last, "_part", "left")
+    before = ends.select("_part", F.last("_last", ignorenulls=True).over(earlier)[value].alias("_before"))
+    kept = [c for c in df.columns if c not in (marker, value)]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("_part", T.IntegerType()),
+                           T.StructField("_found", T.BooleanType()), T.StructField(out, df.schema[value].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        latest: pa.Array | None = None  # the value to go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marked = np.asarray(batch.column(marker).to_numpy(zero_copy_only=False), bool)
+            at = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+            values = batch.column(value)
+            found = at >= 0 if latest is None else np.ones(len(at), bool)
+            # the earlier value stands in front of those of the batch
+            known = pa.concat_arrays([values.slice(0, 1) if latest is None else latest, values])
+            filled = known.take(pa.array(at + 1))
+            rows = pa.array(np.flatnonzero(~marked))
+            columns = [batch.column(c).take(rows) for c in [*kept, "_part"]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found).take(rows), filled.take(rows)], [*kept, "_part", "_found", out])
+            if at[-1] >= 0:
+                latest = values.slice(int(at[-1]), 1)
+
+    filled = ranged.mapInArrow(run, schema).join(F.broadcast(before), "_part", "left")
+    return filled.select(*kept, F.when(F.col("_found"), F.col(out)).otherwise(F.col("_before")).alias(out))
+
+
 def slice_ordered(
     df: DataFrame,
     order: Sequence[Column],

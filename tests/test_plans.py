@@ -217,5 +217,51 @@ def test_small_weights_are_drawn(spark):
     drawn = weights.weighted_sample(df, "w", "id", 4000)
     light = drawn.where("id < 990").count()
     assert 1800 < light < 2200
-    with pytest.raises(ValueError, match="could not be drawn"):
-        weights.weighted_sample(spark.range(2).select("id", F.expr("if(id = 0, 1e-30, 1.0)").alias("w")), "w", "id", 5)
+    lightest = spark.range(2).select("id", F.expr("if(id = 0, 1e-30, 1.0)").alias("w"))
+    assert {r["id"] for r in weights.weighted_sample(lightest, "w", "id", 5).collect()} == {1}
+    with pytest.raises(ValueError, match="positive weight"):
+        weights.weighted_sample(lightest.withColumn("w", F.lit(0.0)), "w", "id", 5)
+
+
+def test_rows_too_light_for_the_line_are_drawn_among_themselves(spark, monkeypatch):
+    monkeypatch.setattr(weights, "LINE_BITS", 8)
+    df = spark.range(2001).select("id", F.expr("if(id = 0, 1000.0, if(id % 2 = 0, 0.2, 1.0))").alias("w"))
+    drawn = {r["id"]: r["count"] for r in weights.weighted_sample(df, "w", "id", 20_000).groupBy("id").count().collect()}
+    assert sum(drawn.values()) == 20_000 and 8700 < drawn[0] < 9500  # 1000 of 2200
+    even = sum(c for i, c in drawn.items() if i and i % 2 == 0)
+    assert 1620 < even < 2020 and len(drawn) > 1700  # 200 of 2200, all by the second line
+
+
+def test_one_heavy_row_leaves_tasks_even(spark, monkeypatch):
+    seen = {}
+    real = order.carry_last
+
+    def watched(df, by, marker, value, out, parts=None):
+        ranged = df.repartitionByRange(16, *by)
+        seen["sizes"] = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+        return real(df, by, marker, value, out, parts)
+
+    monkeypatch.setattr(weights, "carry_last", watched)
+    df = spark.range(20_000).select("id", F.expr("if(id = 77, 1e9, 1.0)").alias("w"))
+    drawn = weights.weighted_sample(df, "w", "id", 20_000)
+    assert drawn.where("id = 77").count() > 19_900 and drawn.count() == 20_000
+    assert len(seen["sizes"]) == 16 and max(seen["sizes"]) < 2 * sum(seen["sizes"]) / 16
+
+
+def test_keys_that_repeat_are_one_piece(spark):
+    df = spark.createDataFrame([(i % 2, 1.0 if i % 2 else 3.0) for i in range(1000)] + [(5, None), (6, -1.0)], "id int, w double")
+    counts = {r["id"]: r["count"] for r in weights.weighted_sample(df, "w", "id", 8000).groupBy("id").count().collect()}
+    assert set(counts) == {0, 1} and 5800 < counts[0] < 6200
+
+
+def test_carry_last(spark):
+    rows = [(i, i % 7 == 3, f"v{i}" if i % 14 == 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "at int, mark boolean, v string").repartition(5)
+    got = {r["at"]: r["last"] for r in order.carry_last(df, ["at"], "mark", "v", "last", 9).collect()}
+    want, last = {}, None
+    for i, mark, value in rows:
+        last = value if mark else last
+        if not mark:
+            want[i] = last
+    assert got == want
+    assert order.carry_last(df.limit(0), ["at"], "mark", "v", "last").count() == 0
