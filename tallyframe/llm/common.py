@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -66,6 +67,24 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim_worker(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called by a task: what other operators keep in this Python worker between their tasks is dropped.
+
+    ``forget`` drops what ``owner`` keeps itself, when another one's tasks come.
+    """
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if forget is not None:
+        _HELD[owner] = forget
+
+
 def list_slices(array: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets and flat values of a list column (no null lists)."""
     offsets = np.asarray(array.offsets)

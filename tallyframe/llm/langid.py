@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import with_field
+from tallyframe.llm.common import claim_worker, with_field
 
 
 BUCKET_BITS = 16
@@ -239,27 +239,31 @@ def best_path(scores: np.ndarray, rows: np.ndarray, lengths: np.ndarray, switch:
     return path
 
 
-def label_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+def label_spans(
+    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str | None = "text", switch: float = SWITCH
+) -> DataFrame:
     """Spans of one language and the main language of every whole text.
 
     Returns ``doc_id, lang_pred, score, spans``, one row per row of ``docs``. Words are what white
     space parts; a span is ``first`` and ``past`` word, ``lang`` and its number of
     letters. ``lang_pred`` is the language with most letters, ``score`` its share of them; ties go to
     the first name. A null text, one without letters and any text under a
-    model that has learned nothing is ``und`` with score 0 and no spans.
+    model that has learned nothing is ``und`` with score 0 and no spans. Without a ``text_col``, ``id_col`` is a whole
+    row and the text its field ``text``, sent once; spans are not returned then.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows
     spans = "array<struct<first:int,past:int,lang:string,letters:bigint>>"
-    schema = with_field(docs, id_col, f"lang_pred string, score double, spans {spans}")
+    schema = with_field(docs, id_col, "lang_pred string, score double" + (f", spans {spans}" if text_col else ""))
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("lang", pa.string()), ("letters", pa.int64())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("langid")
         known = WordScores(broadcast.value)
         names = broadcast.value.languages
         for batch in batches:
             held, n_words = [], 0
             start = 0
-            for i, text in enumerate(batch.column("text")):
+            for i, text in enumerate(batch.column("text") if text_col else batch.column("doc_id").field("text")):
                 words = words_of(text.as_py() or "") if names else []
                 held.append(words)
                 n_words += len(words)
@@ -280,6 +284,10 @@ def label_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
         found = every > 0
         changes = np.ones(len(rows), bool)
         changes[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
+        score = np.where(found, total[np.arange(len(texts)), most] / np.maximum(every, 1), 0.0)
+        pred = [names[m] if ok else UNKNOWN for m, ok in zip(most, found, strict=True)]
+        if not text_col:
+            return pa.RecordBatch.from_arrays([ids, pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
         begin = np.flatnonzero(changes)
         past = np.append(begin[1:], len(rows))
         sums = np.add.reduceat(letters, begin) if len(begin) else begin
@@ -297,13 +305,12 @@ def label_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
             fields=list(span_type.value_type),
         )
         offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
-        score = np.where(found, total[np.arange(len(texts)), most] / np.maximum(every, 1), 0.0)
-        pred = [names[m] if ok else UNKNOWN for m, ok in zip(most, found, strict=True)]
         return pa.RecordBatch.from_arrays(
             [ids, pa.array(pred), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["doc_id", "lang_pred", "score", "spans"]
         )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(label, schema)
+    sent = [F.col(id_col).alias("doc_id")] + ([F.col(text_col).alias("text")] if text_col else [])
+    return docs.select(*sent).mapInArrow(label, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -326,8 +333,7 @@ def keep_known_languages(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """
     model = learn(docs.where(~held_out()))
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("text").alias("_text"))
-    labels = label_spans(rows, model, "_row", "_text")
+    labels = label_spans(docs.select(F.struct(*columns).alias("_row")), model, "_row", None)
     kept = labels.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least))
     return kept.select(*[F.col("doc_id").getField(c).alias(c) for c in columns])
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import stored, utf8, with_field
+from tallyframe.llm.common import claim_worker, stored, utf8, with_field
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -129,6 +129,7 @@ def pack_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, cap
     schema = with_field(docs, id_col, PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("packing", _ENCODERS.clear)
         encode = encoder(tokenizer)
         next_bin = TaskContext.get().partitionId() << 33
         held: list[tuple[pa.Array, np.ndarray]] = []
