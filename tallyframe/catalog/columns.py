@@ -281,6 +281,21 @@ def p18(spark, folder):
     return contract.label_dim(docs, ["a", "b"], keys=["p_partkey"])
 
 
+@query(
+    "p18_label_types",
+    """SELECT p_partkey, CAST(i AS INT) AS idx,
+         CASE p_partkey % 3 WHEN 0 THEN CAST(1 - i AS VARCHAR) WHEN 1 THEN CASE i WHEN 0 THEN 'b' ELSE 'a' END ELSE CASE i WHEN 0 THEN 'a' ELSE 'b' END END AS label,
+         CASE p_partkey % 3 WHEN 0 THEN 'col_to_label_aligned_by_label_cols' WHEN 1 THEN 'label_to_idx_dict' ELSE 'fallback_use_label_cols' END AS rule
+       FROM part, (SELECT unnest([0, 1]) AS i)""",
+)
+def p18_types(spark, folder):
+    """The same map with labels as texts, as numbers, and as a mixture that is neither."""
+    kind = F.col("p_partkey") % 3
+    text = F.when(kind == 0, '{"a":"1","b":"0"}').when(kind == 1, '{"a":1,"b":0}').otherwise('{"a":1,"b":"0"}')
+    docs = v.table(spark, folder, "part").select("p_partkey", text.alias("document"))
+    return contract.label_dim(docs, ["a", "b"], keys=["p_partkey"])
+
+
 @query(
     "p19_argmax",
     f"WITH {v.V_FEATURES} SELECT id, CAST(list_position(x, list_max(x)) - 1 AS INT) AS place FROM v_features",

@@ -184,6 +184,19 @@ def s14(spark, folder):
     return hist.read_history(spark, path)
 
 
+@query(
+    "j14_stored_lookup",
+    f"""WITH {v.V_HISTORY} SELECT id, filename, label, score, created_at, '/api/predictions/' || id || '/image' AS image_url
+       FROM v_history WHERE id IN (SELECT CAST(min(event_id) AS VARCHAR) FROM events)""",
+)
+def j14_stored(spark, folder):
+    """One prediction of a stored history, from the only folder that can hold it."""
+    path = scratch(spark, "history")
+    hist.append_history(v.history(spark, folder), path)
+    first = v.table(spark, folder, "events").agg(F.min("event_id")).first()[0]
+    return hist.find_prediction(spark, path, str(first)).select("id", "filename", "label", "score", "created_at", "image_url")
+
+
 @query("s14_new_rows", f"WITH {v.V_HISTORY} SELECT * FROM v_history WHERE label <> 'click'")
 def s14_new(spark, folder):
     rows = v.history(spark, folder)

@@ -103,8 +103,8 @@ def label_dim(
     """``(*keys, idx, label, rule)`` from label maps of any known shape.
 
     In order: a wrapped list, a wrapped label-to-index map, index keys,
-    label-to-index, a bare list, column-to-label (letter case ignored if need
-    be), else the label columns themselves.
+    label-to-index, a bare list of texts, column-to-label (letter case ignored if need
+    be), else the label columns themselves. Indexes are JSON numbers; digits in quotes are labels.
     """
     doc = F.col(col)
     as_list, as_map = "array<string>", "map<string,string>"
@@ -124,6 +124,14 @@ def label_dim(
     def numbers(values: Column) -> Column:
         return (F.size(values) > 0) & F.forall(values, lambda v: v.rlike("^[0-9]+$"))
 
+    # a text of digits is a label, only a number is an index: types are told by the variant
+    variant = F.try_parse_json(doc)
+
+    def all_of(kind: str, path: str, shape: str = "map<string,variant>") -> Column:
+        values = F.try_variant_get(variant, path, shape)
+        values = F.map_values(values) if shape.startswith("map") else values
+        return F.coalesce((F.size(values) > 0) & F.forall(values, lambda v: F.schema_of_variant(v) == kind), F.lit(False))
+
     # Keys under which label maps are wrapped.
     for key in ("idx_to_label", "index_to_label", "id2label", "classes", "labels"):
         inner = F.get_json_object(doc, f"$.{key}")
@@ -131,18 +139,18 @@ def label_dim(
     for key in ("label_to_idx", "label2id", "label2idx"):
         inner = F.get_json_object(doc, f"$.{key}")
         entries = F.when(inner.startswith("{"), F.from_json(inner, as_map))
-        from_map(entries, numbers(F.map_values(entries)), "value", "key", f"wrapped_dict:{key}")
+        from_map(entries, all_of("BIGINT", f"$.{key}"), "value", "key", f"wrapped_dict:{key}")
     whole = F.when(F.trim(doc).startswith("{"), F.from_json(doc, as_map))
     from_map(whole, numbers(F.map_keys(whole)), "key", "value", "digit_key_dict")
-    from_map(whole, numbers(F.map_values(whole)), "value", "key", "label_to_idx_dict")
-    from_list(F.when(F.trim(doc).startswith("["), F.from_json(doc, as_list)), "list")
+    from_map(whole, all_of("BIGINT", "$"), "value", "key", "label_to_idx_dict")
+    from_list(F.when(all_of("STRING", "$", "array<variant>"), F.from_json(doc, as_list)), "list")
     lowered = F.transform_keys(whole, lambda k, _: F.lower(k))
     for entries, name, rule in (
         (whole, lambda c: c, "col_to_label_aligned_by_label_cols"),
         (lowered, str.lower, "col_to_label_lower_aligned_by_label_cols"),
     ):
         values = F.array(*[F.try_element_at(entries, F.lit(name(c))) for c in label_cols])
-        from_list(F.when(F.forall(values, lambda v: v.isNotNull()), values), rule)
+        from_list(F.when(all_of("STRING", "$") & F.forall(values, lambda v: v.isNotNull()), values), rule)
     from_list(F.array(*[F.lit(c) for c in label_cols]), "fallback_use_label_cols")
     chosen = documents.select(*keys, F.coalesce(*options).alias("o"))
     return chosen.select(*keys, F.inline("o.pairs"), F.col("o.rule").alias("rule"))

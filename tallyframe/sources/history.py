@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,19 +25,42 @@ HISTORY_SCHEMA = T.StructType(
 )
 COLUMNS = HISTORY_SCHEMA.fieldNames()
 MAX_PAGE = 200
+PREFIX = "_prefix"  # folder of a stored row: the first digits of its id's hash, after an "h"
+PREFIX_DIGITS = 2
 URL_PREFIX, URL_SUFFIX = "/api/predictions/", "/image"
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The stored history, or an empty frame of its schema."""
+def id_prefix(column: Column) -> Column:
+    return F.concat(F.lit("h"), F.substring(F.md5(column), 1, PREFIX_DIGITS))
+
+
+def prefix_of(prediction_id: str) -> str:
+    return "h" + hashlib.md5(prediction_id.encode()).hexdigest()[:PREFIX_DIGITS]
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored rows as they lie there, or None if there are none yet."""
     try:
-        return migrate_history(spark.read.parquet(path))
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return spark.createDataFrame([], HISTORY_SCHEMA)
+            return None
         raise
 
 
+def read_history(spark: SparkSession, path: str, prefixes: Sequence[str] | None = None) -> DataFrame:
+    """The stored history, or an empty frame of its schema.
+
+    With ``prefixes``, only their folders are read; a history stored without folders is read as a whole.
+    """
+    table = _table(spark, path)
+    if table is None:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    if prefixes is not None and PREFIX in table.columns:
+        table = table.where(F.col(PREFIX).isin(list(prefixes)))
+    return migrate_history(table)
+
+
 def migrate_history(df: DataFrame) -> DataFrame:
     """Any earlier layout in today's columns: ``prediction_id`` renamed, a missing path empty."""
     if "id" not in df.columns and "prediction_id" in df.columns:
@@ -46,7 +72,7 @@ def migrate_history(df: DataFrame) -> DataFrame:
 
 def migrate_table(spark: SparkSession, source: str, target: str) -> None:
     """Writes the migrated rows to a new path; the caller then switches to it."""
-    migrate_history(spark.read.parquet(source)).write.mode("errorifexists").parquet(target)
+    write_folders(migrate_history(spark.read.parquet(source)), target, "errorifexists")
 
 
 def new_rows(batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -65,10 +91,36 @@ def new_rows(batch: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def append_history(df: DataFrame, path: str) -> None:
-    """Adds the rows with new ids, sorted by id within files so that lookups skip row groups."""
+    """Adds the rows with new ids, sorted by id within files so that lookups skip row groups.
+
+    Rows lie in folders by the hash of their id. The prefixes of the batch (16 ** PREFIX_DIGITS at most) come first, so
+    ids are compared with those of the same folders only, and a small batch leaves most of the history unread.
+    A history that was stored without folders goes on without.
+    """
     spark = df.sparkSession
-    fresh = new_rows(migrate_history(df), read_history(spark, path))
-    fresh.sortWithinPartitions("id").write.mode("append").parquet(path)
+    batch = migrate_history(df)
+    table = _table(spark, path)
+    if table is not None and PREFIX not in table.columns:
+        fresh = new_rows(batch, migrate_history(table))
+        fresh.sortWithinPartitions("id").write.mode("append").parquet(path)
+        return
+    if table is None:
+        fresh = new_rows(batch, spark.createDataFrame([], HISTORY_SCHEMA))
+    else:
+        touched = [r[0] for r in batch.select(id_prefix(F.col("id"))).distinct().collect()]
+        fresh = new_rows(batch, read_history(spark, path, touched))
+    write_folders(fresh, path, "append")
+
+
+def write_folders(rows: DataFrame, path: str, mode: str) -> None:
+    """Ranges of (prefix, id), so that a task writes few folders and no folder is one task's work."""
+    placed = rows.withColumn(PREFIX, id_prefix(F.col("id")))
+    placed.repartitionByRange(PREFIX, "id").sortWithinPartitions(PREFIX, "id").write.mode(mode).partitionBy(PREFIX).parquet(path)
+
+
+def find_prediction(spark: SparkSession, path: str, prediction_id: str) -> DataFrame:
+    """Zero or one row of a stored history; one folder is read."""
+    return get_prediction(read_history(spark, path, [prefix_of(prediction_id)]), prediction_id)
 
 
 def rejected_rows(batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -95,7 +147,7 @@ def clear_history(spark: SparkSession, path: str, paths_to: str | None = None) -
     counts = clear_counts(history).first().asDict()
     if paths_to is not None:
         stored_paths(history).write.mode("overwrite").parquet(paths_to)
-    spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").parquet(path)
+    write_folders(spark.createDataFrame([], HISTORY_SCHEMA), path, "overwrite")
     return counts
 
 

@@ -335,3 +335,29 @@ def test_mask_metrics_of_empty_masks(spark):
     df = spark.createDataFrame([([0, 0], [0, 0]), ([1, 0], [0, 0]), ([1, 1], [1, 0])], "p array<int>, t array<int>")
     got = [(r["iou"], r["dice"]) for r in metrics.mask_metrics(df, "p", "t").collect()]
     assert got == [(1.0, 1.0), (0.0, 0.0), (0.5, pytest.approx(2 / 3))]
+
+
+def test_history_folders_are_pruned(spark, tmp_path, capsys):
+    path = str(tmp_path / "folders")
+    rows = spark.range(3000).select(
+        F.col("id").cast("string").alias("id"), F.lit("f").alias("filename"), F.lit("a").alias("label"), F.lit(0.5).alias("score"),
+        F.lit("2024-01-01").alias("created_at"), F.lit("").alias("image_relpath"),
+    )
+    history.append_history(rows.where("id < 2500"), path)
+    one = history.prefix_of("2600")
+    batch = rows.where(history.id_prefix(F.col("id")) == one)
+    stored = history.read_history(spark, path, [one])
+    history.new_rows(batch, stored).explain()
+    assert f"PartitionFilters: [isnotnull(_prefix#" in (shown := capsys.readouterr().out) and f"= {one})" in shown
+    history.append_history(batch.withColumn("label", F.lit("again")), path)
+    got = history.read_history(spark, path)
+    late = [str(i) for i in range(2500, 3000) if history.prefix_of(str(i)) == one]
+    assert got.count() == 2500 + len(late) and sorted(r["id"] for r in got.where("label = 'again'").collect()) == sorted(late)
+    assert history.find_prediction(spark, path, late[0]).count() == 1 and history.find_prediction(spark, path, "x").count() == 0
+    flat = str(tmp_path / "flat")
+    rows.where("id < 10").write.parquet(flat)
+    history.append_history(rows.where("id < 20"), flat)
+    assert history.read_history(spark, flat).count() == 20
+    history.clear_history(spark, path)
+    history.append_history(rows.limit(5), path)
+    assert history.read_history(spark, path).count() == 5
