@@ -281,14 +281,14 @@ def parts(spark, folder):
 def held_out(scored, scores, fitted, bound):
     """What SQL can state of an evaluation: rows, classes, the rows whose class has the highest score, and the proof."""
     top = F.col(scores)[F.col("y_pred")] == F.array_max(scores)
-    per_split = scored.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"),
+    counts = scored.groupBy("split", "target_index", "y_pred").agg(F.count(F.lit(1)).alias("n"), F.count_if(top).alias("tops"))
+    return counts.groupBy("split").agg(
+        F.sum("n").alias("rows"),
         F.count_distinct("target_index").alias("classes"),
-        F.count_if(top).alias("argmax_rows"),
+        F.sum("tops").alias("argmax_rows"),
+        F.sum(F.when(F.col("y_pred").between(0, v.N_CLASSES - 1), F.col("n"))).alias("confusion_rows"),
+        F.lit(fitted.gap <= bound).alias("proved"),
     )
-    counts = scored.groupBy("split", F.col("target_index").alias("y_true"), "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    matrix = counts.groupBy("split").agg(F.sum("n").alias("confusion_rows"))
-    return per_split.join(matrix, "split").withColumn("proved", F.lit(fitted.gap <= bound))
 
 
 HELD_OUT_SQL = f"""WITH {v.V_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT target_index) AS classes, count(*) AS argmax_rows,

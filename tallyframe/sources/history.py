@@ -26,7 +26,7 @@ HISTORY_SCHEMA = T.StructType(
 COLUMNS = HISTORY_SCHEMA.fieldNames()
 MAX_PAGE = 200
 PREFIX = "_prefix"  # folder of a stored row: the first digits of its id's hash, after an "h"
-PREFIX_DIGITS = 2
+PREFIX_DIGITS = 1  # 16 folders; set more before the first append of a history of billions of rows
 URL_PREFIX, URL_SUFFIX = "/api/predictions/", "/image"
 
 

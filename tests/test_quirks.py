@@ -337,7 +337,9 @@ def test_mask_metrics_of_empty_masks(spark):
     assert got == [(1.0, 1.0), (0.0, 0.0), (0.5, pytest.approx(2 / 3))]
 
 
-def test_history_folders_are_pruned(spark, tmp_path, capsys):
+@pytest.mark.parametrize("digits", [1, 2])
+def test_history_folders_are_pruned(spark, tmp_path, capsys, monkeypatch, digits):
+    monkeypatch.setattr(history, "PREFIX_DIGITS", digits)
     path = str(tmp_path / "folders")
     rows = spark.range(3000).select(
         F.col("id").cast("string").alias("id"), F.lit("f").alias("filename"), F.lit("a").alias("label"), F.lit(0.5).alias("score"),
