@@ -8,7 +8,7 @@ from tallyframe.catalog import views as v
 from tallyframe.catalog.registry import query
 from tallyframe.functions import scores, values
 from tallyframe.operators import contract, features, items, metrics, profile, resolve, runs, split, weights
-from tallyframe.plans.order import slice_ordered
+from tallyframe.plans.pages import page_by_keys
 from tallyframe.sources import history as hist
 
 
@@ -674,8 +674,8 @@ def l3(spark, folder):
 )
 def l3_deep(spark, folder):
     lines = v.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
-    return slice_ordered(lines, order, lines.count() * 2 // 3, 50, shallow=1000)
+    order = [("l_extendedprice", False), ("l_orderkey", True), ("l_linenumber", True), ("l_partkey", True)]
+    return page_by_keys(lines, order, lines.count() * 2 // 3, 50, shallow=1000)
 
 
 @query("l5_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

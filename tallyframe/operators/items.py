@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.values import CLASS_NAMES, pretty_label
 from tallyframe.operators.resolve import attach_masks, masks_by_alias
-from tallyframe.plans.order import slice_ordered
+from tallyframe.plans.pages import page_by_keys
 from tallyframe.sources.history import check_page
 
 
@@ -41,7 +41,7 @@ def page(df: DataFrame, limit: int, offset: int, key: str = "id", max_limit: int
     """A page in id order, with the total and whether more rows follow."""
     check_page(limit, offset, max_limit)
     total = total_rows(df).scalar()
-    rows = slice_ordered(df, [F.lower(key), F.col(key)], offset, limit)
+    rows = page_by_keys(df, [(F.lower(key), True), (key, True)], offset, limit)
     return rows.withColumn("total", total).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.plans.order import slice_ordered
+from tallyframe.plans.pages import page_by_keys
 from tallyframe.plans.skew import salted_join
 
 HISTORY_SCHEMA = T.StructType(
@@ -25,6 +25,7 @@ HISTORY_SCHEMA = T.StructType(
 )
 COLUMNS = HISTORY_SCHEMA.fieldNames()
 MAX_PAGE = 200
+NEWEST_FIRST = [("created_at", False), ("id", True)]
 PREFIX = "_prefix"  # folder of a stored row: the first digits of its id's hash, after an "h"
 PREFIX_DIGITS = 1  # 16 folders; set more before the first append of a history of billions of rows
 URL_PREFIX, URL_SUFFIX = "/api/predictions/", "/image"
@@ -170,11 +171,11 @@ def check_page(limit: int, offset: int, max_limit: int = MAX_PAGE) -> None:
 def history_page(history: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """Newest first; the id settles equal times."""
     check_page(limit, offset)
-    return slice_ordered(history, [F.col("created_at").desc(), F.col("id")], offset, limit)
+    return page_by_keys(history, NEWEST_FIRST, offset, limit)
 
 
 def latest(history: DataFrame, n: int = MAX_PAGE) -> DataFrame:
-    return slice_ordered(history, [F.col("created_at").desc(), F.col("id")], 0, n)
+    return page_by_keys(history, NEWEST_FIRST, 0, n)
 
 
 def get_prediction(history: DataFrame, prediction_id: str) -> DataFrame:
