@@ -136,12 +136,25 @@ def _side(names: Sequence[str], ups: Sequence[bool], bound: Bound, after: bool)
 def _between(names: Sequence[str], ups: Sequence[bool], low: Bound | None, high: Bound | None) -> Column:
     kept = F.lit(True)
     if low is not None:
-        kept = kept & ~_side(names, ups, low, after=False)
+        kept = kept & _reach(names[0], ups[0], low[0], after=True) & ~_side(names, ups, low, after=False)
     if high is not None:
-        kept = kept & ~_side(names, ups, high, after=True)
+        kept = kept & _reach(names[0], ups[0], high[0], after=False) & ~_side(names, ups, high, after=True)
     return kept
 
 
+def _reach(name: str, up: bool, value: Any, after: bool) -> Column:
+    """The first key at the bound or past it: follows from the whole test, in a form that scans can skip files by.
+
+    Not for floating point numbers, as the statistics of files may leave out NaN.
+    """
+    key = F.col(name)
+    if isinstance(value, float):
+        return F.lit(True)
+    if up == after:
+        return F.lit(True) if value is None else key >= F.lit(value)
+    return key.isNull() if value is None else key.isNull() | (key <= F.lit(value))
+
+
 def _splitters(
     within: DataFrame, names: Sequence[str], ups: Sequence[bool], offset: int, limit: int, rows: int, sample: int
 ) -> tuple[Bound | None, Bound | None]:

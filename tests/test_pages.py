@@ -1,8 +1,6 @@
 """Deep pages by order keys against a sort of everything."""
 
 import datetime
-import glob
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,12 +68,9 @@ def test_equal_rows_and_ends(spark):
 def test_only_keys_are_read_until_the_last_pass(spark, tmp_path):
     rows(spark).withColumn("wide", F.repeat(F.lit("w"), 1000)).write.parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
-    before = len(glob.glob(f"{spark.sparkContext.getCheckpointDir() or tmp_path}/**", recursive=True))
     page = page_by_keys(stored, [("price", False), ("id", True)], 4000, 10, shallow=30, sample=900)
-    plan = page._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [Or" in plan.replace("IsNotNull", "") or "price" in plan.split("PushedFilters")[1]
-    assert len(glob.glob(f"{spark.sparkContext.getCheckpointDir() or tmp_path}/**", recursive=True)) == before
-    assert os.path.isdir(tmp_path / "t")
+    pushed = page._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(price" in pushed and "LessThanOrEqual(price" in pushed
     assert page.count() == 10
 
 
