@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.functions.names import ALL_IMAGE_EXTS, looks_like_filename, norm_stem
 from tallyframe.functions.values import as_double, coerce_int0
@@ -21,6 +23,15 @@ KEY_MATCH_GATE = 0.20
 TOP_MISSING = 25
 TOP_CANDIDATES = 10
 TOP_VALUES = 15
+TOP_DUPLICATES = 10
+# Keys of the audit summary, in their order.
+PLACES = ("created_at_utc", "project_root", "groundtruth_csv", "images_dir", "masks_dir")
+SUMMARY_KEYS = (
+    *PLACES, "csv_rows", "csv_cols", "image_files_on_disk", "mask_files_on_disk", "image_col_inferred",
+    "mask_col_inferred", "mode_inferred", "target_encoding", "label_cols_count", "meta_cols_count",
+    "audit_total_rows", "audit_images_missing", "audit_masks_missing", "disk_only_image_stems",
+    "csv_only_image_stems", "csv_duplicate_stems", "disk_duplicate_image_stems", "disk_duplicate_mask_stems",
+)
 
 
 def column_facts(df: DataFrame, cols: Sequence[str] | None = None, exts: Iterable[str] = ALL_IMAGE_EXTS) -> DataFrame:
@@ -228,6 +239,62 @@ def duplicates(df: DataFrame, key: str | Column) -> DataFrame:
     )
 
 
+def duplicate_sample(df: DataFrame, keys: dict[str, Column], top: int = TOP_DUPLICATES) -> DataFrame:
+    """The smallest repeated values of several keys, with their rows: ``key, value, rows``.
+
+    Values are counted map-side, and each task passes on its ``top`` smallest repeated ones of a key only: the sample is
+    merged, not gathered. Null is no value; an empty text is one.
+    """
+    named = [F.struct(F.lit(k).alias("key"), c.cast("string").alias("value")) for k, c in keys.items()]
+    long = df.select(F.explode_outer(F.array(*named)).alias("r")).select("r.*").where(F.col("value").isNotNull())
+    counted = long.groupBy("key", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    return _smallest(counted, top)
+
+
+def _smallest(counted: DataFrame, top: int) -> DataFrame:
+    """The ``top`` smallest values per key. A rank with a limit is cut before the shuffle, too."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("value"))
+    return counted.withColumn("_place", place).where(F.col("_place") <= top).drop("_place")
+
+
+def stem_facts(audited: DataFrame, images: DataFrame, masks: DataFrame | None = None, exts: Iterable[str] = ALL_IMAGE_EXTS) -> DataFrame:
+    """One row per stem and side: ``stem, n_rows, n_no_image, n_no_mask, n_images, n_masks``; sides that lack it say 0.
+
+    Each table is counted by stem before they meet, so a stem that holds much of the data is one row a task.
+    """
+    sides = [
+        audited.groupBy(F.col("image_stem").alias("stem")).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(~F.col("image_exists")).alias("n_no_image"),
+            F.count_if(~F.col("mask_exists")).alias("n_no_mask"),
+        ),
+        key_counts(images.select(norm_stem("path", exts).alias("stem")), ["stem"], "n_images"),
+    ]
+    if masks is not None:
+        sides.append(key_counts(masks.select(norm_stem("path", exts).alias("stem")), ["stem"], "n_masks"))
+    counts = ("n_rows", "n_no_image", "n_no_mask", "n_images", "n_masks")
+    # the sides are counted, so their rows can simply be put under each other and added up
+    filled = [d.select("stem", *[(F.col(c) if c in d.columns else F.lit(0).cast("bigint")).alias(c) for c in counts]) for d in sides]
+    return reduce(DataFrame.unionByName, filled).groupBy("stem").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def one_sided(stems: DataFrame, top: int = TOP_DUPLICATES) -> DataFrame:
+    """Samples of the report, ``key, value, rows``: stems of one side only, and repeated ones of each side."""
+    named = F.col("stem") != ""
+    tests = {
+        "csv_only": (named & (F.col("n_rows") > 0) & (F.col("n_images") == 0), "n_rows"),
+        "disk_only": (named & (F.col("n_rows") == 0) & (F.col("n_images") > 0), "n_images"),
+        "csv_duplicate": (F.col("n_rows") > 1, "n_rows"),
+        "disk_duplicate_image": (F.col("n_images") > 1, "n_images"),
+        "disk_duplicate_mask": (F.col("n_masks") > 1, "n_masks"),
+    }
+    entries = [
+        F.when(test, F.struct(F.lit(k).alias("key"), F.col("stem").alias("value"), F.col(n).alias("rows")))
+        for k, (test, n) in tests.items()
+    ]
+    return _smallest(stems.select(F.inline(F.array_compact(F.array(*entries)))), top)
+
+
 def audit_totals(audited: DataFrame) -> DataFrame:
     return audited.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -237,6 +304,60 @@ def audit_totals(audited: DataFrame) -> DataFrame:
     )
 
 
+def side_totals(stems: DataFrame, with_masks: bool = True) -> DataFrame:
+    """One row of totals over :func:`stem_facts`. Without a mask table no mask counts as missing."""
+    named = F.col("stem") != ""
+
+    def total(count: str, where: Column | None = None) -> Column:
+        return F.coalesce(F.sum(count if where is None else F.when(where, F.col(count))), F.lit(0))
+
+    return stems.agg(
+        total("n_rows").alias("audit_total_rows"),
+        total("n_no_image").alias("audit_images_missing"),
+        (total("n_no_mask") if with_masks else F.lit(0).cast("bigint")).alias("audit_masks_missing"),
+        F.count_if(named & (F.col("n_rows") == 0) & (F.col("n_images") > 0)).alias("disk_only_image_stems"),
+        F.count_if(named & (F.col("n_rows") > 0) & (F.col("n_images") == 0)).alias("csv_only_image_stems"),
+        F.count_if(F.col("n_rows") > 1).alias("csv_duplicate_stems"),
+        total("n_rows", F.col("n_rows") > 1).alias("csv_duplicate_rows"),
+        F.count_if(F.col("n_images") > 1).alias("disk_duplicate_image_stems"),
+        F.count_if(F.col("n_masks") > 1).alias("disk_duplicate_mask_stems"),
+        total("n_images").alias("image_files_on_disk"),
+        total("n_masks").alias("mask_files_on_disk"),
+    )
+
+
+def full_summary(
+    audited: DataFrame,
+    images: DataFrame,
+    masks: DataFrame | None,
+    schema: DataFrame,
+    places: dict[str, str],
+    columns: Sequence[str],
+    exts: Iterable[str] = ALL_IMAGE_EXTS,
+) -> DataFrame:
+    """The summary's 23 keys as ``(key, value)`` in their order.
+
+    ``schema`` is the row of :func:`tallyframe.operators.schema.infer_schema`, ``places`` the run's time and folders,
+    ``columns`` the manifest's columns. A place that is not given, and a role no column has, is ``None``.
+    """
+    totals = side_totals(stem_facts(audited, images, masks, exts), masks is not None)
+    # both hold one row
+    both = totals.withColumn("_schema", schema.select(F.struct(*schema.columns)).scalar())
+    role = F.col("_schema")
+    known = {
+        **{k: F.lit(places.get(k)) for k in PLACES},
+        "csv_rows": F.col("audit_total_rows"),
+        "csv_cols": F.lit(len(columns)),
+        "image_col_inferred": role["image_col"],
+        "mask_col_inferred": role["mask_col"],
+        "mode_inferred": role["mode"],
+        "target_encoding": role["target_encoding"],
+        "label_cols_count": F.size(role["label_cols"]),
+        "meta_cols_count": F.size(role["meta_cols"]),
+    }
+    return key_value(both.select(*[known.get(k, F.col(k)).alias(k) for k in SUMMARY_KEYS]))
+
+
 def key_value(row: DataFrame) -> DataFrame:
     """A one-row frame as ``(key, value)`` text."""
     text = row.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")).alias(c) for c in row.columns])
