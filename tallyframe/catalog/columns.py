@@ -261,6 +261,50 @@ def p17(spark, folder):
     return contracts(spark, folder).select("c_custkey", *[fields[c].alias(c) for c in ("image_col", "label_cols", "mode")])
 
 
+# by c_custkey % 6; one text in six is no JSON, @ stands for the customer's name
+ROLE_DOCUMENTS = (
+    '{"labels":["a","b"],"task_mode":"single_label","filename_col":"@"}',
+    '{"target":{"label_columns":["a","b",3]},"schema":{"image":"@"},"mask":{"policy":"require"}}',
+    '{"data":{"path_col":"@","target_cols":["x"]},"mode":"multi_label","encoding":"one_hot_multiclass","mask_policy":"@","mask":{"policy":"x"}}',
+    '{"image_col":7,"target_config":{"image_col":"@"},"label_cols":"a","columns":{"labels":["q","r"]},"target":["mode"]}',
+    '{"mode":null,"contract":{"encoding":"@","mode":"single_label"},"labels":["0","1"],"image":"","data":{"image_col":"@"}}',
+    '{"labels":',
+)
+
+
+def role_documents(spark, folder):
+    texts = F.array(*[F.lit(t) for t in ROLE_DOCUMENTS])
+    text = F.replace(F.get(texts, (F.col("c_custkey") % 6).cast("int")), F.lit("@"), F.col("c_name"))
+    return v.table(spark, folder, "customer").select("c_custkey", text.alias("document"))
+
+
+def _first_json(paths: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN json_type(j, '$.{p}') <> 'NULL' THEN json_extract(j, '$.{p}') END" for p in paths) + ")"
+
+
+def _roles_sql() -> str:
+    cases = " ".join(f"WHEN {i} THEN replace('{t}', '@', c_name)" for i, t in enumerate(ROLE_DOCUMENTS))
+    fields = {f: contract.places_of(f) for f in contract.SYNONYMS} | {"mask_policy": list(contract.MASK_POLICY)}
+    found = ", ".join(f"{_first_json(paths)} AS v_{f}" for f, paths in fields.items())
+    texts = ", ".join(f"CASE WHEN json_type(v_{f}) = 'VARCHAR' THEN v_{f}->>'$' END AS {f}" for f in fields if f != "label_cols")
+    return f"""WITH d AS (SELECT c_custkey, CASE c_custkey % 6 {cases} END AS t FROM customer),
+      p AS (SELECT c_custkey, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM d), f AS (SELECT c_custkey, {found} FROM p),
+      r AS (SELECT c_custkey, v_mode, CASE WHEN json_type(v_label_cols) = 'ARRAY' THEN CAST(v_label_cols AS VARCHAR[]) END AS labs, {texts} FROM f)
+      SELECT c_custkey, image_col, array_to_string(labs, ',') AS label_cols, CASE WHEN v_mode IS NULL THEN 'single_label' ELSE mode END AS mode,
+        target_encoding, mask_policy,
+        concat_ws('|', CASE WHEN coalesce(len(labs), 0) < 2 THEN 'LABEL_COLS_INVALID' END,
+          CASE WHEN coalesce(image_col, '') = '' THEN 'IMAGE_COL_INVALID' END,
+          CASE WHEN v_mode IS NOT NULL AND coalesce(mode, '') <> 'single_label' THEN 'MODE_UNSUPPORTED' END) AS errors,
+        concat_ws('|', CASE WHEN v_mode IS NULL THEN 'MODE_ASSUMED' END, CASE WHEN target_encoding IS NULL THEN 'ENCODING_MISSING' END,
+          CASE WHEN target_encoding <> 'one_hot_multiclass' THEN 'ENCODING_UNEXPECTED' END) AS warnings FROM r"""
+
+
+@query("p17_contract_roles", _roles_sql())
+def p17_roles(spark, folder):
+    roles = contract.contract_roles(role_documents(spark, folder), keys=["c_custkey"])
+    return roles.withColumn("label_cols", F.array_join("label_cols", ","))
+
+
 @query(
     "p18_label_map",
     """SELECT p_partkey, CAST(i AS INT) AS idx, CASE i WHEN 0 THEN p_brand ELSE p_type END AS label,

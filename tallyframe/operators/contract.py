@@ -23,6 +23,15 @@ RECOVERY_SAMPLE = 400
 RECOVERY_GATE = 0.80
 RECOVERY_TOP = 5
 RANGE_SLACK = 1e-3
+# Objects that may hold a contract's values, and the names a value may have, both in order.
+PARENTS = ("target", "target_definition", "target_config", "columns", "schema", "contract", "data")
+SYNONYMS = {
+    "mode": ("mode", "task_mode"),
+    "target_encoding": ("target_encoding", "encoding", "label_encoding"),
+    "label_cols": ("label_cols", "labels", "label_columns", "target_cols"),
+    "image_col": ("image_col", "image_column", "image", "filename_col", "path_col"),
+}
+MASK_POLICY = ("mask_policy", "mask.policy")
 
 
 def label_sum(cols: Sequence[str]) -> Column:
@@ -224,6 +233,59 @@ def contract_fields(document: str | Column = "document") -> dict[str, Column]:
     }
 
 
+def places_of(field: str) -> list[str]:
+    """JSON paths of a field in the order they are tried: its names at the top, then in each parent."""
+    names = SYNONYMS[field]
+    return [*names, *[f"{parent}.{name}" for parent in PARENTS for name in names]]
+
+
+def first_present(parsed: str | Column, paths: Sequence[str]) -> Column:
+    """The first value among the paths that is there and not a JSON null, as a variant; empty values count."""
+    found = [F.try_variant_get(parsed, f"$.{path}", "variant") for path in paths]
+    return F.coalesce(*[F.when(~F.is_variant_null(value), value) for value in found])
+
+
+def contract_roles(documents: DataFrame, col: str = "document", keys: Sequence[str] = ()) -> DataFrame:
+    """``(*keys, image_col, label_cols, mode, target_encoding, mask_policy, errors, warnings)`` per contract document.
+
+    A field's names are tried at the top of the document and then in its parents; the first value that is no null is
+    taken whatever its type, and the type is then checked: ``label_cols`` has to be a list of two or more, ``image_col``
+    a text that is not empty, ``mode`` either absent (``single_label`` is assumed, a warning) or ``single_label``.
+    Values of a wrong type are null in their column and named in ``errors``. A document that is no JSON has no values.
+    """
+    parsed = documents.select(*keys, F.try_parse_json(F.col(col)).alias("_parsed"))
+    fields = {field: places_of(field) for field in SYNONYMS} | {"mask_policy": list(MASK_POLICY)}
+    found = parsed.select(*keys, *[first_present("_parsed", paths).alias(f"_{f}") for f, paths in fields.items()])
+
+    def text(field: str) -> Column:
+        value = F.col(f"_{field}")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+    labels = F.when(
+        F.schema_of_variant("_label_cols").startswith("ARRAY"), F.try_variant_get("_label_cols", "$", "array<string>")
+    )
+    typed = found.select(
+        *keys, labels.alias("label_cols"), *[text(f).alias(f) for f in fields if f != "label_cols"],
+        F.col("_mode").isNotNull().alias("_has_mode"),
+    )
+    no = F.lit(False)
+    errors = issue_codes(
+        (F.coalesce(F.size("label_cols"), F.lit(0)) < 2, "LABEL_COLS_INVALID"),
+        (F.coalesce("image_col", F.lit("")) == "", "IMAGE_COL_INVALID"),
+        (F.col("_has_mode") & ~F.coalesce(F.col("mode") == "single_label", no), "MODE_UNSUPPORTED"),
+    )
+    warnings = issue_codes(
+        (~F.col("_has_mode"), "MODE_ASSUMED"),
+        (F.col("target_encoding").isNull(), "ENCODING_MISSING"),
+        (F.col("target_encoding") != "one_hot_multiclass", "ENCODING_UNEXPECTED"),
+    )
+    mode = F.when(F.col("_has_mode"), F.col("mode")).otherwise("single_label")
+    return typed.select(
+        *keys, "image_col", "label_cols", mode.alias("mode"), "target_encoding", "mask_policy",
+        errors.alias("errors"), warnings.alias("warnings"),
+    )
+
+
 def effective_contract(
     contracts: DataFrame,
     image_col: str | Column,
