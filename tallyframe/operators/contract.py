@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.values import is_close, issue_codes, pick_path
-from tallyframe.operators.resolve import attach_best, file_keys, image_options
+from tallyframe.operators.resolve import attach_best, image_options, lookup_keys
 from tallyframe.plans.order import hash_order, slice_ordered
 
 # Allowed questionnaire answers and limits, sample size and gate of key recovery.
@@ -193,7 +193,7 @@ def recover_key_column(
         asked,
         ["value"],
         lambda d: image_options(d, "value", "project", images_dir, root, exts),
-        file_keys(files, ("path",)),
+        lookup_keys(files, "project", exts),
         "_path",
         ["_row", "column"],
     )

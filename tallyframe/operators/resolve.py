@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.names import (
     ALL_IMAGE_EXTS,
+    CANDIDATE_SUFFIXES,
     PROJECT_IMAGE_EXTS,
     base_name,
     drop_suffix,
     file_suffix,
     mask_aliases,
-    mask_candidates,
     norm_stem,
     relative_to,
     slashes,
@@ -24,19 +25,43 @@ from tallyframe.functions.values import issue_codes, safe_str
 from tallyframe.plans import skew
 from tallyframe.plans.skew import key_counts, salted_join
 
-def file_keys(files: DataFrame, kinds: Iterable[str] = ("path", "stem")) -> DataFrame:
-    """``(key, path)``: the smallest path under each lookup key.
+def file_keys(files: DataFrame, kinds: Iterable[str] = ("path", "stem"), exts: Sequence[str] = ALL_IMAGE_EXTS) -> DataFrame:
+    """``(key, found)``: the smallest rank and path under each lookup key.
 
-    ``path`` keys are whole paths, ``stem`` keys lower-case stems, ``prefix``
-    keys a folder plus the name up to each of its dots.
+    Files say what they can be found by, so that a row has to ask little: ``path`` keys are whole paths, ``stem`` keys
+    lower-case stems, ``base`` keys paths without one of ``exts`` (ranked by these), ``mask`` keys stems as they are and
+    without each mask suffix they end with (ranked by these), ``prefix`` keys a folder plus the name up to each dot.
     """
     made = {
-        "path": F.array(F.concat(F.lit("path:"), "path")),
-        "stem": F.array(F.concat(F.lit("stem:"), norm_stem("path"))),
-        "prefix": _dot_prefixes(),
+        "path": F.array(_entry(0, F.concat(F.lit("path:"), "path"))),
+        "stem": F.array(_entry(0, F.concat(F.lit("stem:"), norm_stem("path")))),
+        "base": _bases(exts),
+        "mask": _mask_stems(),
+        "prefix": F.transform(_dot_prefixes(), lambda k: _entry(0, k)),
     }
-    keyed = files.select("path", F.explode_outer(F.concat(*[made[k] for k in kinds])).alias("key"))
-    return keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("path").alias("path"))
+    entries = F.filter(F.concat(*[made[k] for k in kinds]), lambda e: e["key"].isNotNull())
+    keyed = files.select("path", F.inline(entries))
+    return keyed.groupBy("key").agg(F.min(F.struct("rank", "path")).alias("found"))
+
+
+def _entry(rank: int | Column, key: Column) -> Column:
+    return F.struct((rank if isinstance(rank, Column) else F.lit(rank)).alias("rank"), key.alias("key"))
+
+
+def _without(text: Column, ending: Column) -> Column:
+    """The text without its ending; null where it ends otherwise or nothing is left."""
+    rest = F.substring(text, F.lit(1), F.length(text) - F.length(ending))
+    return F.when(F.endswith(text, ending), F.nullif(rest, F.lit("")))
+
+
+def _bases(exts: Sequence[str]) -> Column:
+    endings = F.array(*[F.lit("." + e) for e in exts])
+    return F.transform(endings, lambda e, i: _entry(i, F.concat(F.lit("base:"), _without(F.col("path"), e))))
+
+
+def _mask_stems() -> Column:
+    suffixes = F.array(*[F.lit(x) for x in CANDIDATE_SUFFIXES])
+    return F.transform(suffixes, lambda x, i: _entry(i, F.concat(F.lit("mask:"), _without(norm_stem("path"), x))))
 
 
 def _dot_prefixes() -> Column:
@@ -58,21 +83,39 @@ def attach_best(
     spread_by: Sequence[str],
     rows: int | None = None,
 ) -> DataFrame:
-    """Adds the path of the first candidate that exists.
+    """Adds the path of the first candidate that exists; ``with_options`` adds the candidates as ``options``."""
+    return attach_each(df, by, with_options, {out: ("options", keys)}, spread_by, rows)
+
 
-    ``with_options`` adds candidates (``options``: priority and key) to the
-    distinct values. They meet the files in one join; the result, one row per
+def attach_each(
+    df: DataFrame,
+    by: Sequence[str],
+    with_options: Callable[[DataFrame], DataFrame],
+    sides: dict[str, tuple[str, DataFrame]],
+    spread_by: Sequence[str],
+    rows: int | None = None,
+) -> DataFrame:
+    """Adds, per output column, the path of the first candidate that exists.
+
+    ``with_options`` adds candidates (arrays of priority and key) to the
+    distinct values; ``sides`` names their column and the file keys of each output. All of them meet the
+    files in one join; the result, one row per
     value, goes back to the rows by a join that spreads hot values.
     """
     rows = df.count() if rows is None else rows
     asked = with_options(df.select(*by).distinct())
-    # the outer form keeps the optimizer from testing the size of `options` at the scan, which
-    # would build it once more for every row
-    options = asked.select(*by, F.inline_outer("options")).where(F.col("key").isNotNull())
+    marked = [_marked(options, i) for i, (options, _) in enumerate(sides.values())]
+    # the outer form keeps the optimizer from testing the size of the options at the scan, which
+    # would build them once more for every row
+    options = asked.select(*by, F.inline_outer(F.concat(*marked))).where(F.col("key").isNotNull())
+    keyed = [keys.select(F.lit(i).alias("side"), "key", "found") for i, (_, keys) in enumerate(sides.values())]
     # distinct values are no more than the rows, so few rows mean no hot key here either
-    found = salted_join(options, keys, ["key"], "inner", by, rows=None if rows >= skew.HOT_MIN_ROWS else rows)
-    best = found.groupBy(*by).agg(F.min(F.struct("prio", "path")).alias("_best"))
-    best = best.select(*by, F.col("_best.path").alias(out))
+    found = salted_join(
+        options, reduce(DataFrame.unionByName, keyed), ["side", "key"], "inner", by, rows=None if rows >= skew.HOT_MIN_ROWS else rows
+    )
+    place = F.struct((F.col("prio") + F.col("found.rank")).alias("prio"), F.col("found.path").alias("path"))
+    best = found.groupBy(*by).agg(*[F.min(F.when(F.col("side") == i, place)).alias(f"_best{i}") for i in range(len(sides))])
+    best = best.select(*by, *[F.col(f"_best{i}.path").alias(out) for i, out in enumerate(sides)])
     return salted_join(df, best, by, "left", spread_by, rows=rows)
 
 
@@ -81,6 +124,10 @@ def _option(prio: int | Column, key: Column) -> Column:
     return F.struct(prio.alias("prio"), key.alias("key"))
 
 
+def _marked(options: str, side: int) -> Column:
+    return F.transform(options, lambda o: F.struct(F.lit(side).alias("side"), o["prio"].alias("prio"), o["key"].alias("key")))
+
+
 def _joined(folder: str, name: Column) -> Column:
     prefix = folder.rstrip("/") + "/" if folder else ""
     return F.concat(F.lit("path:" + prefix), name)
@@ -126,23 +173,37 @@ def image_options(
             _joined(images_dir, name),
         ]
         last = []
+        below = F.lit(images_dir.rstrip("/") + "/" if images_dir else "")
         if strategy == "glob":
-            tries.append(F.when(~F.col("_absolute"), _joined(images_dir, path)))
+            tries.append(F.when(~F.col("_absolute") & (path != name), _joined(images_dir, path)))
             last = [_option(100, F.concat(F.lit("prefix:" + images_dir.rstrip("/") + "/"), "_stem"))]
-        by_ext = exts or (PROJECT_IMAGE_EXTS if strategy == "project" else ALL_IMAGE_EXTS)
-        tries += [_joined(images_dir, F.concat("_stem", F.lit("." + e))) for e in by_ext]
+        # files give their path without the extension, ranked by it
+        tries.append(F.concat(F.lit("base:"), below, "_stem"))
         options = F.array(*[_option(i, t) for i, t in enumerate(tries)], *last)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return parts.withColumn(out, options).drop("_path", "_name", "_stem", "_known", "_absolute")
 
 
+def lookup_keys(files: DataFrame, strategy: str, exts: Sequence[str] | None = None) -> DataFrame:
+    """The file keys that a strategy of :func:`image_options` asks for."""
+    kinds = {"stem": ("path", "stem"), "project": ("path", "base"), "glob": ("path", "base", "prefix")}[strategy]
+    return file_keys(files, kinds, exts or (PROJECT_IMAGE_EXTS if strategy == "project" else ALL_IMAGE_EXTS))
+
+
 def mask_options(asked: DataFrame, stem: str, start: int = 0, out: str = "options") -> DataFrame:
-    """Adds the lookup keys of a mask for an image stem."""
-    found = F.transform(
-        mask_candidates(stem), lambda o: _option(o["prio"] + start, F.concat(F.lit("stem:"), o["key"]))
+    """Adds the lookup keys of a mask for an image stem.
+
+    One key for the stem with every suffix, as files give their stems without it, and one for each suffix that the
+    stem itself ends with.
+    """
+    s = F.nullif(F.lower(F.trim(F.col(stem))), F.lit(""))
+    suffixes = F.array(*[F.lit(x) for x in CANDIDATE_SUFFIXES])
+    cut = F.transform(
+        suffixes, lambda x, i: _option(i + start + 100, F.concat(F.lit("stem:"), F.when(x != "", _without(s, x))))
     )
-    return asked.withColumn(out, found)
+    own = F.array(_option(start, F.concat(F.lit("mask:"), s)))
+    return asked.withColumn(out, F.filter(F.concat(own, cut), lambda o: o["key"].isNotNull()))
 
 
 def resolve_images(
@@ -156,13 +217,12 @@ def resolve_images(
     exts: Sequence[str] | None = None,
     out: str = "resolved_path",
 ) -> DataFrame:
-    kinds = {"stem": ("path", "stem"), "project": ("path",), "glob": ("path", "prefix")}[strategy]
     asked = manifest.withColumn(value, safe_str(value))
 
     def options(values: DataFrame) -> DataFrame:
         return image_options(values, value, strategy, images_dir, root, exts)
 
-    return attach_best(asked, [value], options, file_keys(files, kinds), out, spread_by)
+    return attach_best(asked, [value], options, lookup_keys(files, strategy, exts), out, spread_by)
 
 
 def resolve_masks(
@@ -170,7 +230,7 @@ def resolve_masks(
 ) -> DataFrame:
     """Mask per stem: the stem itself, with a suffix added, with one removed."""
     asked = stems.withColumn(stem, safe_str(stem))
-    return attach_best(asked, [stem], lambda d: mask_options(d, stem), file_keys(masks, ("stem",)), out, spread_by)
+    return attach_best(asked, [stem], lambda d: mask_options(d, stem), file_keys(masks, ("stem", "mask")), out, spread_by)
 
 
 def audit(
@@ -196,41 +256,30 @@ def audit(
         F.lit(mask_col or "").alias("mask_col_used"),
         (safe_str(mask_col) if mask_col else F.lit("")).alias("csv_mask_value"),
     )
-    rows = attach_best(
-        rows,
-        ["csv_image_value"],
-        lambda d: image_options(d, "csv_image_value", "stem", images_dir, root, exts),
-        file_keys(images),
-        "_image",
-        ["row_idx"],
-        n_rows,
-    )
+    sides = {"_image": ("_by_value", file_keys(images))}
     rules = [
         (F.col("csv_image_value") == "", "CSV_IMAGE_VALUE_EMPTY"),
         (F.col("_image").isNull(), "IMAGE_NOT_FOUND_ON_DISK"),
     ]
     if masks is not None:
-        named = file_suffix("csv_mask_value").isin(*exts)
-
-        def options(values: DataFrame) -> DataFrame:
-            both = mask_options(values, "image_stem", start=10, out="_by_stem")
-            if mask_col is None:
-                return both.withColumnRenamed("_by_stem", "options")
-            both = image_options(both, "csv_mask_value", "stem", masks_dir, root, exts, out="_named")
-            chosen = F.when(named, F.concat("_named", "_by_stem")).otherwise(F.col("_by_stem"))
-            return both.withColumn("options", chosen)
-
-        rows = attach_best(
-            rows,
-            ["csv_mask_value", "image_stem"],
-            options,
-            file_keys(masks),
-            "_mask",
-            ["row_idx"],
-            n_rows,
-        )
+        sides["_mask"] = ("_by_mask", file_keys(masks, ("path", "stem", "mask")))
         rules.append((F.col("_mask").isNull(), "MASK_NOT_FOUND_ON_DISK"))
-    else:
+    named = file_suffix("csv_mask_value").isin(*exts)
+
+    def options(values: DataFrame) -> DataFrame:
+        both = image_options(values, "csv_image_value", "stem", images_dir, root, exts, out="_by_value")
+        if masks is None:
+            return both
+        if mask_col is None:
+            return mask_options(both, "image_stem", start=10, out="_by_mask")
+        both = mask_options(both, "image_stem", start=10, out="_by_stem")
+        both = image_options(both, "csv_mask_value", "stem", masks_dir, root, exts, out="_named")
+        return both.withColumn("_by_mask", F.when(named, F.concat("_named", "_by_stem")).otherwise(F.col("_by_stem")))
+
+    # images and masks of a row's values are looked up together; the stem follows from the image value
+    by = ["csv_image_value", "image_stem", *(["csv_mask_value"] if mask_col else [])]
+    rows = attach_each(rows, by, options, sides, ["row_idx"], n_rows)
+    if masks is None:
         rows = rows.withColumn("_mask", F.lit(None).cast("string"))
     return rows.select(
         "row_idx",
