@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from tallyframe.functions.names import ALL_IMAGE_EXTS, looks_like_filename, norm_stem
 from tallyframe.functions.values import as_double, coerce_int0
 from tallyframe.plans.order import exact_quantiles, hash_order, slice_ordered
-from tallyframe.plans.skew import key_counts, salted_join
+from tallyframe.plans.reduce import bits_for, keep_possible, key_bits
+from tallyframe.plans.skew import key_counts
 
 # Thresholds of the inference rules and report lengths.
 ONE_HOT_SHARE = 0.90
@@ -111,29 +112,38 @@ def infer_key_column(
 ) -> DataFrame:
     """Columns by share of values whose stem is among ``files.stem``.
 
-    All rows count unless ``sample_n`` asks for a seeded sample of rows.
-    Values are counted before they meet the stems.
+    All rows count unless ``sample_n`` asks for a seeded sample of rows. Values that a bit filter of the stems rules out
+    go no further than the scan, so the shuffle holds possible matches, counted. Only columns with a match have their
+    different values counted.
     """
     cols = list(cols or df.columns)
     if sample_n is not None:
         df = slice_ordered(df, [hash_order(seed, sample_key), F.col(sample_key)], 0, sample_n)
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    values = text.unpivot([], cols, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    stemmed = values.withColumn("stem", norm_stem("value", exts))
-    known = files.select("stem").where(F.col("stem") != "").distinct().withColumn("hit", F.lit(True))
-    matched = salted_join(stemmed, known, ["stem"], "left", ["column", "value"])
-    filled = F.col("value").isNotNull()
+    known = files.select("stem").where(F.col("stem") != "")
+    bits = bits_for(known.count())
+    values = text.unpivot([], cols, "column", "value").withColumn("stem", norm_stem("value", exts))
+    possible = keep_possible(values.select("column", "stem"), "stem", key_bits(known, "stem", bits), bits)
+    # one row per column and stem, so no stem is hot
+    counted = possible.groupBy("stem", "column").agg(F.count(F.lit(1)).alias("n"))
+    hits = counted.join(known.distinct(), "stem", "left_semi").groupBy("column").agg(F.sum("n").alias("hits")).collect()  # a row per column
+    matched = {r["column"]: r["hits"] for r in hits}
+    found = [c for c in cols if c in matched]
+    if not found:
+        return df.sparkSession.createDataFrame([], "column string, stem_match_ratio double, nunique bigint, missing_ratio double")
+    facts = [
+        F.struct(
+            F.lit(c).alias("column"), (F.lit(matched[c]) / F.count(f"`{c}`")).alias("stem_match_ratio"),
+            (F.count_if(F.col(f"`{c}`").isNull()) / F.count(F.lit(1))).alias("missing_ratio"),
+        ).alias(f"m{i}")
+        for i, c in enumerate(found)
+    ]
+    shares = text.agg(*facts).select(F.inline(F.array(*[f"m{i}" for i in range(len(found))])))
+    kept = text.select(*[F.col(f"`{c}`") for c in found]).unpivot([], found, "column", "value")
+    different = kept.where(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
     return (
-        matched.groupBy("column")
-        .agg(
-            F.coalesce(
-                F.try_divide(F.sum(F.when(filled & F.col("hit"), F.col("n"))), F.sum(F.when(filled, F.col("n")))),
-                F.lit(0.0),
-            ).alias("stem_match_ratio"),
-            F.count("value").alias("nunique"),
-            (F.coalesce(F.sum(F.when(~filled, F.col("n"))), F.lit(0)) / F.sum("n")).alias("missing_ratio"),
-        )
-        .where(F.col("stem_match_ratio") > 0)
+        shares.join(different, "column")
+        .select("column", "stem_match_ratio", "nunique", "missing_ratio")
         .orderBy(F.col("stem_match_ratio").desc(), "column")
     )
 
