@@ -15,6 +15,7 @@ them: what is equal there is a passage, so no link of the second round stands in
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import list_slices, map_batches, stored, utf8
-from tallyframe.llm.simhash import mixed, run_hashes
+from tallyframe.llm.common import list_slices, stored, utf8
+from tallyframe.llm.simhash import RUN_BASE, mixed, run_hashes
 
 WORDS = 50
 SHINGLE = 5
@@ -32,18 +33,48 @@ HASHES = 3
 CONTEXTS = (23, 8)  # shingles to either side of the least one that joined windows share
 BUFFERED = 250_000  # windows
 AROUND = 50_000  # places with the shingles around them
+TOGETHER = 1 << 20  # bytes of texts hashed at a time
+CELLS = 1 << 22  # shingles compared at a time
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 GAP = 2 * SHINGLE  # shingles that differ inside a passage, at a stretch
 
 
 def sliding(values: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
-    """Least or greatest value of every ``size`` neighbours (van Herk: two running passes)."""
-    n = len(values)
-    fill = values.dtype.type(0 if best is np.maximum else np.iinfo(values.dtype).max)
-    padded = np.concatenate([values, np.full(-n % size, fill)]).reshape(-1, size)
-    ahead = best.accumulate(padded, axis=1).ravel()
-    behind = best.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(behind[: n - size + 1], ahead[size - 1 : n])
+    """Least or greatest value of every ``size`` neighbours, from stretches that double."""
+    wide = 1
+    while 2 * wide <= size:
+        values = best(values[:-wide], values[wide:])
+        wide *= 2
+    return values if wide == size else best(values[: len(values) - size + wide], values[size - wide :])
+
+
+def candidates(values: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that are least among some ``least`` neighbours in their text, and the least values of all such stretches.
+
+    The texts follow each other from ``starts``; a stretch that goes on into the next text counts as 0.
+    """
+    if len(values) < least:
+        return np.empty(0, np.int64), np.empty(0, values.dtype)
+    low = sliding(values, least, np.minimum)
+    for start in starts[1:].tolist():
+        low[max(0, start - least + 1) : start] = 0
+    pad = np.zeros(least - 1, values.dtype)
+    return np.flatnonzero(sliding(np.concatenate([pad, low, pad]), least, np.maximum) == values), low
+
+
+def window_places(values: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """The positions of the windows that ``compact_windows`` gives, for texts that follow each other from ``starts``.
+
+    All candidates have one but those that a value as small stands before, less than ``least`` away: these are
+    left out if they are not least from just behind it.
+    """
+    places, low = candidates(values, starts, least)
+    kept = values[places]
+    near = np.flatnonzero((kept[1:] == kept[:-1]) & (np.diff(places) < least))
+    near = near[np.searchsorted(starts, places[near], "right") == np.searchsorted(starts, places[near + 1], "right")]
+    behind = places[near] + 1
+    lost = (behind >= len(low)) | (low[np.minimum(behind, len(low) - 1)] != kept[near])
+    return np.delete(places, near[lost] + 1)
 
 
 def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
@@ -53,12 +84,7 @@ def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
     ones beside such a value are among them too, so the tree is built of these alone.
     """
     n = len(values)
-    if n < least:
-        return np.empty((0, 3), np.int64)
-    low = sliding(values, least, np.minimum)
-    pad = np.zeros(least - 1, values.dtype)
-    reach = sliding(np.concatenate([pad, low, pad]), least, np.maximum)
-    places = np.flatnonzero(reach == values)
+    places, _ = candidates(values, np.zeros(1, np.int64), least)
     left, right = np.empty(len(places), np.int64), np.full(len(places), n, np.int64)
     stack: list[int] = []
     kept = values[places].tolist()
@@ -72,6 +98,73 @@ def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
     return np.stack([left[wide], places[wide], right[wide] - 1], 1)
 
 
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their XXH64 (seed 0), which for words of fewer than 32 bytes is made of all of one length together."""
+    buffer = np.frombuffer(text + bytes(8), np.uint8)
+    inside = np.zeros(len(text) + 2, bool)
+    inside[1:-1] = ~_BLANK[buffer[:-8]]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begins, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(text) + 1, "<u8", buffer, strides=(1,))
+    fours = np.ndarray(len(text) + 1, "<u4", buffer, strides=(1,))
+    p1, p2, p3, p4, p5 = _PRIMES
+    hashes = np.empty(len(begins), np.uint64)
+    order = np.argsort(np.minimum(sizes, 32).astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(sizes[order], np.arange(1, 34))
+    for size in range(1, 32):
+        rows = order[bounds[size - 1] : bounds[size]]
+        if not len(rows):
+            continue
+        at = begins[rows]
+        h = np.full(len(rows), p5 + np.uint64(size))
+        for i in range(size // 8):
+            h = _turned(h ^ _turned(eights[at + 8 * i] * p2, 31) * p1, 27) * p1 + p4
+        if size & 4:
+            h = _turned(h ^ fours[at + size // 8 * 8].astype(np.uint64) * p1, 23) * p2 + p3
+        for i in range(size // 4 * 4, size):
+            h = _turned(h ^ buffer[at + i].astype(np.uint64) * p5, 11) * p1
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        hashes[rows] = h ^ (h >> np.uint64(32))
+    for i in order[bounds[31] :].tolist():
+        hashes[i] = xxhash.xxh64_intdigest(text[begins[i] : begins[i] + sizes[i]])
+    return begins, hashes
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+
+
+def hashed(texts: list[bytes]) -> list[np.ndarray]:
+    """``run_hashes`` of each text, with the arithmetic done on all together."""
+    begins, each = word_hashes(b" ".join(texts).lower())
+    ends = np.searchsorted(begins, np.cumsum([len(text) + 1 for text in texts]))
+    first = np.append(0, ends)[:-1]
+    each = mixed(each, 0)
+    runs = np.zeros(max(0, len(each) - SHINGLE + 1), np.uint64)
+    for i in range(SHINGLE):
+        runs = runs * np.uint64(RUN_BASE) + each[i : i + len(runs)]
+    runs = mixed(runs, SHINGLE)
+    bounds = zip(texts, first.tolist(), (ends - SHINGLE + 1).tolist(), strict=True)
+    return [runs[start:past] if past > start else run_hashes(text, SHINGLE) for text, start, past in bounds]
+
+
+def slices(texts: list[bytes]) -> Iterator[slice]:
+    """Neighbouring texts of about ``TOGETHER`` bytes."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= TOGETHER:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 _POWERS = np.ones((2, 0), np.uint64)
 
 
@@ -83,29 +176,34 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:, :n]
 
 
-def contexts(hashes: np.ndarray, sums: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the shingles to the right and left of the places; one of its own where a text ends before.
+def contexts(hashes: np.ndarray, sums: np.ndarray, places: np.ndarray, start: np.ndarray, past: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the shingles to the right and left of the places, whose texts go from ``start`` to ``past``; one of its own where a text ends before.
 
     ``sums`` are the running sums of the hashes times the powers of the base.
     """
-    n = len(hashes)
-    inverse = powers(n + 1)[1]
+    inverse = powers(len(hashes) + 1)[1]
     found = []
     for size in CONTEXTS:
         for first in (places, places - size + 1):
-            inside = (first >= 0) & (first + size <= n)
-            start = np.where(inside, first, 0)
-            total = (sums[np.minimum(start + size, n)] - sums[start]) * inverse[start]
-            alone = hashes[places] ^ mixed(places.astype(np.uint64), size)
+            inside = (first >= start) & (first + size <= past)
+            begin = np.where(inside, first, 0)
+            total = (sums[np.minimum(begin + size, len(hashes))] - sums[begin]) * inverse[begin]
+            alone = hashes[places] ^ mixed((places - start).astype(np.uint64), size)
             found.append((mixed(np.where(inside, total, alone), size) >> np.uint64(32)).astype(np.uint32).view(np.int32))
     return found
 
 
-WINDOWS = "part bigint, key bigint, r0 int, l0 int, r1 int, l1 int, doc bigint, at int, other bigint, other_at int"
-NAMES = ["part", "key", "r0", "l0", "r1", "l1", "doc", "at", "other", "other_at"]
+WINDOWS = "part bigint, key bigint, place binary"
+PLACE = np.dtype([("near", np.int32, 4), ("doc", np.int64), ("at", np.int32), ("other", np.int64), ("other_at", np.int32)])
 NOBODY = -(1 << 62)
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row, all of one length."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.nbytes // max(1, len(rows)))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+
+
 def windows(docs: DataFrame, least: int) -> DataFrame:
     """Windows of all documents (``other`` is ``NOBODY``), and links of those that meet an equal one in their task."""
 
@@ -115,30 +213,41 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)  # key, r0, l0, r1, l1, doc, at
-            rows = rows[np.lexsort((rows[:, 6], rows[:, 5], rows[:, 2], rows[:, 1], rows[:, 0]))]
+            rows = rows[np.argsort(rows[:, 0])]
+            again = rows[1:, 0] == rows[:-1, 0]
+            several = np.append(again, False) | np.append(False, again)
+            alone, rows = rows[~several], rows[several]
+            rows = np.concatenate([alone, rows[np.lexsort((rows[:, 6], rows[:, 5], rows[:, 2], rows[:, 1], rows[:, 0]))]])
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             # links go by their document, so that they spread; windows by their key
             part = np.where(new, rows[:, 0], mixed(rows[:, 5].astype(np.uint64), 7).view(np.int64))
             other = np.where(new, NOBODY, rows[first, 5])
-            columns = [part, rows[:, 0], *(rows[:, i].astype(np.int32) for i in (1, 2, 3, 4)), rows[:, 5], rows[:, 6].astype(np.int32)]
-            columns += [other, np.where(new, 0, rows[first, 6]).astype(np.int32)]
+            place = np.empty(len(rows), PLACE)
+            place["near"], place["doc"], place["at"] = rows[:, 1:5], rows[:, 5], rows[:, 6]
+            place["other"], place["other_at"] = other, np.where(new, 0, rows[first, 6])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(rows[:, 0]), binaries(place)], ["part", "key", "place"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                hashes = run_hashes(text, SHINGLE)
-                if len(hashes) < least:
+            ids, texts = np.asarray(batch.column("doc")), batch.column("text").to_pylist()
+            for part in slices(texts):
+                found = [(doc, hashes) for doc, hashes in zip(ids[part].tolist(), hashed(texts[part]), strict=True) if len(hashes) >= least]
+                if not found:
                     continue
+                own = np.array([doc for doc, _ in found])
+                ends = np.cumsum([len(hashes) for _, hashes in found])
+                starts = np.concatenate([[0], ends[:-1]])
+                hashes = np.concatenate([hashes for _, hashes in found])
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes) + 1)[0, :-1])])
                 for number in range(HASHES):
                     values = mixed(hashes, 11 + number)
-                    places = compact_windows(values, least)[:, 1]
+                    places = window_places(values, starts, least)
+                    text = np.searchsorted(starts, places, "right") - 1
                     key = mixed(values[places], 31 + number).view(np.int64)
-                    near = contexts(hashes, sums, places)
-                    rows = np.stack([key, *near, np.full(len(places), doc), places], 1)
+                    near = contexts(hashes, sums, places, starts[text], ends[text])
+                    rows = np.stack([key, *near, own[text], places - starts[text]], 1)
                     held.append(rows)
                     count += len(rows)
             if count >= BUFFERED:
@@ -184,28 +293,47 @@ def to_first(key: np.ndarray, value: np.ndarray, doc: np.ndarray, at: np.ndarray
     return np.stack([doc, doc[first], at, at[first], key], 1)[~new]
 
 
-LINKS = "doc bigint, other bigint, at int, other_at int, key bigint"
+def different(rows: np.ndarray) -> np.ndarray:
+    """The different rows, in order of the last column, then the one before and so on."""
+    rows = rows[np.lexsort(rows.T)]
+    return rows[np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:] != rows[:-1]).any(1)])]
+
+
+LINKS = "doc bigint, other bigint, places array<struct<at int, other_at int, key bigint>>"
 
 
 def link_batch(links: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.concatenate(links)
-    rows = rows[np.lexsort(rows.T)]
-    rows = rows[np.concatenate([np.ones(min(1, len(rows)), bool), np.diff(rows, axis=0).any(1)])]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, i]).cast(k) for i, k in enumerate(kinds)], ["doc", "other", "at", "other_at", "key"])
+    """The different links (document, other, place, place in the other, key), by documents."""
+    rows = different(np.concatenate(links)[:, ::-1])[:, ::-1]
+    pairs = np.flatnonzero(np.append(np.ones(min(1, len(rows)), bool), (rows[1:, :2] != rows[:-1, :2]).any(1)))
+    fields = [pa.array(rows[:, i].astype(t)) for i, t in ((2, np.int32), (3, np.int32), (4, np.int64))]
+    places = pa.StructArray.from_arrays(fields, ["at", "other_at", "key"])
+    places = pa.ListArray.from_arrays(pa.array(np.append(pairs, len(rows)).astype(np.int32)), places)
+    return pa.RecordBatch.from_arrays([pa.array(rows[pairs, 0]), pa.array(rows[pairs, 1]), places], ["doc", "other", "places"])
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """Documents of joined windows and their places (``LINKS``); also those of one document, which are not compared but linked again."""
+    """Documents of joined windows and their places (``LINKS``); also, linked to themselves, the
+    places of joined windows of one document, which are not compared but linked again."""
+
+    def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+        place = np.frombuffer(b"".join(batch.column("place").to_pylist()), PLACE)
+        return np.column_stack([np.asarray(batch.column("key")), *(place[name] for name in PLACE.names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, columns_of(NAMES[1:]), BUFFERED):
+        for rows in whole_keys(batches, unpacked, BUFFERED):
             made, alone = rows[rows[:, 7] != NOBODY], rows[rows[:, 7] == NOBODY]
+            several = np.zeros(len(alone), bool)
+            several[1:] = alone[1:, 0] == alone[:-1, 0]
+            several[:-1] |= several[1:]
+            alone = alone[several]
             out = [made[:, [5, 7, 6, 8, 0]]]
             out += [to_first(alone[:, 0], alone[:, context], alone[:, 5], alone[:, 6]) for context in (1, 2, 3, 4)]
-            yield link_batch(out)
+            links = np.concatenate(out)
+            own = links[links[:, 0] == links[:, 1]]
+            yield link_batch([links[links[:, 0] != links[:, 1]], own[:, [0, 1, 2, 2, 4]], own[:, [0, 1, 3, 3, 4]]])
 
-    return found.repartition("part").sortWithinPartitions("key").mapInArrow(run, LINKS)
+    return found.repartition("part").drop("part").sortWithinPartitions("key").mapInArrow(run, LINKS)
 
 
 def doubtful(marks: DataFrame) -> DataFrame:
@@ -214,7 +342,7 @@ def doubtful(marks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches, columns_of(["key", "doc", "at", "open"]), BUFFERED):
             unsure = np.unique(rows[rows[:, 3] > 0, 0])
-            places = np.unique(rows[:, :3], axis=0)
+            places = different(rows[:, [2, 1, 0]])[:, ::-1]
             _, first, number, counts = np.unique(places[:, 0], return_index=True, return_inverse=True, return_counts=True)
             several = places[first, 1] != places[first + counts - 1, 1]
             keep = ((counts >= 3) & several)[number] & np.isin(places[:, 0], unsure)
@@ -227,48 +355,106 @@ def doubtful(marks: DataFrame) -> DataFrame:
 def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """Links of places by the shingles around them: every stretch of ``least`` that holds the place, and shorter ones that begin or end with it."""
     reach = least - 1
-
-    def around(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        offsets, flat = list_slices(batch.column("places"))
-        keys, ats = np.asarray(flat.field("key")), np.asarray(flat.field("at")).astype(np.int64)
-        for n, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-            hashes = run_hashes(text, SHINGLE)
-            for key, at in zip(keys[offsets[n] : offsets[n + 1]].tolist(), ats[offsets[n] : offsets[n + 1]].tolist(), strict=True):
-                # values of its own where the text ends before
-                near = mixed(np.arange(2 * reach + 1, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{doc} {at}")), 5)
-                first, past = max(0, at - reach), min(len(hashes), at + reach + 1)
-                near[first - at + reach : past - at + reach] = hashes[first:past]
-                out.append((key, doc, at, near.tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["key", "doc", "at", "near"])
-
-    def unpacked(batch: pa.RecordBatch) -> np.ndarray:
-        near = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.int64).reshape(batch.num_rows, -1)
-        return np.concatenate([columns_of(["key", "doc", "at"])(batch), near], 1)
+    wide = 2 * reach + 1
+
+    def surroundings(doc: int, hashes: np.ndarray, ats: np.ndarray) -> np.ndarray:
+        """The shingles around the places; values of its own where the text ends before."""
+        near = np.empty((len(ats), wide), np.uint64)
+        inner = (ats >= reach) & (ats + reach < len(hashes))
+        if inner.any():
+            near[inner] = np.lib.stride_tricks.sliding_window_view(hashes, wide)[ats[inner] - reach]
+        for i in np.flatnonzero(~inner).tolist():
+            near[i] = mixed(np.arange(wide, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{doc} {ats[i]}")), 5)
+            at = ats[i] - reach + np.arange(wide)
+            known = (at >= 0) & (at < len(hashes))
+            near[i, known] = hashes[at[known]]
+        return near
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of a key and a document that have the same around them are one row."""
+        for batch in batches:
+            offsets, flat = list_slices(batch.column("places"))
+            all_keys, all_ats = np.asarray(flat.field("key")), np.asarray(flat.field("at")).astype(np.int64)
+            docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+            for part in slices(texts):
+                out: list[tuple] = []
+                size = 0
+                for n, hashes in zip(range(part.start, part.stop), hashed(texts[part]), strict=True):
+                    for first in range(offsets[n], offsets[n + 1], AROUND // 2):
+                        places = slice(first, min(offsets[n + 1], first + AROUND // 2))
+                        keys, ats = all_keys[places], all_ats[places]
+                        near = surroundings(docs[n], hashes, ats)
+                        order = np.lexsort((ats, (near * powers(wide)[0]).sum(1), keys))
+                        keys, ats, near = keys[order], ats[order], near[order]
+                        new = np.ones(len(ats), bool)
+                        new[1:] = (keys[1:] != keys[:-1]) | (near[1:] != near[:-1]).any(1)
+                        out.append((docs[n], keys[new], ats, np.flatnonzero(new), near[new]))
+                        size += int(new.sum())
+                        if size >= AROUND // 2:
+                            yield packed(out)
+                            out, size = [], 0
+                if size:
+                    yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        counts = np.concatenate([np.diff(np.append(new, len(ats))) for _, _, ats, new, _ in out])
+        lists = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        near = np.concatenate([o[4] for o in out])
+        columns = [pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([np.full(len(o[1]), o[0]) for o in out]))]
+        columns.append(pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate([o[2] for o in out]).astype(np.int32))))
+        columns.append(binaries(near))
+        return pa.RecordBatch.from_arrays(columns, ["key", "doc", "ats", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in whole_keys(batches, unpacked, AROUND):
-            key, doc, at = held[:, 0], held[:, 1], held[:, 2]
-            sums = np.zeros((len(held), 2 * reach + 2), np.uint64)
-            np.cumsum(held[:, 3:].view(np.uint64) * powers(2 * reach + 2)[0, : 2 * reach + 1], axis=1, out=sums[:, 1:])
+        waiting = [np.empty(0, np.int64)]  # places of the rows that are not yet linked
+
+        def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+            near = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            offsets, ats = list_slices(batch.column("ats"))
+            waiting.append(np.asarray(ats).astype(np.int64))
+            counts = np.diff(offsets).astype(np.int64)[:, None]
+            return np.concatenate([columns_of(["key", "doc"])(batch), waiting[-1][offsets[:-1], None], counts, near], 1)
+
+        for rows in whole_keys(batches, unpacked, AROUND):
+            counts = rows[:, 3]
+            ats = np.concatenate(waiting)
+            waiting[:] = [ats[counts.sum() :]]
+            begins = np.cumsum(counts) - counts
+            order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+            rank = np.empty(len(rows), np.int64)
+            rank[order] = np.arange(len(rows))
+            sums = np.zeros((2 * reach + 2, len(rows)), np.uint64)
+            sums[1:] = np.cumsum(rows[:, 4:].view(np.uint64) * powers(wide)[0], axis=1).T
+            own, doc = mixed(rows[:, 0].view(np.uint64), 3), rows[:, 1].copy()
             ends = [(i, i + least) for i in range(reach + 1)]
             for size in range(min(CONTEXTS), least):
                 ends += [(reach, reach + size), (reach + 1 - size, reach + 1)]
-            found = np.empty((0, 5), np.int64)
-            for first, past in ends:
-                new = to_first(key, sums[:, past] - sums[:, first], doc, at)
-                new = new[new[:, 0] != new[:, 1]]
-                if len(new):  # one link of two documents and a shift will do
-                    found = np.concatenate([found, new])
-                    order = np.lexsort((found[:, 2] - found[:, 3], found[:, 1], found[:, 0]))
-                    found = found[order]
-                    step = np.diff(np.stack([found[:, 0], found[:, 1], found[:, 2] - found[:, 3]], 1), axis=0)
-                    found = found[np.concatenate([[True], step.any(1)])]
-            yield link_batch([found])
+            found = [np.empty((0, 2), np.int64)]
+            last = rank.copy()
+            first = np.empty(len(rows), np.int64)
+            for begin, past in ends:
+                value = (sums[past] - sums[begin]) ^ own
+                by = np.argsort(value)
+                value = value[by]
+                new = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+                first[by] = np.repeat(np.minimum.reduceat(rank[by], new), np.diff(np.append(new, len(rows))))
+                changed = np.flatnonzero(first != last)
+                changed = changed[doc[order[first[changed]]] != doc[changed]]
+                found.append(np.stack([order[first[changed]], changed], 1))
+                last[:] = first
+            first, row = different(np.concatenate(found)).T
+            many = counts[row]
+            at = ats[np.repeat(begins[row], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            links = np.stack([doc[row], doc[first], rows[row, 0], rows[first, 2]], 1).repeat(many, 0)
+            links = np.concatenate([at[:, None] - links[:, 3:], links, at[:, None]], 1)  # shift, doc, other, key, other_at, at
+            order = np.lexsort((links[:, 0], links[:, 2], links[:, 1]))
+            links = links[order]
+            new = np.ones(len(links), bool)  # one link of two documents and a shift will do
+            new[1:] = (links[1:, :3] != links[:-1, :3]).any(1)
+            yield link_batch([links[new][:, [1, 2, 5, 4, 3]]])
 
     by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("places"))
-    near = map_batches(by_doc.join(rows, "doc"), around, "key bigint, doc bigint, at int, near binary")
+    near = by_doc.join(rows, "doc").mapInArrow(around, "key bigint, doc bigint, ats array<int>, near binary")
     return near.repartition("key").sortWithinPartitions("key").mapInArrow(run, LINKS)
 
 
@@ -324,43 +510,92 @@ def stretches(parts: np.ndarray, least: int, similarity: float) -> list[tuple[in
     return found
 
 
-def shared(a: np.ndarray, b: np.ndarray, shifts: list[int], words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def diagonals(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Equal stretches (first in either text, length) of two texts shifted against each other, in order of ``shifts``."""
+    start, end = np.maximum(0, shifts), np.minimum(len(a), len(b) + shifts)
+    shifts, start, end = (x[start < end] for x in (shifts, start, end))
+    at = np.cumsum(end - start + 1)
+    found = [np.empty((0, 3), np.int64)]
+    done = 0
+    while done < len(shifts):
+        before = int(at[done - 1]) if done else 0
+        past = max(done + 1, int(np.searchsorted(at, before + CELLS, "right")))
+        same = np.zeros(int(at[past - 1]) - before + 1, bool)  # one that is not equal before, between and after them
+        offsets = np.concatenate([[0], at[done : past - 1] - before]) + 1
+        for o, s, x, y in zip(offsets.tolist(), shifts[done:past].tolist(), start[done:past].tolist(), end[done:past].tolist(), strict=True):
+            np.equal(a[x:y], b[x - s : y - s], out=same[o : o + y - x])
+        edges = np.flatnonzero(same[1:] != same[:-1]) + 1
+        firsts, lengths = edges[::2], edges[1::2] - edges[::2]
+        which = np.searchsorted(offsets, firsts, "right") - 1
+        firsts = firsts - offsets[which] + start[done:past][which]
+        found.append(np.stack([firsts, firsts - shifts[done:past][which], lengths], 1))
+        done = past
+    return np.concatenate(found)
+
+
+def joined(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which parts have another one within ``GAP`` of an end of theirs: ``extended`` finds nothing for the others."""
+    size = GAP + 1
+    x = np.concatenate([np.full(size, 1, np.uint64), a, np.full(size, 1, np.uint64)])
+    y = np.concatenate([np.full(size, 2, np.uint64), b, np.full(size, 2, np.uint64)])
+    x, y = (np.lib.stride_tricks.sliding_window_view(z, size) for z in (x, y))
+    found = np.zeros(len(parts), bool)
+    for i in range(0, len(parts), 4096):
+        first, other, length = parts[i : i + 4096].T
+        for p, q in ((first, other), (first + length + size, other + length + size)):
+            found[i : i + 4096] |= (x[p][:, :, None] == y[q][:, None, :]).any((1, 2))
+    return found
+
+
+def aligned(a: np.ndarray, b: np.ndarray, parts: np.ndarray, words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """Verified passages: first and past word in the one text, first and past word in the other, similarity.
 
-    An alignment starts on one of ``shifts`` and goes on over gaps to whatever diagonal the texts are equal on next.
+    An alignment starts on one of the parts, which come from ``diagonals``, and goes on over gaps to whatever diagonal the texts are equal on next.
     """
     least = words - SHINGLE + 1
+    enough = 2 * least * similarity / (1 + similarity) - 1  # equal shingles that any passage has
+    near = joined(a, b, parts)
+    whole = parts[~near & (parts[:, 2] >= least)]
+    found = {(x, x + n, y, y + n, 1.0) for x, y, n in whole.tolist()}
+    parts = parts[near]
+    if len(parts):
+        firsts, shifts = parts[:, 0], parts[:, 0] - parts[:, 1]
+        apart = (shifts[1:] != shifts[:-1]) | (firsts[1:] - firsts[:-1] - parts[:-1, 2] > GAP)
+        begins = np.flatnonzero(np.append(True, apart))
+        totals = np.add.reduceat(parts[:, 2], begins)
+        pasts = np.append(begins[1:], len(parts))
+        for i in np.flatnonzero(totals >= enough).tolist():  # on one diagonal
+            found.update(stretches(parts[begins[i] : pasts[i]], least, similarity))
     seen: dict[int, list[tuple[int, int]]] = {}
-    found = set()
-    for shift in shifts:
-        start, end = max(0, shift), min(len(a), len(b) + shift)
-        if end <= start:
+    for first, other, length in parts.tolist():
+        if any(x <= first and first + length <= y for x, y in seen.get(first - other, ())):
             continue
-        equal = np.flatnonzero(a[start:end] == b[start - shift : end - shift]) + start
-        if not len(equal):
-            continue
-        breaks = np.flatnonzero(np.diff(equal) > 1)
-        firsts, lasts = equal[np.concatenate([[0], breaks + 1])], equal[np.concatenate([breaks, [len(equal) - 1]])]
-        parts = np.stack([firsts, firsts - shift, lasts - firsts + 1], 1)
-        runs = np.split(parts, np.flatnonzero(firsts[1:] - lasts[:-1] > GAP + 1) + 1)
-        for run in runs:  # on one diagonal
-            found.update(stretches(run, least, similarity))
-        for first, other, length in parts.tolist():
-            if any(x <= first and first + length <= y for x, y in seen.get(shift, ())):
-                continue
-            before = [(first - x - n, other - y - n, n) for x, y, n in extended(a[:first][::-1], b[:other][::-1])]
-            after = [(first + length + x, other + length + y, n) for x, y, n in extended(a[first + length :], b[other + length :])]
-            run = [*before[::-1], (first, other, length), *after]
-            for x, y, n in run:
-                seen.setdefault(x - y, []).append((x, x + n))
+        before = [(first - x - n, other - y - n, n) for x, y, n in extended(a[:first][::-1], b[:other][::-1])]
+        after = [(first + length + x, other + length + y, n) for x, y, n in extended(a[first + length :], b[other + length :])]
+        run = [*before[::-1], (first, other, length), *after]
+        for x, y, n in run:
+            seen.setdefault(x - y, []).append((x, x + n))
+        if sum(n for _, _, n in run) >= enough:
             found.update(stretches(np.array(run), least, similarity))
-    widest: list[tuple[int, int, int, int, float]] = []
-    for f in sorted(found, key=lambda f: (f[0] - f[1], f[2] - f[3], -f[4])):
-        if not any(w[0] <= f[0] and f[1] <= w[1] and w[2] <= f[2] and f[3] <= w[3] for w in widest):
-            widest.append(f)
+    widest = sorted(found, key=lambda f: (f[0] - f[1], f[2] - f[3], -f[4]))
+    if len(widest) > 1:
+        first, past, other, other_past = np.array([f[:4] for f in widest], np.int32).T[:, None, :]
+        kept = []
+        step = max(1, CELLS // len(widest))
+        for i in range(0, len(widest), step):
+            inner = (x[0, i : i + step, None] for x in (first, past, other, other_past))
+            x, x_past, y, y_past = inner
+            within = (first <= x) & (x_past <= past) & (other <= y) & (y_past <= other_past)
+            kept.append(~np.tril(within, i - 1).any(1))
+        widest = [f for f, keep in zip(widest, np.concatenate(kept).tolist(), strict=True) if keep]
     return [(x, past + SHINGLE - 1, y, other_past + SHINGLE - 1, value) for x, past, y, other_past, value in widest]
 
 
+def shared(a: np.ndarray, b: np.ndarray, shifts: list[int], words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """``aligned`` passages of the shifted texts."""
+    return aligned(a, b, diagonals(a, b, np.array(shifts, np.int64)), words, similarity)
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -378,12 +613,12 @@ def repeated_passages(
     )
     links = stored(linked(windows(rows, least)), "passage-links")
     found = stored(verified(links, rows, words, similarity, marked=True), "passages")
-    own = links.where("doc = other")
-    own = own.selectExpr("key", "doc", "at", "true as open").unionByName(own.selectExpr("key", "other as doc", "other_at as at", "true as open"))
+    own = links.where("doc = other").selectExpr("doc", "inline(places)").selectExpr("key", "doc", "at", "true as open")
     places = found.where("key is not null").selectExpr("key", "doc_id as doc", "first_word as at", "past_word > 0 as open")
-    again = linked_again(doubtful(own.unionByName(places)), rows, least).where("doc <> other").withColumn("shift", F.expr("at - other_at"))
-    again = again.join(links.select("doc", "other", F.expr("at - other_at").alias("shift")), ["doc", "other", "shift"], "left_anti")
-    again = stored(again.select("doc", "other", "at", "other_at", "key"), "passage-links-again")
+    shifts = [df.where("doc <> other").selectExpr("doc", "other", "inline(places)") for df in (linked_again(doubtful(own.unionByName(places)), rows, least), links)]
+    new, known = (df.withColumn("shift", F.expr("at - other_at")) for df in shifts)
+    again = new.join(known.select("doc", "other", "shift"), ["doc", "other", "shift"], "left_anti")
+    again = stored(again.select("doc", "other", F.array(F.struct("at", "other_at", "key")).alias("places")), "passage-links-again")
     more = verified(again, rows, words, similarity, marked=False)
     return found.where("key is null").unionByName(more).drop("key").distinct()
 
@@ -395,36 +630,46 @@ def verified(links: DataFrame, rows: DataFrame, words: int, similarity: float, m
     differ as near to it as a passage of just ``words`` words may reach.
     """
     least = words - SHINGLE + 1
-    pairs = links.where("doc <> other").groupBy("doc", "other").agg(F.collect_list(F.struct("at", "other_at", "key")).alias("places"))
+    pairs = links.where("doc <> other").groupBy("doc", "other").agg(F.flatten(F.collect_list("places")).alias("places"))
     left = pairs.join(rows, "doc")
     both = left.join(rows.select(F.col("doc").alias("other"), F.col("text").alias("other_text")), "other")
 
-    def differ(a: np.ndarray, b: np.ndarray, at: np.ndarray, other_at: np.ndarray) -> np.ndarray:
-        steps = np.arange(1 - least, least)
-        i, j = at[:, None] + steps, other_at[:, None] + steps
-        outside, known = (i < 0) | (i >= len(a)), (j >= 0) & (j < len(b))
-        return ~(outside | known & (a[np.clip(i, 0, len(a) - 1)] == b[np.clip(j, 0, len(b) - 1)])).all(1)
+    def differ(size: int, parts: np.ndarray, at: np.ndarray, other_at: np.ndarray) -> np.ndarray:
+        parts = np.concatenate([[[-1, -1, 0]], parts])
+        # shift and place in one number: both are below 2**31
+        ends = (parts[:, 0] - parts[:, 1] << 32) + parts[:, 0]
+        ends[0] = np.iinfo(np.int64).min
+        part = parts[np.searchsorted(ends, (at - other_at << 32) + at, "right") - 1]
+        held = (part[:, 0] - part[:, 1] == at - other_at) & (part[:, 0] <= np.maximum(0, at - least + 1))
+        return ~held | (part[:, 0] + part[:, 2] < np.minimum(size, at + least))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(0, batch.num_rows, TOGETHER >> 12):
+                made = verify_some(batch.slice(n, TOGETHER >> 12))
+                if made is not None:
+                    yield made
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def verify_some(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out, marks = [], [np.empty((0, 4), np.int64)]
-        columns = [batch.column(c).to_pylist() for c in ("doc", "other", "text", "other_text")]
+        docs, others, texts, other_texts = (batch.column(c).to_pylist() for c in ("doc", "other", "text", "other_text"))
         offsets, flat = list_slices(batch.column("places"))
         at, other_at, key = (np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "other_at", "key"))
-        last, b = None, np.empty(0, np.uint64)
-        for n, (doc, other, text, other_text) in enumerate(zip(*columns, strict=True)):
+        known = list(dict.fromkeys([*texts, *other_texts]))
+        hashes = dict(zip(known, chain.from_iterable(hashed(known[part]) for part in slices(known)), strict=True))
+        for n, (doc, other, text, other_text) in enumerate(zip(docs, others, texts, other_texts, strict=True)):
             own = slice(offsets[n], offsets[n + 1])
-            a = run_hashes(text, SHINGLE)
-            if other_text != last:  # rows of one representative follow each other
-                last, b = other_text, run_hashes(other_text, SHINGLE)
-            for first, past, other_first, other_past, value in shared(a, b, np.unique(at[own] - other_at[own]).tolist(), words, similarity):
+            a, b = hashes[text], hashes[other_text]
+            parts = diagonals(a, b, np.unique(at[own] - other_at[own]))
+            for first, past, other_first, other_past, value in aligned(a, b, parts, words, similarity):
                 out.append((doc, first, past, other, other_first, value))
                 out.append((other, other_first, other_past, doc, first, value))
             if marked:
-                apart = differ(a, b, at[own], other_at[own])
+                apart = differ(len(a), parts, at[own], other_at[own])
                 whole = np.ones(len(apart), np.int64)
                 mine = np.stack([key[own], doc * whole, at[own], whole], 1)[apart]
                 marks.append(np.concatenate([mine, np.stack([key[own], other * whole, other_at[own], 0 * whole], 1)]))
-        places = np.unique(np.concatenate(marks), axis=0)
+        places = different(np.concatenate(marks))
         n = len(places)
         if not out and not n:
             return None
@@ -436,7 +681,7 @@ def verified(links: DataFrame, rows: DataFrame, words: int, similarity: float, m
         return pa.RecordBatch.from_arrays(filled, [*PASSAGE, "key"])
 
     schema = "doc_id bigint, first_word int, past_word int, other_id bigint, other_first_word int, similarity double, key bigint"
-    return map_batches(both, verify, schema)
+    return both.mapInArrow(verify, schema)
 
 
 PASSAGE = ["doc_id", "first_word", "past_word", "other_id", "other_first_word", "similarity"]

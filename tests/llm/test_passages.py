@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tallyframe.llm import passages
+from tallyframe.llm.simhash import run_hashes
 from tests.llm import edge
 
 
@@ -118,3 +119,51 @@ def test_copies_behind_a_frequent_line(spark):
     found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     got = {(r.doc_id, r.other_id): (r.first_word, r.past_word) for r in found}
     assert got == {p: (60, 115) for a, b in pairs for p in ((a, b), (b, a))}
+
+
+def test_texts_hashed_together():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"abcXYZ0.,\x00\x1c\x85\xc3\xa9") for _ in range(n)) for n in [*range(1, 40)] * 8]
+    rng.shuffle(words)
+    blanks = b" \t\n\r\x0b\x0c"
+    texts = [b"", b" ", b"one", b"a b c d", b" A b c d e\n"]
+    for n in (3, 5, 50, 200):
+        texts.append(b"".join(w + bytes(rng.choice(blanks) for _ in range(rng.randrange(1, 3))) for w in rng.sample(words, n)))
+    for some in (texts, texts[:1], texts[-1:], []):
+        for got, text in zip(passages.hashed(some), some, strict=True):
+            assert np.array_equal(got, run_hashes(text, passages.SHINGLE))
+
+
+def test_windows_of_texts_behind_each_other():
+    rng = np.random.default_rng(3)
+    for high in (1, 2, 4, 30, 1 << 60):
+        for _ in range(30):
+            texts = [rng.integers(1, high + 1, rng.integers(7, 60)).astype(np.uint64) for _ in range(rng.integers(1, 5))]
+            starts = np.cumsum([0, *map(len, texts[:-1])])
+            want = [passages.compact_windows(t, 7)[:, 1] + s for t, s in zip(texts, starts.tolist(), strict=True)]
+            assert np.array_equal(passages.window_places(np.concatenate(texts), starts, 7), np.concatenate(want))
+
+
+def test_stretches_by_themselves_are_not_extended(monkeypatch):
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 60, 47).astype(np.uint64)
+    a = np.concatenate([x for _ in range(30) for x in (line, rng.integers(0, 1 << 60, 30).astype(np.uint64))])
+    b = np.concatenate([x for _ in range(20) for x in (line, rng.integers(0, 1 << 60, 41).astype(np.uint64))])
+    calls = []
+    extended = passages.extended
+    monkeypatch.setattr(passages, "extended", lambda *x: calls.append(1) or extended(*x))
+    found = passages.shared(a, b, sorted({77 * i - 88 * j for i in range(30) for j in range(20)}), 50, 0.8)
+    want = {(77 * i, 77 * i + 51, 88 * j, 88 * j + 51, 1.0) for i in range(30) for j in range(20)}
+    assert len(found) == len(want) and set(found) == want
+    assert not calls
+
+
+def test_id_of_a_long_and_a_short_text(spark):
+    line = [f"{w}l" for w in edge.prose(31, 49).split()]
+    docs = [(1, " ".join(line))]
+    for i in range(2, 8):
+        tail = [f"{w}t{i // 2}" for w in edge.prose(40 + i // 2, 6).split()]
+        docs.append((i, " ".join([f"{w}{i}" for w in edge.prose(i, 300).split()] + line + tail)))
+        docs.append((i, edge.prose(60 + i, 7)))
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(2, 3), (3, 2), (4, 5), (5, 4), (6, 7), (7, 6)}
