@@ -267,14 +267,12 @@ def whole_keys(batches: Iterator[pa.RecordBatch], unpack: Callable[[pa.RecordBat
         if not batch.num_rows:
             continue
         carried.append(unpack(batch))
-        size += batch.num_rows
-        if size >= buffered:
+        size += len(carried[-1])
+        if size >= buffered and carried[-1][-1, 0] != carried[0][0, 0]:
             rows = np.concatenate(carried)
-            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield rows[:cut]
-            carried, size = [rows[cut:]], len(rows) - cut
+            cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1
+            carried, size = [rows[cut:].copy()], len(rows) - cut
+            yield rows[:cut]
     if carried:
         yield np.concatenate(carried)
 
@@ -303,9 +301,10 @@ LINKS = "doc bigint, other bigint, places array<struct<at int, other_at int, key
 
 
 def link_batch(links: list[np.ndarray]) -> pa.RecordBatch:
-    """The different links (document, other, place, place in the other, key), by documents."""
-    rows = different(np.concatenate(links)[:, ::-1])[:, ::-1]
-    pairs = np.flatnonzero(np.append(np.ones(min(1, len(rows)), bool), (rows[1:, :2] != rows[:-1, :2]).any(1)))
+    """The different links (document, other, place, place in the other, key), by documents; those to the document itself also by key."""
+    rows = different(np.concatenate(links)[:, [3, 2, 4, 1, 0]])[:, [4, 3, 1, 0, 2]]
+    new = (rows[1:, :2] != rows[:-1, :2]).any(1) | (rows[1:, 0] == rows[1:, 1]) & (rows[1:, 4] != rows[:-1, 4])
+    pairs = np.flatnonzero(np.append(np.ones(min(1, len(rows)), bool), new))
     fields = [pa.array(rows[:, i].astype(t)) for i, t in ((2, np.int32), (3, np.int32), (4, np.int64))]
     places = pa.StructArray.from_arrays(fields, ["at", "other_at", "key"])
     places = pa.ListArray.from_arrays(pa.array(np.append(pairs, len(rows)).astype(np.int32)), places)
@@ -337,19 +336,29 @@ def linked(found: DataFrame) -> DataFrame:
 
 
 def doubtful(marks: DataFrame) -> DataFrame:
-    """``(key, doc, at)``: the places of keys that have three or more in several documents, one of them with a link that did not hold all round."""
+    """``(key, doc, ats)``: the places of keys that have three or more in several documents, one of them with a link that did not hold all round."""
+
+    def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+        offsets, ats = list_slices(batch.column("ats"))
+        return np.column_stack([columns_of(["key", "doc", "open"])(batch).repeat(np.diff(offsets), 0), np.asarray(ats)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, columns_of(["key", "doc", "at", "open"]), BUFFERED):
-            unsure = np.unique(rows[rows[:, 3] > 0, 0])
-            places = different(rows[:, [2, 1, 0]])[:, ::-1]
+        for rows in whole_keys(batches, unpacked, BUFFERED):
+            unsure = np.unique(rows[rows[:, 2] > 0, 0])
+            places = different(rows[:, [3, 1, 0]])[:, ::-1]
             _, first, number, counts = np.unique(places[:, 0], return_index=True, return_inverse=True, return_counts=True)
             several = places[first, 1] != places[first + counts - 1, 1]
             keep = ((counts >= 3) & several)[number] & np.isin(places[:, 0], unsure)
-            own = places[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2].astype(np.int32))], ["key", "doc", "at"])
+            yield place_lists(places[keep])
+
+    return marks.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, doc bigint, ats array<int>")
+
 
-    return marks.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, doc bigint, at int")
+def place_lists(places: np.ndarray) -> pa.RecordBatch:
+    """Sorted rows of key, document and place as one row for each key and document."""
+    new = np.flatnonzero(np.append(np.ones(min(1, len(places)), bool), (places[1:, :2] != places[:-1, :2]).any(1)))
+    ats = pa.ListArray.from_arrays(pa.array(np.append(new, len(places)).astype(np.int32)), pa.array(places[:, 2].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(places[new, 0]), pa.array(places[new, 1]), ats], ["key", "doc", "ats"])
 
 
 def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
@@ -374,7 +383,9 @@ def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
         """Places of a key and a document that have the same around them are one row."""
         for batch in batches:
             offsets, flat = list_slices(batch.column("places"))
-            all_keys, all_ats = np.asarray(flat.field("key")), np.asarray(flat.field("at")).astype(np.int64)
+            bounds, all_ats = list_slices(flat.field("ats"))
+            all_keys, all_ats = np.repeat(np.asarray(flat.field("key")), np.diff(bounds)), np.asarray(all_ats).astype(np.int64)
+            offsets = bounds[offsets]
             docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             for part in slices(texts):
                 out: list[tuple] = []
@@ -409,11 +420,12 @@ def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
         waiting = [np.empty(0, np.int64)]  # places of the rows that are not yet linked
 
         def unpacked(batch: pa.RecordBatch) -> np.ndarray:
-            near = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            near = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            sums = np.cumsum(near * powers(wide)[0], axis=1).view(np.int64)
             offsets, ats = list_slices(batch.column("ats"))
             waiting.append(np.asarray(ats).astype(np.int64))
             counts = np.diff(offsets).astype(np.int64)[:, None]
-            return np.concatenate([columns_of(["key", "doc"])(batch), waiting[-1][offsets[:-1], None], counts, near], 1)
+            return np.concatenate([columns_of(["key", "doc"])(batch), waiting[-1][offsets[:-1], None], counts, sums], 1)
 
         for rows in whole_keys(batches, unpacked, AROUND):
             counts = rows[:, 3]
@@ -423,8 +435,7 @@ def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
             order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
             rank = np.empty(len(rows), np.int64)
             rank[order] = np.arange(len(rows))
-            sums = np.zeros((2 * reach + 2, len(rows)), np.uint64)
-            sums[1:] = np.cumsum(rows[:, 4:].view(np.uint64) * powers(wide)[0], axis=1).T
+            sums = rows[:, 3:].view(np.uint64)  # of the shingles up to each; the column before them is not read
             own, doc = mixed(rows[:, 0].view(np.uint64), 3), rows[:, 1].copy()
             ends = [(i, i + least) for i in range(reach + 1)]
             for size in range(min(CONTEXTS), least):
@@ -433,7 +444,7 @@ def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
             last = rank.copy()
             first = np.empty(len(rows), np.int64)
             for begin, past in ends:
-                value = (sums[past] - sums[begin]) ^ own
+                value = (sums[:, past] - sums[:, begin] if begin else sums[:, past]) ^ own
                 by = np.argsort(value)
                 value = value[by]
                 new = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
@@ -453,7 +464,7 @@ def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
             new[1:] = (links[1:, :3] != links[:-1, :3]).any(1)
             yield link_batch([links[new][:, [1, 2, 5, 4, 3]]])
 
-    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("places"))
+    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("key", "ats")).alias("places"))
     near = by_doc.join(rows, "doc").mapInArrow(around, "key bigint, doc bigint, ats array<int>, near binary")
     return near.repartition("key").sortWithinPartitions("key").mapInArrow(run, LINKS)
 
@@ -613,21 +624,21 @@ def repeated_passages(
     )
     links = stored(linked(windows(rows, least)), "passage-links")
     found = stored(verified(links, rows, words, similarity, marked=True), "passages")
-    own = links.where("doc = other").selectExpr("doc", "inline(places)").selectExpr("key", "doc", "at", "true as open")
-    places = found.where("key is not null").selectExpr("key", "doc_id as doc", "first_word as at", "past_word > 0 as open")
+    own = links.where("doc = other").selectExpr("places[0].key as key", "doc", "places.at as ats", "true as open")
+    places = found.where("key is not null").selectExpr("key", "doc_id as doc", "ats", "past_word > 0 as open")
     shifts = [df.where("doc <> other").selectExpr("doc", "other", "inline(places)") for df in (linked_again(doubtful(own.unionByName(places)), rows, least), links)]
     new, known = (df.withColumn("shift", F.expr("at - other_at")) for df in shifts)
     again = new.join(known.select("doc", "other", "shift"), ["doc", "other", "shift"], "left_anti")
     again = stored(again.select("doc", "other", F.array(F.struct("at", "other_at", "key")).alias("places")), "passage-links-again")
     more = verified(again, rows, words, similarity, marked=False)
-    return found.where("key is null").unionByName(more).drop("key").distinct()
+    return found.where("key is null").unionByName(more).drop("key", "ats").distinct()
 
 
 def verified(links: DataFrame, rows: DataFrame, words: int, similarity: float, marked: bool) -> DataFrame:
     """Passages of linked documents, both ways round (``key`` is null).
 
-    Also, if they are to be marked, the places of links by ``key``: ``first_word`` is the place, ``past_word`` 1 if the texts
-    differ as near to it as a passage of just ``words`` words may reach.
+    Also, if they are to be marked, the places ``ats`` of links by ``key`` and document: ``past_word`` is 1 if the texts
+    differ as near to one of them as a passage of just ``words`` words may reach.
     """
     least = words - SHINGLE + 1
     pairs = links.where("doc <> other").groupBy("doc", "other").agg(F.flatten(F.collect_list("places")).alias("places"))
@@ -669,18 +680,22 @@ def verified(links: DataFrame, rows: DataFrame, words: int, similarity: float, m
                 whole = np.ones(len(apart), np.int64)
                 mine = np.stack([key[own], doc * whole, at[own], whole], 1)[apart]
                 marks.append(np.concatenate([mine, np.stack([key[own], other * whole, other_at[own], 0 * whole], 1)]))
-        places = different(np.concatenate(marks))
-        n = len(places)
+        marked_places = different(np.concatenate(marks)[:, ::-1])[:, ::-1]  # key, document, place, open
+        places = place_lists(marked_places)
+        n = places.num_rows
         if not out and not n:
             return None
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
         passages = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-        others = [pa.array(places[:, i]).cast(k) for i, k in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()))] + [pa.nulls(n, k) for k in kinds[3:]]
+        lists = places.column("ats")
+        unsure = np.maximum.reduceat(marked_places[:, 3], list_slices(lists)[0][:-1]).astype(np.int32) if n else np.empty(0, np.int32)
+        others = [places.column("doc"), pa.nulls(n, pa.int32()), pa.array(unsure), *(pa.nulls(n, k) for k in kinds[3:])]
         filled = [pa.concat_arrays([x, y]) for x, y in zip(passages, others, strict=True)]
-        filled.append(pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(places[:, 0])]))
-        return pa.RecordBatch.from_arrays(filled, [*PASSAGE, "key"])
+        filled.append(pa.concat_arrays([pa.nulls(len(out), pa.int64()), places.column("key")]))
+        filled.append(pa.concat_arrays([pa.nulls(len(out), lists.type), lists]))
+        return pa.RecordBatch.from_arrays(filled, [*PASSAGE, "key", "ats"])
 
-    schema = "doc_id bigint, first_word int, past_word int, other_id bigint, other_first_word int, similarity double, key bigint"
+    schema = "doc_id bigint, first_word int, past_word int, other_id bigint, other_first_word int, similarity double, key bigint, ats array<int>"
     return both.mapInArrow(verify, schema)
 
 
