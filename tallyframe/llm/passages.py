@@ -34,6 +34,7 @@ CONTEXTS = (23, 8)  # shingles to either side of the least one that joined windo
 BUFFERED = 250_000  # windows
 AROUND = 50_000  # places with the shingles around them
 TOGETHER = 1 << 20  # bytes of texts hashed at a time
+FEW = 24  # parts of an alignment that are looked at one by one
 CELLS = 1 << 22  # shingles compared at a time
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 GAP = 2 * SHINGLE  # shingles that differ inside a passage, at a stretch
@@ -453,16 +454,22 @@ def linked_again(places: DataFrame, rows: DataFrame, least: int) -> DataFrame:
                 changed = changed[doc[order[first[changed]]] != doc[changed]]
                 found.append(np.stack([order[first[changed]], changed], 1))
                 last[:] = first
-            first, row = different(np.concatenate(found)).T
-            many = counts[row]
-            at = ats[np.repeat(begins[row], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            links = np.stack([doc[row], doc[first], rows[row, 0], rows[first, 2]], 1).repeat(many, 0)
-            links = np.concatenate([at[:, None] - links[:, 3:], links, at[:, None]], 1)  # shift, doc, other, key, other_at, at
-            order = np.lexsort((links[:, 0], links[:, 2], links[:, 1]))
-            links = links[order]
-            new = np.ones(len(links), bool)  # one link of two documents and a shift will do
-            new[1:] = (links[1:, :3] != links[:-1, :3]).any(1)
-            yield link_batch([links[new][:, [1, 2, 5, 4, 3]]])
+            firsts, all_rows = different(np.concatenate(found)).T
+            links_of = np.cumsum(counts[all_rows])
+            done = 0
+            while done < len(all_rows):  # so many links at a time, as a place may have one by each stretch
+                before = int(links_of[done - 1]) if done else 0
+                past = max(done + 1, int(np.searchsorted(links_of, before + BUFFERED, "right")))
+                first, row = firsts[done:past], all_rows[done:past]
+                many = counts[row]
+                at = ats[np.repeat(begins[row], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                links = np.stack([doc[row], doc[first], rows[row, 0], rows[first, 2]], 1).repeat(many, 0)
+                links = np.concatenate([at[:, None] - links[:, 3:], links, at[:, None]], 1)  # shift, doc, other, key, other_at, at
+                links = links[np.lexsort((links[:, 0], links[:, 2], links[:, 1]))]
+                new = np.ones(len(links), bool)  # one link of two documents and a shift will do
+                new[1:] = (links[1:, :3] != links[:-1, :3]).any(1)
+                yield link_batch([links[new][:, [1, 2, 5, 4, 3]]])
+                done = past
 
     by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("key", "ats")).alias("places"))
     near = by_doc.join(rows, "doc").mapInArrow(around, "key bigint, doc bigint, ats array<int>, near binary")
@@ -505,6 +512,8 @@ def extended(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
 
 def stretches(parts: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """The widest sequences of equal parts (first in either text, length; in order) that are long and similar enough."""
+    if len(parts) <= FEW:
+        return few_stretches(parts.tolist(), least, similarity)
     ends, sums = parts[:, :2] + parts[:, 2:], np.cumsum(parts[:, 2])
     found, reached = [], -1
     for i in range(len(parts)):
@@ -521,6 +530,26 @@ def stretches(parts: np.ndarray, least: int, similarity: float) -> list[tuple[in
     return found
 
 
+def few_stretches(parts: list, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """``stretches`` of a few parts."""
+    found, reached, last = [], -1, len(parts) - 1
+    whole = sum(n for _, _, n in parts)
+    for i, (x, y, _) in enumerate(parts):
+        same = whole
+        for k in range(last, max(i, reached + 1) - 1, -1):
+            x_past, y_past = parts[k][0] + parts[k][2], parts[k][1] + parts[k][2]
+            jaccard = same / (x_past - x + y_past - y - same)
+            if min(x_past - x, y_past - y) >= least and jaccard >= similarity:
+                reached = k
+                found.append((x, x_past, y, y_past, jaccard))
+                break
+            same -= parts[k][2]
+        if reached == last:
+            break
+        whole -= parts[i][2]
+    return found
+
+
 def diagonals(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """Equal stretches (first in either text, length) of two texts shifted against each other, in order of ``shifts``."""
     start, end = np.maximum(0, shifts), np.minimum(len(a), len(b) + shifts)
@@ -549,7 +578,7 @@ def joined(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> np.ndarray:
     size = GAP + 1
     x = np.concatenate([np.full(size, 1, np.uint64), a, np.full(size, 1, np.uint64)])
     y = np.concatenate([np.full(size, 2, np.uint64), b, np.full(size, 2, np.uint64)])
-    x, y = (np.lib.stride_tricks.sliding_window_view(z, size) for z in (x, y))
+    x, y = (np.ndarray((len(z) - size + 1, size), z.dtype, z, strides=(8, 8)) for z in (x, y))
     found = np.zeros(len(parts), bool)
     for i in range(0, len(parts), 4096):
         first, other, length = parts[i : i + 4096].T
@@ -587,7 +616,7 @@ def aligned(a: np.ndarray, b: np.ndarray, parts: np.ndarray, words: int, similar
         for x, y, n in run:
             seen.setdefault(x - y, []).append((x, x + n))
         if sum(n for _, _, n in run) >= enough:
-            found.update(stretches(np.array(run), least, similarity))
+            found.update(few_stretches(run, least, similarity) if len(run) <= FEW else stretches(np.array(run), least, similarity))
     widest = sorted(found, key=lambda f: (f[0] - f[1], f[2] - f[3], -f[4]))
     if len(widest) > 1:
         first, past, other, other_past = np.array([f[:4] for f in widest], np.int32).T[:, None, :]
