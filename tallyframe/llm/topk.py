@@ -95,10 +95,11 @@ def stacked(pieces: list[np.ndarray]) -> np.ndarray:
 
 
 class SortedLists:
-    """The vectors of a block and the values of every dimension in order."""
+    """The vectors of a block by id, and the values of every dimension in order."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
-        self.vectors, self.ids = vectors.astype(np.int64), ids
+        order = np.argsort(ids, kind="stable")
+        self.vectors, self.ids = vectors[order].astype(np.int64), ids[order]
         self.values = np.sort(self.vectors, axis=0).astype(np.float64)
         self.most = np.abs(self.values[[0, -1]]).max(0)
         self._read: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -186,10 +187,11 @@ class Best:
             alive = high >= (bar[at] - 2 * margin[at]).astype(high.dtype)[:, None]
             few = np.count_nonzero(alive, axis=1) <= max(self.resolved, k)
             if depth == n:
-                if not few.all():  # of equal scores the last id can be too large already
-                    tied = np.flatnonzero(~few & full[at] & (margin[at] == 0))
-                    late = lists.ids[None, :] >= self.ids[start + at[tied], -1][:, None]
-                    alive[tied] &= (high[tied] > bar[at[tied]][:, None]) | ~late
+                tied = np.flatnonzero(~few & (margin[at] == 0))
+                if len(tied):  # of equal scores only the k smallest ids can be wanted
+                    last = bar[at[tied]][:, None]
+                    equal = (high[tied] == last) & (lists.ids[None, :] != self.own[start + at[tied]][:, None])
+                    alive[tied] &= (high[tied] > last) | (equal & (np.cumsum(equal, axis=1) <= k))
                 few[:] = True
             if few.any():
                 row, place = np.divmod(np.flatnonzero(alive if few.all() else alive[few]), n)
